@@ -1,10 +1,11 @@
 """Quality by weak supervision: rules vote or abstain, EM weighs them. DataFrame and SQL functions only.
 
 Each rule votes 1 (good), -1 (bad) or 0 (abstains) on a document. Documents are counted by their
-pattern of votes, of which there are at most 3**len(RULES) = 6561; expectation-maximisation of a
-two-class mixture with, for each rule and class, the odds of its three answers runs over those
-counts inside one expression. A document is kept if its pattern's posterior of the good class is
-one half or more and the base rules (too few words, too many repeated ones) don't fail it.
+pattern of votes, of which there are at most 3**len(RULES) = 6561; expectation-maximisation
+estimates every rule's accuracy (how often its vote agrees with the hidden quality) over those
+counts, inside one expression. A document is kept if its pattern's
+posterior of good quality is one half or more and the base rules (too few words, too many
+repeated ones) don't fail it.
 
 Nulls: a null text has no words, fails the base rules and isn't kept. Null doc_ids and repeated
 rows are judged like others; empty tables give empty results; extra columns are left out. All
@@ -13,49 +14,51 @@ counts are over whole texts.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazeloom.llm.shared import WORD, SPACES, Scratch
+from gazeloom.llm.shared import WORD, Scratch
 
-SYMBOLS = "#*$%&|<>"
-CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+SYMBOLS = "[#*$%&|<>]"
+MARKS = r"[!-@\[-`{-~]"
 WINDOW = 8
 #: name -> (bad if, good if), over the columns of `features`; neither: the rule abstains.
 RULES = {
-    "symbols": ("100 * n_symbols > 8 * word_chars", "200 * n_symbols <= word_chars"),
-    "lines": ("100 * n_dup_lines > 30 * n_lines", "n_dup_lines = 0"),
-    "repeats": ("100 * n_repeat_words > 20 * n_words", "100 * n_repeat_words <= 2 * n_words"),
-    "length": ("n_words < 30", "n_words >= 50"),
-    "word_length": ("word_chars < 2 * n_words or word_chars > 14 * n_words", "word_chars >= 3 * n_words and word_chars <= 10 * n_words"),
-    "variety": ("n_distinct * n_distinct < 4 * n_words", "n_distinct * n_distinct >= 9 * n_words"),
-    "capitals": ("100 * n_capitals > 40 * word_chars", "100 * n_capitals <= 15 * word_chars"),
-    "shouts": ("100 * n_shouts > 10 * n_words", "100 * n_shouts <= 2 * n_words"),
+    "symbols": ("100 * n_symbols > 5 * word_chars", "false"),
+    "lines": ("100 * n_dup_lines > 30 * n_lines", "false"),
+    "repeats": ("100 * n_repeat_words > 20 * n_words", "false"),
+    "words": ("word_chars < 2 * n_words or word_chars > 14 * n_words", "false"),
+    "variety": ("n_distinct * n_distinct < 3 * n_words", "false"),
+    "capitals": ("100 * n_capitals > 40 * word_chars", "false"),
+    "marks": ("100 * n_marks > 12 * word_chars", "100 * n_marks <= 8 * word_chars"),
+    "sentences": ("100 * n_stops < 2 * n_words", "100 * n_stops >= 6 * n_words"),
 }
+#: The class balance is given, not learned: with it free, agreeing that all is good is the likeliest fit.
+GOOD_SHARE = 0.5
 MOST_PATTERNS = 3 ** len(RULES)
 
 
-def _without(text: str, characters: str) -> str:
-    quoted = characters.replace("\\", "\\\\").replace("'", "\\'")
-    return f"translate({text}, '{quoted}', '')"
+def _count(text: str, pattern: str) -> str:
+    """SQL for how many characters of a text are in a class; only the matches cost."""
+    return f"char_length({text}) - char_length(regexp_replace({text}, r'{pattern}', ''))"
 
 
 def features(docs: DataFrame) -> DataFrame:
     """doc_id and the counts that base rules and votes use, a row for each row of docs."""
-    pattern = WORD.replace("\\", "\\\\")
     t = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
-    t = t.withColumn("w", F.expr(f"regexp_extract_all(t, '{pattern}', 0)"))
-    t = t.select("doc_id", "t", F.size("w").cast("long").alias("n_words"), F.size(F.array_distinct("w")).cast("long").alias("n_distinct"), F.expr(f"if(size(w) < {WINDOW}, cast(array() as array<bigint>), transform(sequence(1, size(w) - {WINDOW - 1}), i -> xxhash64(slice(w, i, {WINDOW}))))").alias("h"))
-    bare = _without("t", SPACES)
-    t = t.withColumn("line", F.expr(f"filter(split(t, '\\n'), x -> {_without('x', SPACES)} != '')"))
+    t = t.withColumn("w", F.expr(f"regexp_extract_all(t, r'{WORD}', 0)"))
+    t = t.withColumn("line", F.expr(f"filter(split(t, '\\n'), x -> x rlike r'{WORD}')"))
+    t = t.select(
+        "doc_id", F.array_join("w", "").alias("c"), F.size("w").cast("long").alias("n_words"), F.size(F.array_distinct("w")).cast("long").alias("n_distinct"),
+        F.expr(rf"regexp_count(t, r'[^!-@\[-`{{-~\s][.,](?=\s|$)')").cast("long").alias("n_stops"),
+        F.expr(f"if(size(w) < {WINDOW}, cast(array() as array<bigint>), transform(sequence(1, size(w) - {WINDOW - 1}), i -> xxhash64(slice(w, i, {WINDOW}))))").alias("h"),
+        F.size("line").cast("long").alias("n_lines"), (F.size("line") - F.size(F.array_distinct("line"))).cast("long").alias("n_dup_lines"),
+    )
+    counts = {"word_chars": "char_length(c)", "n_symbols": _count("c", SYMBOLS), "n_capitals": _count("c", "[A-Z]"), "n_marks": _count("c", MARKS)}
     t = t.select(
-        "doc_id", "n_words", "n_distinct",
-        F.expr(f"cast(char_length({bare}) as bigint)").alias("word_chars"),
-        F.expr(f"cast(char_length(t) - char_length({_without('t', SYMBOLS)}) as bigint)").alias("n_symbols"),
-        F.expr(f"cast(char_length(t) - char_length({_without('t', CAPITALS)}) as bigint)").alias("n_capitals"),
-        F.expr(f"cast(char_length(t) - char_length({_without('t', '!')}) as bigint)").alias("n_shouts"),
-        F.size("line").cast("long").alias("n_lines"),
-        (F.size("line") - F.size(F.array_distinct("line"))).cast("long").alias("n_dup_lines"),
+        "doc_id", "n_words", "n_distinct", "n_stops", "n_lines", "n_dup_lines", *(F.expr(x).cast("long").alias(k) for k, x in counts.items()),
         # windows in the order of their hashes, only where one comes twice
         F.expr("if(size(array_distinct(h)) = size(h), null, sort_array(transform(h, (x, i) -> struct(x as h, i as i))))").alias("s"),
     )
@@ -66,17 +69,14 @@ def features(docs: DataFrame) -> DataFrame:
 
 def _em(rounds: int) -> str:
     """SQL for the posterior of each pattern: over `v`, an array of (votes array<int>, n double)."""
-    rules = len(RULES)
-    answers = "array(-1, 0, 1)"
-
-    def table(weight: str) -> str:
-        """For each rule, the smoothed share of each answer among patterns, by weight w."""
-        return f"transform(sequence(0, {rules - 1}), j -> transform({answers}, a -> (aggregate(w, 0D, (s, x) -> s + if(x.votes[j] = a, {weight}, 0D)) + 0.1D) / (aggregate(w, 0D, (s, x) -> s + {weight}) + 0.3D)))"
-
-    start = "transform(v, x -> struct(x.votes as votes, x.n as n, if(array_contains(x.votes, -1), 0.1D, 0.95D) as q))"
-    logit = f"aggregate(sequence(0, {rules - 1}), ln(z.prior) - ln(1D - z.prior), (s, j) -> s + ln(z.good[j][x.votes[j] + 1]) - ln(z.bad[j][x.votes[j] + 1]))"
-    model = f"struct((aggregate(w, 0D, (s, x) -> s + x.n * x.q) + 1D) / (aggregate(w, 0D, (s, x) -> s + x.n) + 2D) as prior, {table('x.n * x.q')} as good, {table('x.n * (1D - x.q)')} as bad)"
-    step = f"transform(array({model}), z -> transform(w, x -> struct(x.votes as votes, x.n as n, 1D / (1D + exp(-least(40D, greatest(-40D, {logit})))) as q)))[0]"
+    rules = f"sequence(0, {len(RULES) - 1})"
+    agree = "case x.votes[j] when 1 then x.n * x.q when -1 then x.n * (1D - x.q) else 0D end"
+    start = "transform(v, x -> struct(x.votes as votes, x.n as n, 1D / (1D + exp(-aggregate(x.votes, 0D, (s, y) -> s + y))) as q))"
+    accuracy = f"transform({rules}, j -> least(0.98D, greatest(0.02D, (aggregate(w, 0D, (s, x) -> s + {agree}) + 4D) / (aggregate(w, 0D, (s, x) -> s + x.n * abs(x.votes[j])) + 5D))))"
+    model = f"struct({accuracy} as a)"
+    prior = math.log(GOOD_SHARE) - math.log(1 - GOOD_SHARE)
+    logit = f"aggregate({rules}, {prior!r}D, (s, j) -> s + x.votes[j] * (ln(z.a[j]) - ln(1D - z.a[j])))"
+    step = f"transform(array({model}), z -> transform(w, x -> struct(x.votes as votes, x.n as n, 1D / (1D + exp(-{logit})) as q)))[0]"
     return f"aggregate(sequence(1, {rounds}), {start}, (w, k) -> {step})"
 
 
