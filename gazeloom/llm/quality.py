@@ -32,7 +32,7 @@ RULES = {
     "words": ("word_chars < 2 * n_words or word_chars > 14 * n_words", "false"),
     "variety": ("n_distinct * n_distinct < 3 * n_words", "false"),
     "capitals": ("100 * n_capitals > 40 * word_chars", "false"),
-    "marks": ("100 * n_marks > 12 * word_chars", "100 * n_marks <= 8 * word_chars"),
+    "marks": ("100 * n_marks > 16 * word_chars", "100 * n_marks <= 8 * word_chars"),
     "sentences": ("100 * n_stops < 2 * n_words", "100 * n_stops >= 6 * n_words"),
 }
 #: The class balance is given, not learned: with it free, agreeing that all is good is the likeliest fit.
