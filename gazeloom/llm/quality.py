@@ -29,7 +29,7 @@ RULES = {
     "symbols": ("100 * n_symbols > 5 * word_chars", "false"),
     "lines": ("100 * n_dup_lines > 30 * n_lines", "false"),
     "repeats": ("100 * n_repeat_words > 20 * n_words", "false"),
-    "words": ("word_chars < 2 * n_words or word_chars > 14 * n_words", "false"),
+    "dense_symbols": ("100 * n_symbols > 9 * word_chars", "false"),
     "variety": ("n_distinct * n_distinct < 3 * n_words", "false"),
     "capitals": ("100 * n_capitals > 40 * word_chars", "false"),
     "marks": ("100 * n_marks > 16 * word_chars", "100 * n_marks <= 8 * word_chars"),

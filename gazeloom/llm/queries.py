@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazeloom.llm import mixing, quality, sharding
+from gazeloom.llm import mixing, packing, quality, sharding, token_codes
 from gazeloom.llm.shared import documents
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(spark, documents(spark, sf_dir, "doc_id", "text"), 2048).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def op5_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_codes.read(spark, token_codes.write(spark, documents(spark, sf_dir, "doc_id", "text")))
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     result, _ = mixing.mix(spark, documents(spark, sf_dir, "doc_id", "text", "source"))
     return result.select("doc_id", "size", "source_size", "target", "taken")
@@ -26,7 +34,7 @@ def op8_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_source_mix, op7_feistel_shards, op8_weak_supervision)}
+    return {f.__name__: f for f in (op3_packing, op5_token_codes, op6_source_mix, op7_feistel_shards, op8_weak_supervision)}
 
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
