@@ -7,14 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazeloom.llm import mixing, packing, quality, sharding, token_codes
+from gazeloom.llm import jaccard_trie, langid, mixing, neardup_embed, packing, quality, sharding, token_codes, warc
 from gazeloom.llm.shared import documents
 
 
+def op1_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup_embed.near_duplicates(spark, spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 0.93)
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(spark, documents(spark, sf_dir, "doc_id", "text", "lang")).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, documents(spark, sf_dir, "doc_id", "text"), 2048).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op4_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read(spark, warc.write(spark, spark.read.parquet(f"{sf_dir}/pages.parquet")))
+
+
 def op5_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_codes.read(spark, token_codes.write(spark, documents(spark, sf_dir, "doc_id", "text")))
 
@@ -33,8 +45,12 @@ def op8_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(spark, documents(spark, sf_dir, "doc_id", "text")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_trie.similar(spark, documents(spark, sf_dir, "doc_id", "text"), 3, 90, 100)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_packing, op5_token_codes, op6_source_mix, op7_feistel_shards, op8_weak_supervision)}
+    return {f.__name__: f for f in (op1_embedding_near_duplicates, op2_language_id, op3_packing, op4_warc_dictionary, op5_token_codes, op6_source_mix, op7_feistel_shards, op8_weak_supervision, op9_ngram_jaccard)}
 
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -62,5 +78,15 @@ from p
 """
 
 
+_OP4 = """
+with p as (select page_id, coalesce(html, '') as body from pages),
+d as (select page_id, strlen(body)::bigint as payload_bytes, sha1(body) as payload_digest, max(page_id) over (partition by body) as best, body from p)
+select page_id, payload_bytes, payload_digest,
+  case when payload_bytes >= 1000 and page_id <> best then 'revisit' else 'response' end as record_type,
+  case when payload_bytes >= 1000 and page_id <> best then best end as refers_to
+from d
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_source_mix": _OP6}
+    return {"op4_warc_dictionary": _OP4, "op6_source_mix": _OP6}
