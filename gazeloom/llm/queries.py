@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazeloom.llm import jaccard_trie, langid, mixing, neardup_embed, packing, quality, sharding, token_codes, warc
+from gazeloom.llm import jaccard_trie, langid, mixing, neardup_embed, packing, quality, sharding, suffix_dedup, token_codes, warc
 from gazeloom.llm.shared import documents
 
 
@@ -49,8 +49,12 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_trie.similar(spark, documents(spark, sf_dir, "doc_id", "text"), 3, 90, 100)
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicated(spark, documents(spark, sf_dir, "doc_id", "text"), 200, digest=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_near_duplicates, op2_language_id, op3_packing, op4_warc_dictionary, op5_token_codes, op6_source_mix, op7_feistel_shards, op8_weak_supervision, op9_ngram_jaccard)}
+    return {f.__name__: f for f in (op1_embedding_near_duplicates, op2_language_id, op3_packing, op4_warc_dictionary, op5_token_codes, op6_source_mix, op7_feistel_shards, op8_weak_supervision, op9_ngram_jaccard, op10_suffix_dedup)}
 
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"

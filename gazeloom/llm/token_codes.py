@@ -143,14 +143,14 @@ def put(path: str, data: bytes) -> None:
 
     store, place = fs.FileSystem.from_uri(path)
     part = f"{place}.{uuid.uuid4().hex}.part"
-    with store.open_output_stream(part) as f:
+    with store.open_output_stream(part, compression=None) as f:
         f.write(data)
     store.move(part, place)
 
 
 def get(path: str) -> bytes:
     store, place = fs.FileSystem.from_uri(path)
-    with store.open_input_stream(place) as f:
+    with store.open_input_stream(place, compression=None) as f:
         return f.read()
 
 
