@@ -206,7 +206,7 @@ def write(spark: SparkSession, docs: DataFrame, vocabulary: str | None = None, e
         if doc_ids:
             yield close()
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return scratch.save(ordered.mapInArrow(files, "partition int, number int, path string, n_ids long, n_docs long"), "manifest")
 
 
