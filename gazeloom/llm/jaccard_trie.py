@@ -200,14 +200,14 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
 
 
 def similar(spark: SparkSession, docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of docs (doc_id, text). Links: den * intersection >= num * union."""
+    """doc_id, n_shingles, component_id, text_hash (xxhash64 of the text) for each row of docs (doc_id, text). Links: den * intersection >= num * union."""
     if 3 * num < 2 * den:
         raise ValueError("size classes hold for similarities of two thirds or more")
     ship(spark)
     small_batches(spark, 1024)
     scratch = Scratch(spark, "jaccard")
     # the key finds the document's text again: its id, or for a null id a hash of the text
-    keyed = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("key"))
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).withColumn("key", F.coalesce(F.col("doc_id").cast("long"), F.col("text_hash")))
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,10 +219,10 @@ def similar(spark: SparkSession, docs: DataFrame, n: int = 5, num: int = 80, den
                 sigs.append(int(mixed(sums[-1:] + np.uint64(len(tokens))).view(np.int64)[0]))
                 keys.append(segment_keys(tokens, sums, num, den).view(np.int64) if len(tokens) else np.zeros(0, np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(sizes, pa.int64()), pa.array(sigs, pa.int64()), pa.ListArray.from_arrays(offsets, np.concatenate(keys))], names=["doc_id", "key", "n", "sig", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), batch.column("key"), pa.array(sizes, pa.int64()), pa.array(sigs, pa.int64()), pa.ListArray.from_arrays(offsets, np.concatenate(keys))], names=["doc_id", "text_hash", "key", "n", "sig", "keys"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sets = scratch.save(keyed.mapInArrow(described, f"doc_id {kind}, key long, n long, sig long, keys array<long>"), "sets")
+    sets = scratch.save(keyed.mapInArrow(described, f"doc_id {kind}, text_hash long, key long, n long, sig long, keys array<long>"), "sets")
     full = sets.where("n > 0")
 
     def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,5 +285,5 @@ def similar(spark: SparkSession, docs: DataFrame, n: int = 5, num: int = 80, den
     each = scratch.save(each.join(linked_to, each["sig"] == linked_to["node"], "left").select("sig", "least", F.coalesce("root", "sig").alias("root")), "each")
     first = each.groupBy("root").agg(F.min("least").alias("component_id"))
     named = each.join(first, "root").select("sig", "component_id")
-    rows = sets.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("sig")).alias("sig"))
-    return rows.join(named, "sig", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    rows = sets.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("sig")).alias("sig"))
+    return rows.join(named, "sig", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "text_hash")

@@ -80,7 +80,7 @@ def mix(spark: SparkSession, docs: DataFrame, weights=(5, 2, 1), epochs: float =
     turns = turns.select("slot", "sid", "block", F.least(F.least(F.lit(block), F.col("source_size") - F.col("block") * block), F.col("quota") - F.col("at")).alias("words"))
 
     # documents end to end in hash order: sums in 4096 hash buckets, after the sums of earlier buckets
-    named = sized.join(per.select("sid", "source", "source_size", "target"), sized["source"].eqNullSafe(per["source"])).drop(per["source"])
+    named = sized.drop(*keep).join(per.select("sid", "source", "source_size", "target"), sized["source"].eqNullSafe(per["source"])).drop(per["source"])
     named = named.withColumn("key", F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary"))).withColumn("bucket", F.substring("key", 1, 3))
     sums = named.groupBy("sid", "bucket").agg(F.sum("size").alias("n"))
     sums = sums.select("sid", "bucket", F.coalesce(F.sum("n").over(Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
@@ -89,6 +89,8 @@ def mix(spark: SparkSession, docs: DataFrame, weights=(5, 2, 1), epochs: float =
     cut = placed.withColumn("block", F.explode_outer(F.when(F.col("size") > 0, F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}")))))
     cut = cut.withColumn("from", F.greatest(F.col("start") - F.col("block") * block, F.lit(0))).withColumn("to", F.least(F.col("start") + F.col("size") - F.col("block") * block, F.lit(block)))
     taken = cut.join(turns, ["sid", "block"], "left").withColumn("n", F.greatest(F.least(F.col("to"), F.coalesce("words", F.lit(0))) - F.col("from"), F.lit(0)))
-    kept = ["doc_id", "size", "source_size", "target", *keep]
-    result = taken.groupBy("__row", *kept).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("taken")).select(*kept, "taken")
-    return result, turns
+    own = ["doc_id", "size", "source_size", "target"]
+    result = taken.groupBy("__row", *own).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("taken"))
+    if keep:  # wide columns join at the end and are never exploded
+        result = result.join(sized.select("__row", *keep), "__row")
+    return result.select(*own, *keep, "taken"), turns

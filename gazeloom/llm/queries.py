@@ -46,15 +46,21 @@ def op8_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_trie.similar(spark, documents(spark, sf_dir, "doc_id", "text"), 3, 90, 100)
+    return jaccard_trie.similar(spark, documents(spark, sf_dir, "doc_id", "text"), 3, 90, 100).select("doc_id", "n_shingles", "component_id")
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.deduplicated(spark, documents(spark, sf_dir, "doc_id", "text"), 200, digest=True)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_near_duplicates, op2_language_id, op3_packing, op4_warc_dictionary, op5_token_codes, op6_source_mix, op7_feistel_shards, op8_weak_supervision, op9_ngram_jaccard, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_embedding_near_duplicates, op2_language_id, op3_packing, op4_warc_dictionary, op5_token_codes, op6_source_mix, op7_feistel_shards, op8_weak_supervision, op9_ngram_jaccard, op10_suffix_dedup, pipeline)}
 
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
