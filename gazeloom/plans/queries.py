@@ -124,12 +124,12 @@ def _near(spark, d, tie, tolerance=None):
     left = e.where("event_type = 'click'").select("user_id", "us", "event_id")
     right = e.where("event_type = 'view'").select("user_id", "us", F.col("event_id").alias("view_id"), "value")
     out = sequence.nearest(left, right, "user_id", "us", ["view_id", "value"], ["view_id"], tie, tolerance)
-    return out.select("event_id", F.col("nearest.view_id").alias("view_id"), (F.col("nearest.time") - F.col("us")).alias("off"))
+    return out.select("event_id", F.col("nearest.view_id").alias("view_id"), ((F.col("nearest.time") - F.col("us")) / 1e6).alias("off"))
 
 
 def _near_sql(side: str, limit: str = "") -> str:
     return f"""with {_EV}, c as (select * from e where event_type = 'click'), v as (select * from e where event_type = 'view'),
- p as (select c.event_id, v.event_id as view_id, v.us - c.us as off, row_number() over (partition by c.event_id order by abs(v.us - c.us), {side}, v.event_id) as k from c left join v using (user_id))
+ p as (select c.event_id, v.event_id as view_id, (v.us - c.us) / 1e6::double as off, row_number() over (partition by c.event_id order by abs(v.us - c.us), {side}, v.event_id) as k from c left join v using (user_id))
  select event_id, {f'case when abs(off) <= {limit} then view_id end' if limit else 'view_id'} as view_id, {f'case when abs(off) <= {limit} then off end' if limit else 'off'} as off from p where k = 1"""
 
 
@@ -138,7 +138,7 @@ def nearest_asof(spark, d):
     return _near(spark, d, "earlier")
 
 
-@query(_near_sql("v.us", "3600000000"))
+@query(_near_sql("v.us", "3600"))
 def asof_tolerance(spark, d):
     return _near(spark, d, "earlier", 3_600_000_000)
 
