@@ -128,10 +128,8 @@ def join(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
     for x in sorted(range(len(sets)), key=lambda k: sizes[k]):
         tokens = np.sort(ranks[x]).tolist()
         own, size = set(tokens), sizes[x]
-        # (node, elements on the path to it, of those in x)
-        stack = [(child, 0, 0) for child in root.below.values()]
-        if tokens[0] in root.below:
-            stack.append((root.below[tokens[0]], 0, 0))  # the likeliest way first
+        # (node, elements on the path to it, of those in x); the likeliest way, where x goes on, comes first
+        stack = _ways(root, tokens, 0, 0, 0)
         while stack:
             node, depth, overlap = stack.pop()
             if not node.many and find(node.one) == find(x):
@@ -146,14 +144,18 @@ def join(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
                 if overlap * (num + den) >= num * (size + sizes[y]):
                     unite(x, y)
             if node.below:
-                stack.extend((child, depth, overlap) for child in node.below.values())
-                at = bisect_right(tokens, node.edge[-1])
-                if at < len(tokens) and tokens[at] in node.below:
-                    stack.append((node.below[tokens[at]], depth, overlap))
+                stack += _ways(node, tokens, bisect_right(tokens, node.edge[-1]), depth, overlap)
         _insert(root, tokens, x, size, find)
     return np.array([find(x) for x in range(len(sets))])
 
 
+def _ways(node: _Node, tokens: list[int], at: int, depth: int, overlap: int) -> list[tuple[_Node, int, int]]:
+    """The children of a node, last the one that begins with the walker's next element."""
+    own = node.below.get(tokens[at]) if at < len(tokens) else None
+    ways = [(child, depth, overlap) for child in node.below.values() if child is not own]
+    return ways if own is None else [*ways, (own, depth, overlap)]
+
+
 def _insert(root: _Node, tokens: list[int], x: int, size: int, find) -> None:
     node, at, component = root, 0, find(x)
     while True:
