@@ -98,11 +98,12 @@ def segment_keys(tokens: np.ndarray, sums: np.ndarray, num: int, den: int) -> np
 
 
 class _Node:
-    __slots__ = ("edge", "below", "ends", "largest", "one", "many")
+    __slots__ = ("edge", "below", "ends", "largest", "alone", "one", "many")
 
-    def __init__(self, edge: list[int], largest: int, one: int):
+    def __init__(self, edge: list[int], largest: int, alone: int, one: int):
         self.edge, self.below, self.ends = edge, {}, []
-        self.largest, self.one, self.many = largest, one, False  # many: sets of several components may be below
+        # of the sets below: the largest size, the fewest elements that no other set has, one set, and whether they may be of several components
+        self.largest, self.alone, self.one, self.many = largest, alone, one, False
 
 
 def join(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
@@ -123,11 +124,15 @@ def join(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
     _, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     order = np.empty(len(counts), np.int64)
     order[np.argsort(-counts, kind="stable")] = np.arange(len(counts))
-    ranks = np.split(order[inverse], np.cumsum(sizes)[:-1])
-    root = _Node([], 0, -1)
+    # an element that one set alone has matches nothing: it only counts as missed, and paths stay shared
+    ranks = np.split(np.where(counts > 1, order, -1)[inverse], np.cumsum(sizes)[:-1])
+    root = _Node([], 0, 0, -1)
     for x in sorted(range(len(sets)), key=lambda k: sizes[k]):
-        tokens = np.sort(ranks[x]).tolist()
+        tokens = np.sort(ranks[x][ranks[x] >= 0]).tolist()
         own, size = set(tokens), sizes[x]
+        alone = size - len(tokens)
+        if not tokens:
+            continue
         # (node, elements on the path to it, of those in x); the likeliest way, where x goes on, comes first
         stack = _ways(root, tokens, 0, 0, 0)
         while stack:
@@ -137,7 +142,7 @@ def join(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
             depth += len(node.edge)
             overlap += len(own.intersection(node.edge))
             # elements of either set that the other lacks so far, against the most that the largest set below allows
-            missed = depth - overlap + bisect_right(tokens, node.edge[-1]) - overlap
+            missed = alone + node.alone + depth - overlap + bisect_right(tokens, node.edge[-1]) - overlap
             if missed * (num + den) > (size + node.largest) * (den - num):
                 continue
             for y in node.ends:
@@ -145,7 +150,7 @@ def join(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
                     unite(x, y)
             if node.below:
                 stack += _ways(node, tokens, bisect_right(tokens, node.edge[-1]), depth, overlap)
-        _insert(root, tokens, x, size, find)
+        _insert(root, tokens, x, size, alone, find)
     return np.array([find(x) for x in range(len(sets))])
 
 
@@ -156,12 +161,12 @@ def _ways(node: _Node, tokens: list[int], at: int, depth: int, overlap: int) ->
     return ways if own is None else [*ways, (own, depth, overlap)]
 
 
-def _insert(root: _Node, tokens: list[int], x: int, size: int, find) -> None:
+def _insert(root: _Node, tokens: list[int], x: int, size: int, alone: int, find) -> None:
     node, at, component = root, 0, find(x)
     while True:
         nxt = node.below.get(tokens[at])
         if nxt is None:
-            leaf = node.below[tokens[at]] = _Node(tokens[at:], size, x)
+            leaf = node.below[tokens[at]] = _Node(tokens[at:], size, alone, x)
             leaf.ends.append(x)
             return
         edge = nxt.edge
@@ -169,13 +174,13 @@ def _insert(root: _Node, tokens: list[int], x: int, size: int, find) -> None:
         if tokens[at : at + n] != edge:
             # split the edge where the two part
             n = next(i for i, (a, b) in enumerate(zip(edge + [-1], tokens[at:] + [-2])) if a != b)
-            top = _Node(edge[:n], nxt.largest, nxt.one)
+            top = _Node(edge[:n], nxt.largest, nxt.alone, nxt.one)
             top.many = nxt.many
             top.below[edge[n]] = nxt
             nxt.edge = edge[n:]
             node.below[tokens[at]] = top
             nxt = top
-        nxt.largest = max(nxt.largest, size)
+        nxt.largest, nxt.alone = max(nxt.largest, size), min(nxt.alone, alone)
         if not nxt.many and find(nxt.one) != component:
             nxt.many = True
         at += n
