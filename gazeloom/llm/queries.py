@@ -98,5 +98,28 @@ from d
 """
 
 
+_COMPONENTS = """
+pairs as (select a, b from l union select b, a from l),
+r as (select a as doc, a as root from pairs union select r.doc, pairs.b from r join pairs on r.root = pairs.a),
+c as (select doc, min(root) as root from r group by 1)
+"""
+
+_OP1 = f"""
+with recursive v as (select vec_id, label, embedding::double[] as e, label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0 as ok from embeddings),
+l as (select x.vec_id as a, y.vec_id as b from v x join v y on x.label = y.label and x.vec_id <> y.vec_id and x.ok and y.ok and len(x.e) = len(y.e) and list_cosine_similarity(x.e, y.e) >= 0.93),
+n as (select a, count(*) as n from l group by 1), {_COMPONENTS}
+select vec_id, coalesce(n.n, 0)::bigint as n_links, coalesce(root, vec_id) as component_id, vec_id = coalesce(root, vec_id) as kept from v left join n on vec_id = n.a left join c on vec_id = doc
+"""
+
+_OP9 = rf"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, unnest(case when len(w) = 0 then []::varchar[] when len(w) < 3 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end) as g from w),
+n as (select doc_id, count(*) as n from s group by 1),
+p as (select x.doc_id as a, y.doc_id as b, count(*) as i from s x join s y on x.g = y.g and x.doc_id < y.doc_id group by all),
+l as (select a, b from p join n x on a = x.doc_id join n y on b = y.doc_id where 100 * i >= 90 * (x.n + y.n - i)), {_COMPONENTS}
+select doc_id, coalesce(n.n, 0)::bigint as n_shingles, coalesce(root, doc_id) as component_id from documents left join n using (doc_id) left join c on doc_id = doc
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc_dictionary": _OP4, "op6_source_mix": _OP6}
+    return {"op1_embedding_near_duplicates": _OP1, "op9_ngram_jaccard": _OP9, "op4_warc_dictionary": _OP4, "op6_source_mix": _OP6}
