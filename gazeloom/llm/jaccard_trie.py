@@ -2,12 +2,14 @@
 
 A document's set holds the hashes of its distinct word n-grams. Equal sets are one node. Two sets
 with similarity t or more differ in few elements, so if hashes are dealt to one segment more than
-that difference can touch, the two agree on a whole segment; agreeing nodes are joined to the least
-of them, and components of those joins are families that no link leaves. In a family the sets are
+that difference can touch, the two agree on whole segments. Segments are chosen so that links share
+some more than one; each set leaves out as many of its most shared ones (a passage in many texts),
+and the rest join it to the least set that has them: components of these joins are families that
+no link leaves. In a family the sets are
 ordered by one global order (descending frequency, then hash) and stored in a trie with compressed
 edges: a set walks down it with its partial overlap, shared by all sets below an edge, and leaves a
 subtree when the elements missed so far, of either side, exceed what the largest set below allows.
-Families larger than BLOCK are split into blocks, and all pairs of blocks are joined.
+Families of more than BLOCK sets or ELEMENTS elements are split into blocks, and all pairs of blocks are joined.
 
 The result needs components only, so a subtree whose sets are all in the walker's component is
 passed by; a family of near copies costs about a path for each copy, and no pairs are listed.
@@ -20,18 +22,21 @@ any. Repeated rows are equal sets. Empty tables give empty results; extra column
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gazeloom.llm.shared import Scratch, components, ship, small_batches
 
-BLOCK = 4000
+#: A family is one block up to so many sets and elements.
+BLOCK, ELEMENTS = 4000, 4_000_000
+#: Counts of sets that share a segment go no further.
+CROWD = 1 << 16
+CLASSES = 128
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -43,7 +48,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 400_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
@@ -65,8 +70,14 @@ def grams(text: bytes | None, n: int) -> np.ndarray:
     return np.unique(out)
 
 
-def classes(size: int, num: int, den: int) -> list[tuple[int, int]]:
-    """(class, segments) in which a set of this size looks for partners: its own, and the one below if a smaller partner may be there."""
+def signature(tokens: np.ndarray) -> int:
+    """A hash of the whole set."""
+    total = mixed(tokens).sum(dtype=np.uint64, keepdims=True) if len(tokens) else np.zeros(1, np.uint64)
+    return int(mixed(total + np.uint64(len(tokens))).view(np.int64)[0])
+
+
+def classes(size: int, num: int, den: int) -> list[tuple[int, int, int]]:
+    """(class, segments, most that a link differs in) where a set of this size looks for partners: its own class, and the one below if a smaller partner may be there."""
     low, k = 1, 0
     before = 0
     while True:
@@ -74,33 +85,51 @@ def classes(size: int, num: int, den: int) -> list[tuple[int, int]]:
         if size < high:
             break
         before, low, k = low, high, k + 1
-    own = [(k, (high - 1) * (den - num) // num + 1)]
+
+    def of(k: int, high: int) -> tuple[int, int, int]:
+        differ = (high - 1) * (den - num) // num
+        # so many that the occupied ones exceed what may differ by a fifth, for random sets of the smallest size in the class
+        least, want, m = max(1, 2 * high // 3), 1.2 * differ + 1, differ + 1
+        while m < 4 * (differ + 1) and m * (1 - (1 - 1 / m) ** least) < want:
+            m += max(1, m // 50)
+        return k, m, differ
+
+    own = [of(k, high)]
     if before and size * num <= (low - 1) * den:
-        own.append((k - 1, (low - 1) * (den - num) // num + 1))
+        own.append(of(k - 1, low))
     return own
 
 
-_classes: dict[tuple[int, int, int], list[tuple[int, int]]] = {}
+_classes: dict[tuple[int, int, int], list[tuple[int, int, int]]] = {}
+
 
+def segment_keys(tokens: np.ndarray, sums: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, spare): a key for each occupied segment of the set, equal for two sets that agree on it, and how many of a class's keys any link shares beyond one, times CLASSES, plus the class.
 
-def segment_keys(tokens: np.ndarray, sums: np.ndarray, num: int, den: int) -> np.ndarray:
-    """A key for each segment of the set: equal for two sets that agree on it. sums: running sums of mixed tokens, from 0."""
+    A set with too few occupied segments for a link to share one has keys for its empty ones too: two such
+    sets share one of those. sums: running sums of mixed tokens, from 0.
+    """
     size = len(tokens)
     if (found := _classes.get((size, num, den))) is None:
         found = _classes[size, num, den] = classes(size, num, den)
-    out = []
-    for k, m in found:
+    keys, spare = [], []
+    for k, m, differ in found:
         segment = (tokens >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)
         bounds = np.searchsorted(segment, np.arange(m + 1, dtype=np.uint64))
-        part = sums[bounds[1:]] - sums[bounds[:-1]]
-        out.append(mixed(part ^ mixed(np.arange(m, dtype=np.uint64) + np.uint64(k << 40) + _M3)))
-    return np.concatenate(out)
+        out = mixed((sums[bounds[1:]] - sums[bounds[:-1]]) ^ mixed(np.arange(m, dtype=np.uint64) + np.uint64(k << 40) + _M3))
+        full = bounds[1:] > bounds[:-1]
+        beyond = int(full.sum()) - differ - 1
+        if beyond >= 0:
+            out = out[full]
+        keys.append(out)
+        spare.append(np.full(len(out), max(0, beyond) * CLASSES + k, np.int32))
+    return np.concatenate(keys), np.concatenate(spare)
 
 
 class _Node:
     __slots__ = ("edge", "below", "ends", "largest", "alone", "one", "many")
 
-    def __init__(self, edge: list[int], largest: int, alone: int, one: int):
+    def __init__(self, edge: np.ndarray, largest: int, alone: int, one: int):
         self.edge, self.below, self.ends = edge, {}, []
         # of the sets below: the largest size, the fewest elements that no other set has, one set, and whether they may be of several components
         self.largest, self.alone, self.one, self.many = largest, alone, one, False
@@ -126,13 +155,15 @@ def join(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
     order[np.argsort(-counts, kind="stable")] = np.arange(len(counts))
     # an element that one set alone has matches nothing: it only counts as missed, and paths stay shared
     ranks = np.split(np.where(counts > 1, order, -1)[inverse], np.cumsum(sizes)[:-1])
-    root = _Node([], 0, 0, -1)
+    root = _Node(np.zeros(0, np.int32), 0, 0, -1)
+    own = np.zeros(len(counts), bool)  # the walker's elements
     for x in sorted(range(len(sets)), key=lambda k: sizes[k]):
-        tokens = np.sort(ranks[x][ranks[x] >= 0]).tolist()
-        own, size = set(tokens), sizes[x]
+        tokens = np.sort(ranks[x][ranks[x] >= 0]).astype(np.int32)
+        size = sizes[x]
         alone = size - len(tokens)
-        if not tokens:
+        if not len(tokens):
             continue
+        own[tokens] = True
         # (node, elements on the path to it, of those in x); the likeliest way, where x goes on, comes first
         stack = _ways(root, tokens, 0, 0, 0)
         while stack:
@@ -140,45 +171,47 @@ def join(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
             if not node.many and find(node.one) == find(x):
                 continue
             depth += len(node.edge)
-            overlap += len(own.intersection(node.edge))
+            overlap += int(np.count_nonzero(own[node.edge]))
             # elements of either set that the other lacks so far, against the most that the largest set below allows
-            missed = alone + node.alone + depth - overlap + bisect_right(tokens, node.edge[-1]) - overlap
+            at = int(tokens.searchsorted(node.edge[-1], "right"))
+            missed = alone + node.alone + depth - overlap + at - overlap
             if missed * (num + den) > (size + node.largest) * (den - num):
                 continue
             for y in node.ends:
                 if overlap * (num + den) >= num * (size + sizes[y]):
                     unite(x, y)
             if node.below:
-                stack += _ways(node, tokens, bisect_right(tokens, node.edge[-1]), depth, overlap)
+                stack += _ways(node, tokens, at, depth, overlap)
+        own[tokens] = False
         _insert(root, tokens, x, size, alone, find)
     return np.array([find(x) for x in range(len(sets))])
 
 
-def _ways(node: _Node, tokens: list[int], at: int, depth: int, overlap: int) -> list[tuple[_Node, int, int]]:
+def _ways(node: _Node, tokens: np.ndarray, at: int, depth: int, overlap: int) -> list[tuple[_Node, int, int]]:
     """The children of a node, last the one that begins with the walker's next element."""
-    own = node.below.get(tokens[at]) if at < len(tokens) else None
+    own = node.below.get(int(tokens[at])) if at < len(tokens) else None
     ways = [(child, depth, overlap) for child in node.below.values() if child is not own]
     return ways if own is None else [*ways, (own, depth, overlap)]
 
 
-def _insert(root: _Node, tokens: list[int], x: int, size: int, alone: int, find) -> None:
+def _insert(root: _Node, tokens: np.ndarray, x: int, size: int, alone: int, find) -> None:
     node, at, component = root, 0, find(x)
     while True:
-        nxt = node.below.get(tokens[at])
+        nxt = node.below.get(int(tokens[at]))
         if nxt is None:
-            leaf = node.below[tokens[at]] = _Node(tokens[at:], size, alone, x)
+            leaf = node.below[int(tokens[at])] = _Node(tokens[at:], size, alone, x)
             leaf.ends.append(x)
             return
-        edge = nxt.edge
-        n = len(edge)
-        if tokens[at : at + n] != edge:
+        n = min(len(nxt.edge), len(tokens) - at)
+        parts = np.flatnonzero(nxt.edge[:n] != tokens[at : at + n])
+        n = int(parts[0]) if len(parts) else n
+        if n < len(nxt.edge):
             # split the edge where the two part
-            n = next(i for i, (a, b) in enumerate(zip(edge + [-1], tokens[at:] + [-2])) if a != b)
-            top = _Node(edge[:n], nxt.largest, nxt.alone, nxt.one)
+            top = _Node(nxt.edge[:n], nxt.largest, nxt.alone, nxt.one)
             top.many = nxt.many
-            top.below[edge[n]] = nxt
-            nxt.edge = edge[n:]
-            node.below[tokens[at]] = top
+            top.below[int(nxt.edge[n])] = nxt
+            nxt.edge = nxt.edge[n:]
+            node.below[int(tokens[at])] = top
             nxt = top
         nxt.largest, nxt.alone = max(nxt.largest, size), min(nxt.alone, alone)
         if not nxt.many and find(nxt.one) != component:
@@ -218,41 +251,94 @@ def similar(spark: SparkSession, docs: DataFrame, n: int = 5, num: int = 80, den
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, sigs, keys = [], [], []
+            sizes, sigs = [], []
             for text in batch.column("text").cast(pa.binary()).to_pylist():
                 tokens = grams(text, n)
-                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(tokens))])
                 sizes.append(len(tokens))
-                sigs.append(int(mixed(sums[-1:] + np.uint64(len(tokens))).view(np.int64)[0]))
-                keys.append(segment_keys(tokens, sums, num, den).view(np.int64) if len(tokens) else np.zeros(0, np.int64))
-            offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), batch.column("key"), pa.array(sizes, pa.int64()), pa.array(sigs, pa.int64()), pa.ListArray.from_arrays(offsets, np.concatenate(keys))], names=["doc_id", "text_hash", "key", "n", "sig", "keys"])
+                sigs.append(signature(tokens))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), batch.column("key"), pa.array(sizes, pa.int64()), pa.array(sigs, pa.int64())], names=["doc_id", "text_hash", "key", "n", "sig"])
+
+    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # a task sends equal sets once
+        for batch in batches:
+            keys, sigs, spares = [], [], []
+            for text in batch.column("text").cast(pa.binary()).to_pylist():
+                tokens = grams(text, n)
+                sig = signature(tokens)
+                if not len(tokens) or sig in seen:
+                    continue
+                seen.add(sig)
+                key, spare = segment_keys(tokens, np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(tokens))]), num, den)
+                keys.append(key.view(np.int64)), spares.append(spare), sigs.append(np.full(len(key), sig))
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, sigs, spares)], names=["segment", "sig", "spare"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sets = scratch.save(keyed.mapInArrow(described, f"doc_id {kind}, text_hash long, key long, n long, sig long, keys array<long>"), "sets")
+    sets = scratch.save(keyed.mapInArrow(described, f"doc_id {kind}, text_hash long, key long, n long, sig long"), "sets")
     full = sets.where("n > 0")
 
-    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, first = None, None
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of segments that several sets have, with how many, up to CROWD; a run is held only so far."""
+        last, held, size = None, [], 0
+
+        def out(parts: list[tuple], count: int) -> pa.RecordBatch:
+            segment, sig, spare = (np.concatenate(x) for x in zip(*parts))
+            return pa.RecordBatch.from_arrays([pa.array(segment), pa.array(sig), pa.array(spare), pa.array(np.full(len(sig), count, np.int32))], names=["segment", "sig", "spare", "sharing"])
+
         for batch in batches:
-            key, sig = batch.column("key").to_numpy(), batch.column("sig").to_numpy()
-            if not len(key):
+            segment, sig, spare = (batch.column(c).to_numpy() for c in ("segment", "sig", "spare"))
+            if not len(segment):
                 continue
-            new = np.concatenate([[last is None or key[0] != last], key[1:] != key[:-1]])
-            group = np.cumsum(new)
-            firsts = np.concatenate([[first if first is not None else 0], sig[new]])
-            low = firsts[group]
-            last, first = key[-1], low[-1]
-            other = sig != low
-            yield pa.RecordBatch.from_arrays([pa.array(sig[other]), pa.array(low[other])], names=["a", "b"])
-
-    nodes = full.select("n", "sig", "keys").dropDuplicates(["sig"])
-    dealt = nodes.select("sig", F.explode("keys").alias("key")).repartition("key").sortWithinPartitions("key", "sig")
-    families = scratch.save(components(scratch, dealt.mapInArrow(stars, "a long, b long")), "families")
-    members = families.groupBy("root").agg(F.count("*").alias("members")).where(F.col("members") > BLOCK).select("root", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    families = families.join(members, "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    found = full.groupBy("sig").agg(F.min("key").alias("key"))
-    wanted = families.join(found, F.col("node") == F.col("sig")).select("key", "sig", "root", "blocks")
+            new = np.concatenate([[True], (segment[1:] != segment[:-1]) | (sig[1:] != sig[:-1])])  # several tasks may have sent a set
+            segment, sig, spare = segment[new], sig[new], spare[new]
+            cuts = np.concatenate([[0], np.flatnonzero(segment[1:] != segment[:-1]) + 1, [len(segment)]])
+            lengths = np.diff(cuts)
+            # the first run may go on from the last batch, and the last may go on in the next
+            first = segment[0] == last
+            if held and not first:
+                if size > 1:
+                    yield out(held, min(size, CROWD))
+                held, size = [], 0
+            a = 0
+            if first:
+                a = int(cuts[1])
+                skip = int(held[-1][1][-1] == sig[0]) if held else 0
+                if a > skip:
+                    held, size = [*held, (segment[skip:a], sig[skip:a], spare[skip:a])], size + a - skip
+                if size >= CROWD:
+                    yield out(held, CROWD)
+                    held = [tuple(x[-1:] for x in held[-1])]
+                if len(lengths) == 1:
+                    continue
+                if size > 1 and size < CROWD:
+                    yield out(held, size)
+                held, size = [], 0
+                middle = slice(1, len(lengths) - 1)
+            else:
+                middle = slice(0, len(lengths) - 1)
+            if len(inner := lengths[middle]) and (inner > 1).any():
+                z = int(cuts[len(lengths) - 1])
+                counts = np.repeat(inner, inner)
+                keep = counts > 1
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[a:z][keep]) for x in (segment, sig, spare)), pa.array(np.minimum(counts[keep], CROWD).astype(np.int32))], names=["segment", "sig", "spare", "sharing"])
+            z = int(cuts[-2])
+            held, size, last = [(segment[z:], sig[z:], spare[z:])], len(segment) - z, segment[-1]
+        if held and 1 < size < CROWD:
+            yield out(held, size)
+
+    dealt = keyed.select("text").mapInArrow(segments, "segment long, sig long, spare int").repartition("segment").sortWithinPartitions("segment", "sig")
+    found = scratch.save(dealt.mapInArrow(shared, "segment long, sig long, spare int, sharing int").distinct(), "shared")
+    # a link shares more than `spare` of a class's segments, so each set may drop as many of its most shared
+    # ones: of the segments that two linked sets share, the least shared is then left to both
+    rank = F.row_number().over(Window.partitionBy("sig", "spare").orderBy(F.desc("sharing"), "segment"))
+    found = found.withColumn("rank", rank).where(F.col("rank") > F.expr(f"spare div {CLASSES}")).select("segment", "sig")
+    least = found.groupBy("segment").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).where("low < high").select("segment", "low")
+    stars = found.join(least, "segment").where("sig != low").select(F.col("sig").alias("a"), F.col("low").alias("b"))
+    families = scratch.save(components(scratch, stars), "families")
+    first_of = full.groupBy("sig").agg(F.min("key").alias("key"), F.min("n").alias("n"))
+    wanted = scratch.save(families.join(first_of, F.col("node") == F.col("sig")).select("key", "sig", "root", "n"), "wanted")
+    parts = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / ELEMENTS)).cast("int")
+    wanted = wanted.join(wanted.groupBy("root").agg(parts.alias("blocks")), "root").select("key", "sig", "root", "blocks")
 
     def collected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -260,7 +346,7 @@ def similar(spark: SparkSession, docs: DataFrame, n: int = 5, num: int = 80, den
             for k, (text, sig) in enumerate(zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("sig").to_pylist())):
                 tokens = grams(text, n)
                 # of rows that share a doc_id, those with another text don't count
-                if int(mixed(mixed(tokens).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(tokens))).view(np.int64)[0]) == sig:
+                if signature(tokens) == sig:
                     raw.append(tokens.tobytes())
                     keep.append(k)
             take = pa.array(keep, pa.int64())
