@@ -39,7 +39,7 @@ class _Words(dict):
 class Encoder:
     """Ids of texts as the tokenizer file gives them, without special tokens of its own."""
 
-    def __init__(self, path: str, most: int = 1_500_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         self.tokenizer = Tokenizer.from_file(path)
         spec = json.load(open(path, encoding="utf-8"))
         steps = spec["normalizer"]["normalizers"]
@@ -55,25 +55,26 @@ class Encoder:
     def _clear(self) -> None:
         self.words = _Words(self)
         self.starts, self.lengths, self.flat = array("q"), array("i"), array("I")
-        self.parts: dict[str, list[int]] = {}
+        self.parts: dict[str, bytes] = {}
 
-    def _part(self, part: str) -> list[int]:
+    def _part(self, part: str) -> bytes:
+        """A pre-token's ids as packed unsigned integers."""
         ids = self.parts.get(part)
         if ids is None:
-            ids = [t.id for t in self.tokenizer.model.tokenize(part if part.isascii() else "".join([self.bytes[b] for b in part.encode()]))]
+            ids = array("I", [t.id for t in self.tokenizer.model.tokenize(part if part.isascii() else "".join([self.bytes[b] for b in part.encode()]))]).tobytes()
             self.parts[part] = ids
         return ids
 
     def _add(self, chunk: bytes) -> int:
         text = chunk.decode()
         if max(text) < FIRST_COMBINING and not any(a in text for a in self.added):
-            ids = [i for part in self.pattern.findall(text.lower()) for i in self._part(part)]
+            ids = b"".join(map(self._part, self.pattern.findall(text.lower())))
         else:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         k = self.words[chunk] = len(self.starts)
         self.starts.append(len(self.flat))
-        self.lengths.append(len(ids))
-        self.flat.extend(ids)
+        self.lengths.append(len(ids) // self.flat.itemsize)
+        self.flat.frombytes(ids)
         return k
 
     def encode(self, texts: list[bytes | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
