@@ -21,10 +21,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by five-word shingles at 0.8 or more, the one with the least doc_id stays."""
     groups = jaccard_trie.similar(spark, docs.select("doc_id", "text"), 5, 80, 100)
-    # a row is named by doc_id and text; of rows equal in both, one stays
-    gone = groups.where(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "text_hash").distinct()
-    rows = docs.withColumn("text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "text_hash"])
-    return rows.join(gone, rows["doc_id"].eqNullSafe(gone["doc_id"]) & (rows["text_hash"] == gone["text_hash"]), "left_anti").select(*docs.columns)
+    # a row is named by doc_id and text; of rows equal in both, one stays. One exchange serves the join and the duplicates
+    named = lambda df: df.withColumn("doc_key", F.coalesce("doc_id", F.lit(-1)))
+    gone = groups.where(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    rows = named(docs).withColumn("text_hash", F.xxhash64("text"))
+    return rows.join(named(gone).select("doc_key", "text_hash").distinct(), ["doc_key", "text_hash"], "left_anti").dropDuplicates(["doc_key", "text_hash"]).select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -328,6 +328,7 @@ def similar(spark: SparkSession, docs: DataFrame, n: int = 5, num: int = 80, den
 
     dealt = keyed.select("text").mapInArrow(segments, "segment long, sig long, spare int").repartition("segment").sortWithinPartitions("segment", "sig")
     found = scratch.save(dealt.mapInArrow(shared, "segment long, sig long, spare int, sharing int").distinct(), "shared")
+    scratch.release()
     # a link shares more than `spare` of a class's segments, so each set may drop as many of its most shared
     # ones: of the segments that two linked sets share, the least shared is then left to both
     rank = F.row_number().over(Window.partitionBy("sig", "spare").orderBy(F.desc("sharing"), "segment"))
@@ -373,6 +374,7 @@ def similar(spark: SparkSession, docs: DataFrame, n: int = 5, num: int = 80, den
 
     grouped = placed.select(*unit, "sig", "tokens").repartition(*unit).sortWithinPartitions(*unit)
     links = scratch.save(grouped.mapInArrow(linked, "a long, b long"), "links")
+    scratch.release()
     linked_to = components(scratch, links)
     each = full.groupBy("sig").agg(F.min("doc_id").alias("least"))
     each = scratch.save(each.join(linked_to, each["sig"] == linked_to["node"], "left").select("sig", "least", F.coalesce("root", "sig").alias("root")), "each")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -51,6 +52,11 @@ class Scratch:
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def release(self) -> None:
+        """Let Spark delete the shuffle files of jobs that are done; it does so when the driver's garbage is collected."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, name: str) -> None:
         remove(self.spark, self.path(name))
 

@@ -179,6 +179,7 @@ def repeats(spark: SparkSession, docs: DataFrame, length: int, scratch: Scratch)
     again = every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     found = scratch.save(every.join(again, "anchor").drop("anchor"), "repeated")
     scratch.drop("anchors")
+    scratch.release()
     place = F.struct("key", "th", "at")
     distinct = found.groupBy("context", "left", "right").agg(F.count("*").alias("n"), F.min(place).alias("place"))
     distinct = scratch.save(distinct.select("context", "n", "place.*", "left", "right"), "contexts")
@@ -203,6 +204,7 @@ def repeats(spark: SparkSession, docs: DataFrame, length: int, scratch: Scratch)
     # equal rows (doc_id and text) have equal contexts: one of them is enough
     bodies = texts.join(wanted, ["key", "th"]).mapInArrow(cut, "key long, th long, at long, lead long, body binary").dropDuplicates(["key", "th", "at"])
     bodies = scratch.save(bodies, "bodies")
+    scratch.release()
     dealt = bodies.join(shared.where(F.col("members") <= MOST).select("key", "th", "at", "half"), ["key", "th", "at"])
 
     def columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +243,9 @@ def repeats(spark: SparkSession, docs: DataFrame, length: int, scratch: Scratch)
     twice = crowd.groupBy("string").agg(F.count("*").alias("n")).where("n > 1").select("string")
     by_hash = crowd.join(twice, "string").select("key", "th", "start", (F.col("start") + length).alias("end"))
     spans = whole.union(by_columns).union(by_hash).groupBy("key", "th").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
-    return keyed, scratch.save(spans, "spans")
+    spans = scratch.save(spans, "spans")
+    scratch.release()
+    return keyed, spans
 
 
 def _merged(spans: list[dict] | None, n: int) -> list[tuple[int, int]]:
