@@ -323,3 +323,14 @@ def test_em_equals_its_definition(spark):
         a = np.clip(a / ((n[:, None] * abs(v)).sum(axis=0) + 5), 0.02, 0.98)
         q = 1 / (1 + np.exp(-(v * (np.log(a) - np.log(1 - a))).sum(axis=1)))
     assert all(np.isclose(got[tuple(p[0])], x) for p, x in zip(patterns, q))
+
+
+@pytest.mark.parametrize("shape", ["path", "random", "star", "none"])
+def test_components(spark, shape):
+    from gazeloom.llm.shared import Scratch, components
+
+    rng = random.Random(8)
+    edges = {"path": [(k, k + 1) for k in range(40)], "random": [(rng.randrange(200), rng.randrange(200)) for _ in range(150)], "star": [(0, k) for k in range(1, 9)], "none": []}[shape]
+    got = {r.node: r.root for r in components(Scratch(spark, "t"), spark.createDataFrame(edges, "a long, b long")).collect()}
+    root = groups(200, edges)
+    assert got == {x: root[x] for a, b in edges if a != b for x in (a, b)}
