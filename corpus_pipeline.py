@@ -25,7 +25,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     named = lambda df: df.withColumn("doc_key", F.coalesce("doc_id", F.lit(-1)))
     gone = groups.where(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id")))
     rows = named(docs).withColumn("text_hash", F.xxhash64("text"))
-    return rows.join(named(gone).select("doc_key", "text_hash").distinct(), ["doc_key", "text_hash"], "left_anti").dropDuplicates(["doc_key", "text_hash"]).select(*docs.columns)
+    return rows.join(named(gone).select("doc_key", "text_hash").distinct().hint("merge"), ["doc_key", "text_hash"], "left_anti").dropDuplicates(["doc_key", "text_hash"]).select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

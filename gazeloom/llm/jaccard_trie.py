@@ -353,7 +353,8 @@ def similar(spark: SparkSession, docs: DataFrame, n: int = 5, num: int = 80, den
             take = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("sig").take(take), batch.column("root").take(take), batch.column("blocks").take(take), pa.array(raw, pa.binary())], names=["sig", "root", "blocks", "tokens"])
 
-    texts = keyed.select("key", "text").join(wanted, "key").select("text", "sig", "root", "blocks")
+    # the same plan at every size: a broadcast that small inputs allow says nothing about large ones
+    texts = keyed.select("key", "text").join(wanted.hint("merge"), "key").select("text", "sig", "root", "blocks")
     placed = texts.mapInArrow(collected, "sig long, root long, blocks int, tokens binary")
     block = F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")
     placed = placed.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
