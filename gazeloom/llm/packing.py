@@ -157,13 +157,12 @@ def pack(spark: SparkSession, docs: DataFrame, length: int = 2048, vocabulary: s
     def seat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kinds, ranks = batch.column("kind").to_numpy(), batch.column("rank").to_numpy()
-            sequence, place = np.zeros(len(kinds), np.int64), np.zeros(len(kinds), np.int64)
+            sequence = np.zeros(len(kinds), np.int64)
             for k in np.unique(kinds):
                 mine = np.flatnonzero(kinds == k)
                 found = np.searchsorted(firsts[int(k)], ranks[mine], side="right") - 1
                 table = np.array(slots[int(k)])[found]
                 sequence[mine] = table[:, 2] + (ranks[mine] - table[:, 0]) // table[:, 1]
-                place[mine] = int(k)
             keep = [batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*keep, pa.array(sequence)], names=[*names, "sequence_id"])
 

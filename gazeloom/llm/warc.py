@@ -11,7 +11,7 @@ group of any size is a row. The dictionary is trained on the archive's first rec
 `sample` bytes: a bound on memory that decides only how small records get.
 
 Nulls: a null html is an empty payload, a null url an empty target; null page_ids are archived,
-lose to any other page_id, and among themselves the first found is the response. Rows equal in
+lose to any other page_id, and if a group has no other, its records are all responses. Rows equal in
 page_id and payload: one is the response, the others revisit it. Empty tables give no archive.
 """
 
@@ -23,7 +23,6 @@ import struct
 import uuid
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -94,14 +93,19 @@ def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     coder = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(data[8 : 8 + size]))
     at, view = 8 + size, memoryview(data)
     while at < len(data):
-        d = coder.decompressobj()
-        whole = d.decompress(view[at:])
-        at = len(data) - len(d.unused_data)
-        yield parse(whole)
+        d, parts = coder.decompressobj(), []
+        while not d.eof:
+            if at >= len(data):
+                raise ValueError("the archive ends within a record")
+            # in steps, as what lies behind a frame is copied
+            parts.append(d.decompress(view[at : at + (64 << 10)]))
+            at += min(64 << 10, len(data) - at)
+        at -= len(d.unused_data)
+        yield parse(b"".join(parts))
 
 
 def decide(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """pages with sha1, digest of equality (same), and for payloads of a repeated group the page_id of its response (response_id)."""
+    """For each payload that comes twice or more: its SHA-256 (same) and the page_id of its response (response_id)."""
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     small = pages.select("page_id", F.sha2(body, 256).alias("same"), F.octet_length(body).alias("n")).where(F.col("n") >= least)
     groups = small.groupBy("same").agg(F.max("page_id").alias("response_id"), F.count("*").alias("copies")).where("copies > 1").select("same", "response_id")
@@ -196,6 +200,3 @@ def read(spark: SparkSession, manifest: DataFrame) -> DataFrame:
 def ratio(manifest: DataFrame) -> float:
     r = manifest.agg(F.sum("bytes"), F.sum("records")).first()
     return float(r[0] or 0) / max(1, r[1] or 0)
-
-
-__all__ = ["Archive", "decide", "parse", "ratio", "read", "record", "records", "train", "write", "np"]
