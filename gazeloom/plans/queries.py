@@ -332,6 +332,12 @@ def taxonomy_match(spark, d):
     return table(spark, d, "documents").select("doc_id", text.match_taxonomy(F.substring("text", 1, 400)).alias("task"))
 
 
+@query()
+def taxonomy_match_whole(spark, d):
+    """taxonomy_match, whose SQL reads 400 characters, over whole texts."""
+    return table(spark, d, "documents").select("doc_id", text.match_taxonomy(F.col("text")).alias("task"))
+
+
 @query("with x as (select event_id, floor(value * 97)::int as s from events) select event_id, printf('%02d:%02d', s // 60, s % 60) as clock from x")
 def clock_format(spark, d):
     return events(spark, d).select("event_id", text.clock(F.col("value") * 97).alias("clock"))

@@ -47,3 +47,25 @@ def test_activity_similarity_clock(spark):
     assert one(spark, text.parse_score, a="nothing").reason == "unparseable judge reply"
     assert one(spark, text.clean_scene, a=' "Car service." \nmore') == "Car service"
     assert one(spark, text.label_color, a="unknown") == "#64748b"
+
+
+def matched(value):
+    """The rules of match_taxonomy in plain Python, over the whole value."""
+    v = (value or "").strip(" ").lower()
+    if not v:
+        return None
+    exact = [t for t in text.TAXONOMY if v == t]
+    loose = [t for t in text.TAXONOMY if t in v or v in t]
+    words = [t for k, t in text.TAXONOMY_KEYWORDS if k in v]
+    return next(iter(exact + loose + words), None)
+
+
+def test_taxonomy_of_whole_texts(spark, tmp_path):
+    from gazeloom.plans.queries import QUERIES
+
+    # what decides comes after character 400, or a later label goes before an earlier keyword
+    said = [None, "", "  ", "peeling an orange", "x" * 400 + " latch", "x" * 398 + "latch", "walk " + "y" * 900 + " moving container", "z" * 5000 + " Idle/Waiting", " " * 500 + "gate", "o" * 1000]
+    spark.createDataFrame(list(enumerate(said)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r.task for r in QUERIES["taxonomy_match_whole"](spark, str(tmp_path)).collect()}
+    assert found == {k: matched(v) for k, v in enumerate(said)}
+    assert found[4] == found[5] == "manipulating lock or latch" and found[6] == "moving container" and found[8] == "opening gate/enclosure"
