@@ -11,8 +11,10 @@ edges: a set walks down it with its partial overlap, shared by all sets below an
 subtree when the elements missed so far, of either side, exceed what the largest set below allows.
 Families of more than BLOCK sets or ELEMENTS elements are split into blocks, and all pairs of blocks are joined.
 
-The result needs components only, so a subtree whose sets are all in the walker's component is
-passed by; a family of near copies costs about a path for each copy, and no pairs are listed.
+Where only components are asked for, a subtree whose sets are all in the walker's component is
+passed by; a family of near copies costs about a path for each copy. With links=True every end is
+verified and each document has the number of rows it is linked to, of equal sets or others; that
+costs a visit for each linked pair of sets. No pairs are listed.
 
 Words are runs of anything but ASCII white space, with A-Z in lower case. Texts with fewer words
 than n are one n-gram. Nulls and texts without words have an empty set and are components of their
@@ -135,8 +137,12 @@ class _Node:
         self.largest, self.alone, self.one, self.many = largest, alone, one, False
 
 
-def join(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
-    """For each set, the least index linked to it, over any number of links."""
+def join(sets: list[np.ndarray], num: int, den: int, links: np.ndarray | None = None, weights: np.ndarray | None = None, sides: np.ndarray | None = None, inner: tuple[int, ...] = ()) -> np.ndarray:
+    """For each set, the least index linked to it, over any number of links.
+
+    If links is given, all pairs are verified, and each adds the other set's weight to links; where sides are
+    given, only pairs of different sides add, and those within the sides of inner.
+    """
     parent = list(range(len(sets)))
 
     def find(x: int) -> int:
@@ -168,7 +174,7 @@ def join(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
         stack = _ways(root, tokens, 0, 0, 0)
         while stack:
             node, depth, overlap = stack.pop()
-            if not node.many and find(node.one) == find(x):
+            if links is None and not node.many and find(node.one) == find(x):
                 continue
             depth += len(node.edge)
             overlap += int(np.count_nonzero(own[node.edge]))
@@ -180,6 +186,9 @@ def join(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
             for y in node.ends:
                 if overlap * (num + den) >= num * (size + sizes[y]):
                     unite(x, y)
+                    if links is not None and (sides is None or sides[x] != sides[y] or sides[x] in inner):
+                        links[x] += weights[y]
+                        links[y] += weights[x]
             if node.below:
                 stack += _ways(node, tokens, at, depth, overlap)
         own[tokens] = False
@@ -239,8 +248,8 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
         yield rest
 
 
-def similar(spark: SparkSession, docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id, text_hash (xxhash64 of the text) for each row of docs (doc_id, text). Links: den * intersection >= num * union."""
+def similar(spark: SparkSession, docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, links: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, text_hash (xxhash64 of the text) for each row of docs (doc_id, text), and n_links if asked for. Links: den * intersection >= num * union."""
     if 3 * num < 2 * den:
         raise ValueError("size classes hold for similarities of two thirds or more")
     ship(spark)
@@ -336,10 +345,11 @@ def similar(spark: SparkSession, docs: DataFrame, n: int = 5, num: int = 80, den
     least = found.groupBy("segment").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).where("low < high").select("segment", "low")
     stars = found.join(least, "segment").where("sig != low").select(F.col("sig").alias("a"), F.col("low").alias("b"))
     families = scratch.save(components(scratch, stars), "families")
-    first_of = full.groupBy("sig").agg(F.min("key").alias("key"), F.min("n").alias("n"))
-    wanted = scratch.save(families.join(first_of, F.col("node") == F.col("sig")).select("key", "sig", "root", "n"), "wanted")
+    weight = ["weight"] if links else []  # the rows of a set
+    first_of = full.groupBy("sig").agg(F.min("key").alias("key"), F.min("n").alias("n"), *(F.count("*").alias(c) for c in weight))
+    wanted = scratch.save(families.join(first_of, F.col("node") == F.col("sig")).select("key", "sig", "root", "n", *weight), "wanted")
     parts = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / ELEMENTS)).cast("int")
-    wanted = wanted.join(wanted.groupBy("root").agg(parts.alias("blocks")), "root").select("key", "sig", "root", "blocks")
+    wanted = wanted.join(wanted.groupBy("root").agg(parts.alias("blocks")), "root").select("key", "sig", "root", "blocks", *weight)
 
     def collected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -351,11 +361,12 @@ def similar(spark: SparkSession, docs: DataFrame, n: int = 5, num: int = 80, den
                     raw.append(tokens.tobytes())
                     keep.append(k)
             take = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("sig").take(take), batch.column("root").take(take), batch.column("blocks").take(take), pa.array(raw, pa.binary())], names=["sig", "root", "blocks", "tokens"])
+            names = ["sig", "root", "blocks", *weight]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in names), pa.array(raw, pa.binary())], names=[*names, "tokens"])
 
     # the same plan at every size: a broadcast that small inputs allow says nothing about large ones
-    texts = keyed.select("key", "text").join(wanted.hint("merge"), "key").select("text", "sig", "root", "blocks")
-    placed = texts.mapInArrow(collected, "sig long, root long, blocks int, tokens binary")
+    texts = keyed.select("key", "text").join(wanted.hint("merge"), "key").select("text", "sig", "root", "blocks", *weight)
+    placed = texts.mapInArrow(collected, f"sig long, root long, blocks int, {'weight long, ' * links}tokens binary")
     block = F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")
     placed = placed.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     # a family of one block is one unit; otherwise the pairs of different blocks, each of which joins within both
@@ -369,17 +380,31 @@ def similar(spark: SparkSession, docs: DataFrame, n: int = 5, num: int = 80, den
             if len(sigs) < 2:
                 continue
             tokens = part["tokens"].take(pa.array(first)).to_pylist()
-            low = join([np.frombuffer(t, np.uint64) for t in tokens], num, den)
-            other = low != np.arange(len(low))
-            yield pa.RecordBatch.from_arrays([pa.array(sigs[other]), pa.array(sigs[low[other]])], names=["a", "b"])
-
-    grouped = placed.select(*unit, "sig", "tokens").repartition(*unit).sortWithinPartitions(*unit)
-    links = scratch.save(grouped.mapInArrow(linked, "a long, b long"), "links")
+            sets = [np.frombuffer(t, np.uint64) for t in tokens]
+            if not links:
+                low = join(sets, num, den)
+                other = low != np.arange(len(low))
+                yield pa.RecordBatch.from_arrays([pa.array(sigs[other]), pa.array(sigs[low[other]])], names=["a", "b"])
+                continue
+            x, y = part["x"][0].as_py(), part["y"][0].as_py()
+            # a block is in several units: the pairs within it count in its unit with block 0, those of block 0 in the one with block 1
+            sides = part["block"].to_numpy()[first] if x != y else None
+            count = np.zeros(len(sets), np.int64)
+            low = join(sets, num, den, count, part["weight"].to_numpy()[first], sides, (0, 1) if y == 1 else (y,) if x == 0 else ())
+            some = (count > 0) | (low != np.arange(len(low)))
+            yield pa.RecordBatch.from_arrays([pa.array(z[some]) for z in (sigs, sigs[low], count)], names=["a", "b", "n"])
+
+    grouped = placed.select(*unit, "sig", "tokens", *(["block", "weight"] if links else [])).repartition(*unit).sortWithinPartitions(*unit)
+    edges = scratch.save(grouped.mapInArrow(linked, "a long, b long" + ", n long" * links), "links")
     scratch.release()
-    linked_to = components(scratch, links)
-    each = full.groupBy("sig").agg(F.min("doc_id").alias("least"))
-    each = scratch.save(each.join(linked_to, each["sig"] == linked_to["node"], "left").select("sig", "least", F.coalesce("root", "sig").alias("root")), "each")
+    linked_to = components(scratch, edges.where("a != b").select("a", "b") if links else edges)
+    each = full.groupBy("sig").agg(F.min("doc_id").alias("least"), *(F.count("*").alias(c) for c in weight))
+    each = scratch.save(each.join(linked_to, each["sig"] == linked_to["node"], "left").select("sig", "least", F.coalesce("root", "sig").alias("root"), *weight), "each")
     first = each.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = each.join(first, "root").select("sig", "component_id")
+    named = each.join(first, "root").select("sig", "component_id", *weight)
+    if links:
+        sums = edges.groupBy(F.col("a").alias("sig")).agg(F.sum("n").alias("n_links"))
+        named = named.join(sums, "sig", "left").select("sig", "component_id", (F.col("weight") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links"))
     rows = sets.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("sig")).alias("sig"))
-    return rows.join(named, "sig", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "text_hash")
+    counted = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if links else []
+    return rows.join(named, "sig", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "text_hash", *counted)

@@ -81,6 +81,24 @@ def test_trie_join_equals_all_pairs():
     assert jaccard_trie.join(sets, 85, 100).tolist() == groups(120, pairs)
 
 
+@pytest.mark.parametrize("block", [4000, 7])
+def test_jaccard_counts_all_links(spark, rows, block, monkeypatch):
+    monkeypatch.setattr(jaccard_trie, "BLOCK", block)
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    copies = [" ".join(f"new{k}" if rng.random() < 0.008 else w for w in words) for k in range(30)]  # not all are linked with each other
+    said = [(r[0], r[1]) for r in rows] + [(100 + k, t) for k, t in enumerate([*copies, copies[0], copies[0]])]
+    sets = []
+    for _, t in said:
+        w = [x.lower() for x in WORD.findall(t or "")]
+        n = min(3, len(w))
+        sets.append({tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if w else set())
+    linked = [[i != j and bool(a) and bool(b) and 100 * len(a & b) >= 90 * len(a | b) for j, b in enumerate(sets)] for i, a in enumerate(sets)]
+    assert 0 < sum(map(sum, linked[-32:])) < 32 * 31
+    got = jaccard_trie.similar(spark, spark.createDataFrame(said, "doc_id long, text string"), 3, 90, 100, links=True).collect()
+    assert Counter((r.doc_id, r.n_links) for r in got) == Counter((s[0], sum(x)) for s, x in zip(said, linked))
+
+
 def test_suffixes(spark, rows, docs):
     texts = [(r[1] or "").encode() for r in rows]
     for length in (200, 64):
