@@ -95,10 +95,14 @@ class Engine:
         return rollups.context_lines(rows, "video_id", "start_time", "end_time", "said", self.thresholds.chat_max_segments)
 
     def answer(self, question: str, ask: Callable[[str, str], str], video_id: str | None = None, most: int = 50) -> dict:
-        """Asks a provided model about the timelines of one video or of the first `most` (a prompt's bound)."""
-        blocks = [r.context for r in self.build_context(video_id).orderBy("video_id").limit(most).collect()]
-        context = "\n\n".join(blocks) or "(no processed footage with commentary yet)"
-        return {"answer": ask(context, question), "videos": len(blocks)}
+        """Asks a provided model about the timelines of one video or of all, `most` at a time (a prompt's bound); several answers are the context of a last one."""
+        blocks = [r.context for r in self.build_context(video_id).orderBy("video_id").collect()]
+        said, step = blocks or ["(no processed footage with commentary yet)"], most
+        while True:
+            said = [ask("\n\n".join(said[k : k + step]), question) for k in range(0, len(said), step)]
+            if len(said) == 1:
+                return {"answer": said[0], "videos": len(blocks)}
+            step = max(2, most)
 
     def export_bundle(self, video_id: str) -> bytes:
         """A zip of one video's record, segments and events."""

@@ -23,3 +23,14 @@ def test_from_labels_to_overview(spark, tmp_path):
     assert e.answer("what?", lambda c, q: str(len(c) > 0))["answer"] == "True"
     assert "events.json" in zipfile.ZipFile(io.BytesIO(e.export_bundle("v1"))).namelist()
     assert [t.count() for t in e.delete("v1")] == [1, 0, 0]
+
+
+def test_answer_reads_all_videos(spark, tmp_path):
+    rows = [(f"v{k:03}", 0.0, 1.0, "idle/waiting", 0.9, f"sees thing {k:03}") for k in range(120)]
+    spark.createDataFrame(rows, "video_id string, start_time double, end_time double, task_label string, confidence double, description string").write.parquet(f"{tmp_path}/segments")
+    prompts = []
+    e = Engine(spark, str(tmp_path))
+    found = e.answer("what?", lambda c, q: prompts.append(c) or c, most=50)
+    assert found["videos"] == 120 and all(f"sees thing {k:03}" in found["answer"] for k in range(120))
+    assert [p.count("sees thing") for p in prompts] == [50, 50, 20, 120]
+    assert e.answer("what?", lambda c, q: c, most=1)["answer"].count("sees thing") == 120
