@@ -5,9 +5,10 @@ Remainders, rounded up to GRAIN, form a histogram of at most length / GRAIN item
 program chooses how often to use each pattern (a multiset of types that fits a sequence); its dual
 prices go to a knapsack dynamic program that finds the best new pattern, until none pays. Pattern
 counts are rounded down and the few items left are packed first-fit decreasing. Documents' remainders
-are ranked within their type, and a rank computes its sequence and its place there.
+are ranked within their type, and a rank computes its sequence and its place there. A second plan gives
+remainders of at most FINE sequences of their own, by exact lengths; the one with fewer sequences is taken.
 
-The plan has at most length / GRAIN types and the driver sees only the histogram, so it does not
+The plan has at most FINE + length / GRAIN types and the driver sees only the histogram, so it does not
 grow with the corpus; ranks are found in hash buckets, so no type meets in one task.
 
 Nulls: a null text is the end id alone; null doc_ids and repeated rows are packed like any other.
@@ -27,17 +28,23 @@ from pyspark.sql import functions as F
 from gazeloom.llm.shared import Scratch, ranked, ship, small_batches
 from gazeloom.llm.tokens import encoder, vocabulary_path
 
-GRAIN = 8
+#: Lengths of a plan are rounded up to GRAIN; in the second plan those up to FINE are exact.
+GRAIN, FINE = 8, 64
 
 
 def knapsack(prices: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     """Best value and counts of items of sizes 1..len(prices), any number of each, within the capacity."""
     best, last = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+    sizes = np.flatnonzero(prices > 0) + 1
+    worth = prices[sizes - 1]
+    fits = np.searchsorted(sizes, np.arange(capacity + 1), side="right").tolist()
     for c in range(1, capacity + 1):
-        k = min(c, len(prices))
-        values = best[c - k : c][::-1] + prices[:k]  # the last item has size 1..k
-        i = int(values.argmax())
-        best[c], last[c] = (values[i], i + 1) if values[i] > best[c - 1] + 1e-12 else (best[c - 1], 0)
+        best[c] = best[c - 1]
+        if k := fits[c]:
+            values = best[c - sizes[:k]] + worth[:k]
+            i = int(values.argmax())
+            if values[i] > best[c - 1] + 1e-12:
+                best[c], last[c] = values[i], sizes[i]
     counts, c = np.zeros(len(prices), np.int64), capacity
     while c > 0:
         if last[c]:
@@ -107,7 +114,7 @@ def plan(demand: np.ndarray) -> tuple[dict[int, list[tuple[int, int, int]]], int
     # the rest, largest first; each run of equal sequences is placed at once
     while left.any():
         pattern, room = np.zeros(n, np.int64), n
-        for t in range(n - 1, -1, -1):
+        for t in np.flatnonzero(left)[::-1]:
             pattern[t] = min(left[t], room // (t + 1))
             room -= pattern[t] * (t + 1)
         has = pattern > 0
@@ -115,6 +122,33 @@ def plan(demand: np.ndarray) -> tuple[dict[int, list[tuple[int, int, int]]], int
     return slots, sequence
 
 
+def best_plan(demand: np.ndarray) -> tuple[dict[int, list[tuple[int, int, int]]], int, bool]:
+    """(slots by size, number of sequences, whether sizes up to FINE are exact). demand: counts of sizes 1..n, above FINE only multiples of GRAIN and n."""
+    n = len(demand)
+    sizes = np.arange(1, n + 1)
+
+    def coarse(counts: np.ndarray) -> tuple[dict[int, list[tuple[int, int, int]]], int]:
+        units = np.bincount(-(-sizes // GRAIN) - 1, weights=counts).astype(np.int64)
+        if n % GRAIN:
+            # what is rounded up past a sequence's end is alone in it
+            over, units = int(units[-1]), units[:-1]
+        slots, used = plan(units) if len(units) else ({}, 0)
+        slots = {k * GRAIN: v for k, v in slots.items()}
+        if n % GRAIN and over:
+            slots[n], used = [(0, 1, used)], used + over
+        return slots, used
+
+    slots, used = coarse(demand)
+    short = np.where(sizes <= FINE, demand, 0)
+    if short.any():
+        exact, first = plan(short)
+        rest, more = coarse(demand - short)
+        if first + more < used:
+            exact |= {k: [(a, b, c + first) for a, b, c in v] for k, v in rest.items()}
+            return exact, first + more, True
+    return slots, used, False
+
+
 def pieces(spark: SparkSession, docs: DataFrame, vocabulary: str | None, end: int, length: int, emit_ids: bool) -> DataFrame:
     """doc_id, row, start, length, ids_crc32, doc_tokens (and ids) of each piece."""
     vocabulary = vocabulary or vocabulary_path()
@@ -145,13 +179,16 @@ def pack(spark: SparkSession, docs: DataFrame, length: int = 2048, vocabulary: s
     small_batches(spark)
     scratch = Scratch(spark, "pack")
     all_pieces = scratch.save(pieces(spark, docs, vocabulary, end, length, emit_ids), "pieces")
-    kind = F.ceil(F.col("length") / GRAIN).cast("int")
-    rest = all_pieces.where(F.col("length") < length).withColumn("kind", kind)
+    size = F.col("length")
+    rounded = F.least(F.ceil(size / GRAIN) * GRAIN, F.lit(length)).cast("int")
+    kind = F.when(size <= FINE, size.cast("int")).otherwise(rounded)
+    rest = all_pieces.where(size < length)
     whole = all_pieces.where(F.col("length") == length)
-    demand = np.zeros(length // GRAIN, np.int64)
-    for r in rest.groupBy("kind").count().collect():  # at most length / GRAIN rows
+    demand = np.zeros(length, np.int64)
+    for r in rest.groupBy(kind.alias("kind")).count().collect():  # at most FINE + length / GRAIN rows
         demand[r["kind"] - 1] = r["count"]
-    slots, n_sequences = plan(demand)
+    slots, n_sequences, fine = best_plan(demand)
+    rest = rest.withColumn("kind", kind if fine else rounded)
     firsts = {k: np.array([x[0] for x in v]) for k, v in slots.items()}
 
     def seat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

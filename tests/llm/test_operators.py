@@ -189,6 +189,12 @@ def test_packing_plan_is_near_the_bound():
     assert all(sum(1 for _ in slots.get(k + 1, [])) > 0 for k in np.flatnonzero(demand))
 
 
+def test_packing_of_short_texts_is_tight(spark):
+    none_said = spark.createDataFrame([(k, None) for k in range(2048)], "doc_id long, text string")
+    got = packing.pack(spark, none_said, 2048).collect()
+    assert len(got) == 2048 and {r.sequence_id for r in got} == {0} and sorted(r.offset for r in got) == list(range(2048))
+
+
 def test_warc(spark, none):
     big = "<p>" + "z" * 1200
     rows = [(1, "u1", big), (5, "u5", big), (5, "u5", big), (3, "a\r\nb", big + "!"), (4, "u4", "short"), (2, "u2", "short"), (6, None, None), (None, "u", big), (7, "u", "é" * 700), (8, "u", "é" * 700)]
