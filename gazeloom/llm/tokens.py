@@ -61,7 +61,8 @@ class Encoder:
         """A pre-token's ids as packed unsigned integers."""
         ids = self.parts.get(part)
         if ids is None:
-            ids = array("I", [t.id for t in self.tokenizer.model.tokenize(part if part.isascii() else "".join([self.bytes[b] for b in part.encode()]))]).tobytes()
+            # every byte goes through the alphabet: control characters don't stand for themselves
+            ids = array("I", [t.id for t in self.tokenizer.model.tokenize("".join([self.bytes[b] for b in part.encode()]))]).tobytes()
             self.parts[part] = ids
         return ids
 
@@ -89,10 +90,11 @@ class Encoder:
         counts = np.fromiter(map(len, split), np.int64, len(split))
         find = self.words.__getitem__
         which = np.fromiter((k for words in split for k in map(find, words)), np.int64, int(counts.sum()))
-        starts, lengths = np.array(self.starts, np.int64)[which] if len(which) else which, np.array(self.lengths, np.int64)[which] if len(which) else which
-        after = np.concatenate([[0], np.cumsum(lengths)])
+        # views, not copies: they are gone before the next word is added
+        starts, lengths = np.frombuffer(self.starts, np.int64)[which], np.frombuffer(self.lengths, np.int32)[which]
+        after = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
         take = np.repeat(starts - after[:-1], lengths) + np.arange(after[-1])
-        ids = np.array(self.flat, np.uint32)[take]
+        ids = np.frombuffer(self.flat, np.uint32)[take]
         bounds = after[np.concatenate([[0], np.cumsum(counts)])]
         if end is not None:
             ids = np.insert(ids, bounds[1:], np.uint32(end))

@@ -147,6 +147,25 @@ def test_encoder_equals_the_library():
         assert got[a:b].tolist() == t.encode(x, add_special_tokens=False).ids
 
 
+def test_encoder_equals_the_library_on_any_character():
+    t, e = tokens.Tokenizer.from_file(tokens.vocabulary_path()), tokens.Encoder(tokens.vocabulary_path())
+    rng = random.Random(1)
+    pools = [[chr(c) for c in range(0x80)], [chr(c) for c in range(0x250)], ["\u0301", "\u0308", "é", "e", "İ", "ß", "Σ", "ς", "日", "ก", "\u200d", "🙂", "<|endoftext|>", "<|startoftext|>", "'s", "'ll", "\x85", "\xa0", "\u3000", "a", "9", "!", " "]]
+    texts = ["".join(rng.choice(rng.choice(pools)) for _ in range(rng.randrange(40))) for _ in range(3000)]
+    got, bounds = e.encode([x.encode() for x in texts])
+    for x, a, b in zip(texts, bounds, bounds[1:]):
+        assert got[a:b].tolist() == t.encode(x, add_special_tokens=False).ids, repr(x)
+
+
+def test_control_characters_keep_their_ids(spark):
+    t = tokens.Tokenizer.from_file(tokens.vocabulary_path())
+    said = [(k, x) for k, x in enumerate(["a\x00b", "a\x1cb \x7f x", "\x01", "plain", "\x1f\x1f\x00 \x0b"])]
+    docs = spark.createDataFrame(said, "doc_id long, text string")
+    want = {k: [*t.encode(x, add_special_tokens=False).ids, 1] for k, x in said}
+    assert {r.doc_id: (r.n_tokens, r.ids_crc32) for r in token_codes.read(spark, token_codes.write(spark, docs)).collect()} == {k: (len(x), crc(x)) for k, x in want.items()}
+    assert {r.doc_id: (r.doc_tokens, r.ids_crc32) for r in packing.pack(spark, docs, 2048).collect()} == {k: (len(x), crc(x)) for k, x in want.items()}
+
+
 def test_codes(spark, rows, docs, ids, none):
     x = np.array([0, 255, 256, 65535, 65536, 1 << 31, 5] * 300, np.uint32)
     levels = token_codes.encode(x)
@@ -179,6 +198,12 @@ def test_packing(spark, rows, docs, ids, none):
     assert packing.pack(spark, none, 64).count() == 0
 
 
+def test_inverse_by_elimination():
+    a = np.random.default_rng(0).normal(size=(40, 40))
+    a[0, 0] = 0
+    assert np.allclose(packing.inverse_of(a) @ a, np.eye(40))
+
+
 def test_packing_plan_is_near_the_bound():
     demand = np.random.default_rng(2).integers(0, 300, 64)
     slots, n = packing.plan(demand)
