@@ -55,6 +55,21 @@ def knapsack(prices: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     return float(best[capacity]), counts
 
 
+def inverse_of(a: np.ndarray) -> np.ndarray:
+    """Inverse of a small matrix by elimination with row pivots; no BLAS, whose threads may stall beside the driver's JVM."""
+    n = len(a)
+    work = np.concatenate([a.astype(float), np.eye(n)], axis=1)
+    for k in range(n):
+        p = k + int(np.abs(work[k:, k]).argmax())
+        if p != k:
+            work[[k, p]] = work[[p, k]]
+        work[k] /= work[k, k]
+        rows = np.flatnonzero(work[:, k])
+        rows = rows[rows != k]
+        work[rows] -= work[rows, k, None] * work[k]
+    return work[:, n:]
+
+
 def solve(demand: np.ndarray, rounds: int = 2000, gap: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
     """Patterns (a row each, counts of sizes 1..n; a sequence holds n) and how often each is used in the relaxed optimum.
 
@@ -68,7 +83,7 @@ def solve(demand: np.ndarray, rounds: int = 2000, gap: float = 1e-3) -> tuple[np
     patterns[np.arange(len(types)), types] = n // (types + 1)
     need = demand[types].astype(float)
     basis = patterns[:, types].T.astype(float)
-    inverse = np.linalg.inv(basis)
+    inverse = np.diag(1 / basis.diagonal())
     for k in range(rounds):
         prices = np.zeros(n)
         prices[types] = np.maximum(inverse.sum(axis=0), 0)
@@ -81,12 +96,12 @@ def solve(demand: np.ndarray, rounds: int = 2000, gap: float = 1e-3) -> tuple[np
         out = int(ratio.argmin())
         patterns[out], basis[:, out] = column, column[types]
         if k % 50 == 49:
-            inverse = np.linalg.inv(basis)
+            inverse = inverse_of(basis)
         else:  # the entering column takes the leaving one's row
             row = inverse[out] / step[out]
             inverse = inverse - np.outer(step, row)
             inverse[out] = row
-    return patterns, np.maximum(np.linalg.solve(basis, need), 0)
+    return patterns, np.maximum((inverse_of(basis) * need).sum(axis=1), 0)
 
 
 def plan(demand: np.ndarray) -> tuple[dict[int, list[tuple[int, int, int]]], int]:
