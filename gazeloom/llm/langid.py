@@ -7,17 +7,20 @@ times the language's prior. Piece probabilities are learned by expectation-maxim
 forward-backward counts on words of labelled texts.
 
 Fitting uses, per language, documents whose hash of doc_id is below a bound that makes about
-`per_language` of them, and of those the `most_words` commonest words; this bounds what the driver
-holds. Prediction reads every whole text. Words are runs of letters in lower case; runs longer than
-LONGEST letters are scored in parts of that length.
+`per_language` of them, and of those the `most_words` commonest words (ties by a hash) of up to
+`longest_word` letters; this bounds what the driver holds. Prediction reads every whole text and
+sums over all segmentations of every whole run of letters, in lower case, however long it is: the
+sums of the last positions are all that the next one needs, and they are rescaled before they vanish.
 
 Nulls: a null text, or one without a letter, is `und` with score 0; null langs are not learned from;
 null doc_ids are hashed as nothing and are neither learned from nor held out. With no labelled text
-everything is `und`. Repeated rows get equal answers; empty tables give empty results.
+everything is `und`. Repeated rows get equal answers; empty tables give empty results. Columns of
+docs named held_out, lang_pred or score give way to those of the result; others are kept.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,7 +33,11 @@ from pyspark.sql import functions as F
 from gazeloom.llm.shared import ship, small_batches
 
 LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
-LONGEST = 32
+#: Longer words are scored anew each time, so a worker's cache holds short strings.
+CACHED = 64
+#: Positions whose edges are listed at once, and the letters of a block of words.
+POSITIONS, LETTERS_AT_ONCE = 4096, 200_000
+FAINT, FAINTER = 1e-120, 1e120
 UNKNOWN = "und"
 
 
@@ -40,7 +47,7 @@ def pieces(path: str) -> list[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     found = {model.id_to_piece(k).replace("▁", "").lower() for k in range(model.get_piece_size())}
-    return sorted(p for p in found if p and len(p) <= LONGEST and LETTERS.fullmatch(p))
+    return sorted(p for p in found if p and LETTERS.fullmatch(p))
 
 
 class Lattices:
@@ -61,6 +68,8 @@ class Lattices:
                     if k is not None:
                         word.append(w), start.append(i), end.append(j), piece.append(k)
         self.n, self.lengths = len(words), np.array([len(w) for w in words], np.int64)
+        self.letters = np.ones(len(index) + 1)
+        self.letters[list(index.values())] = list(map(len, index))
         self.word, self.start, self.end, self.piece = (np.array(x, np.int64) for x in (word, start, end, piece))
         self.depth = int(self.lengths.max()) if len(words) else 0
 
@@ -80,11 +89,13 @@ class Lattices:
                 alpha[self.word[edges][cut], t] = np.add.reduceat(gain, cut, axis=0)
         return alpha
 
-    def total(self, p: np.ndarray) -> np.ndarray:
-        return self.forward(p)[np.arange(self.n), self.lengths]
-
     def expected(self, p: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """Expected uses [piece, language] of each piece, words weighted by [word, language]."""
+        """Expected uses [piece, language] of each piece, words weighted by [word, language].
+
+        Every piece is multiplied by a constant for each of its letters, which all segmentations of a word share, so that sums stay near one.
+        """
+        rate = -(p * np.log(p)).sum(axis=0) / (p * self.letters[:, None]).sum(axis=0)
+        p = p * np.exp(self.letters[:, None] * rate)
         alpha = self.forward(p)
         beta = np.zeros_like(alpha)
         beta[np.arange(self.n), self.lengths] = 1
@@ -96,24 +107,74 @@ class Lattices:
                 cut = np.flatnonzero(np.diff(self.word[edges], prepend=-1))
                 beta[self.word[edges][cut], t] += np.add.reduceat(gain, cut, axis=0)
         scale = weight / np.maximum(alpha[np.arange(self.n), self.lengths], 1e-300)
-        use = alpha[self.word, self.start] * p[self.piece] * beta[self.word, self.end] * scale[self.word]
+        use = np.nan_to_num(alpha[self.word, self.start] * p[self.piece] * beta[self.word, self.end] * scale[self.word])
         return np.stack([np.bincount(self.piece, use[:, k], len(p)) for k in range(p.shape[1])], axis=1)
 
 
 def words_of(text: str) -> list[str]:
-    found = LETTERS.findall(text.lower())
-    if any(len(w) > LONGEST for w in found):
-        found = [w[i : i + LONGEST] for w in found for i in range(0, len(w), LONGEST)]
-    return found
+    return LETTERS.findall(text.lower())
+
+
+def log_totals(words: list[str], index: dict[str, int], longest: int, p: np.ndarray) -> np.ndarray:
+    """[word, language]: log of the sum over all segmentations of each word, of any length.
+
+    Only the sums of the last `longest` positions are held. Where they get faint they are multiplied by a constant, which is counted.
+    """
+    n, ring = len(words), longest + 1
+    lengths = np.array([len(w) for w in words], np.int64)
+    last = np.zeros((n, ring, p.shape[1]))
+    last[:, 0] = 1
+    faded, out = np.zeros((n, p.shape[1])), np.zeros((n, p.shape[1]))
+    alive, first = range(n), 0
+    while len(alive):
+        word, start, end, piece = (array("q") for _ in range(4))
+        stop = first + POSITIONS
+        for w in alive:
+            text, m = words[w], len(words[w])
+            for i in range(max(0, first - longest + 1), min(m, stop)):
+                if i >= first:
+                    word.append(w), start.append(i), end.append(i + 1), piece.append(index.get(text[i], 0))
+                for j in range(max(i + 2, first + 1), min(m, i + longest, stop) + 1):
+                    k = index.get(text[i:j])
+                    if k is not None:
+                        word.append(w), start.append(i), end.append(j), piece.append(k)
+        word, start, end, piece = (np.frombuffer(x, np.int64) for x in (word, start, end, piece))
+        order = np.argsort(end, kind="stable")  # the words' order stays within a position
+        bounds = np.searchsorted(end[order], np.arange(first + 1, min(stop, int(lengths.max())) + 2))
+        for t, (a, b) in enumerate(zip(bounds, bounds[1:]), first + 1):
+            edges = order[a:b]
+            own = word[edges]
+            gain = last[own, start[edges] % ring] * p[piece[edges]]
+            cut = np.flatnonzero(np.diff(own, prepend=-1))
+            own, now = own[cut], np.add.reduceat(gain, cut, axis=0)
+            last[own, t % ring] = now
+            if (now < FAINT).any():
+                x, y = np.nonzero(now < FAINT)
+                last[own[x], :, y] *= FAINTER
+                faded[own[x], y] += 1
+            done = own[lengths[own] == t]
+            out[done] = np.log(last[done, t % ring]) - faded[done] * np.log(FAINTER)
+        first, alive = stop, [w for w in alive if len(words[w]) > stop]
+    return out
+
+
+def blocks_of(words: list[str]) -> Iterator[list[str]]:
+    """Words in blocks of a bounded number of letters; one that is longer is alone."""
+    block, letters = [], 0
+    for w in words:
+        if block and letters + len(w) > LETTERS_AT_ONCE:
+            yield block
+            block, letters = [], 0
+        block.append(w)
+        letters += len(w)
+    if block:
+        yield block
 
 
 class Model:
     def __init__(self, path: str, languages: list[str], p: np.ndarray, prior: np.ndarray):
         self.path, self.languages, self.p, self.prior = path, languages, p, prior
 
-    def log(self, words: list[str], index: dict[str, int], longest: int) -> np.ndarray:
-        return np.log(np.maximum(Lattices(words, index, longest).total(self.p), 1e-300))
-
 
 def index_of(path: str) -> tuple[dict[str, int], int]:
     known = pieces(path)
@@ -127,7 +188,9 @@ def fit(counts: dict[str, Counter], path: str, priors: dict[str, float], rounds:
     words = sorted(set().union(*counts.values()))
     weight = np.array([[counts[x][w] for x in languages] for w in words], float).reshape(len(words), len(languages))
     p = np.full((len(index) + 1, len(languages)), 1.0 / (len(index) + 1))
-    blocks = [(Lattices(words[i : i + 20_000], index, longest), weight[i : i + 20_000]) for i in range(0, len(words), 20_000)]
+    row = {w: k for k, w in enumerate(words)}
+    # of words of like length, as a lattice is as wide as its longest
+    blocks = [(Lattices(b, index, longest), weight[[row[w] for w in b]]) for b in blocks_of(sorted(words, key=len))]
     for _ in range(rounds):
         uses = sum((x.expected(p, w) for x, w in blocks), np.zeros_like(p)) + 0.01
         p = uses / uses.sum(axis=0)
@@ -135,7 +198,7 @@ def fit(counts: dict[str, Counter], path: str, priors: dict[str, float], rounds:
     return Model(path, languages, p, prior / prior.sum())
 
 
-def train(spark: SparkSession, labelled: DataFrame, path: str, per_language: int = 1500, most_words: int = 20_000) -> Model | None:
+def train(spark: SparkSession, labelled: DataFrame, path: str, per_language: int = 1500, most_words: int = 20_000, longest_word: int = 256) -> Model | None:
     """labelled: doc_id, text, lang, all of which may be learned from."""
     shares = {r.lang: r.n for r in labelled.where("lang is not null").groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not shares:
@@ -155,8 +218,8 @@ def train(spark: SparkSession, labelled: DataFrame, path: str, per_language: int
             lang, w, n = zip(*rows[i : i + 100_000])
             yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(w), pa.array(n, pa.int64())], names=["lang", "word", "n"])
 
-    words = chosen.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    ranked = words.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("k") <= most_words)
+    words = chosen.mapInArrow(count, "lang string, word string, n long").where(F.char_length("word") <= longest_word).groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    ranked = words.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), F.xxhash64("word")))).where(F.col("k") <= most_words)
     counts: dict[str, Counter] = {}
     for r in ranked.collect():  # at most most_words a language
         counts.setdefault(r.lang, Counter())[r.word] = r.n
@@ -169,9 +232,10 @@ _ready: dict[str, tuple] = {}
 def predict(spark: SparkSession, docs: DataFrame, model: Model | None, cache: int = 400_000) -> DataFrame:
     """docs (doc_id, text and others) with lang_pred, score: the posterior of that language."""
     if model is None:
-        return docs.withColumn("lang_pred", F.lit(UNKNOWN)).withColumn("score", F.lit(0.0))
+        return docs.drop("lang_pred", "score").withColumn("lang_pred", F.lit(UNKNOWN)).withColumn("score", F.lit(0.0))
     shared = spark.sparkContext.broadcast(model)  # pieces by languages: fixed by the vocabulary
-    names = docs.columns
+    names = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
+    docs = docs.select(*names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -185,13 +249,12 @@ def predict(spark: SparkSession, docs: DataFrame, model: Model | None, cache: in
             texts = [words_of(t) if t else [] for t in batch.column("text").to_pylist()]
             counts = np.fromiter(map(len, texts), np.int64, len(texts))
             unseen = sorted(set().union(*texts).difference(number)) if texts else []
-            if len(number) + len(unseen) > cache:
+            if (len(tables[0]) if tables else 0) + len(unseen) > cache:
                 number.clear(), tables.clear()
                 unseen = sorted(set().union(*texts))
-            for i in range(0, len(unseen), 20_000):
-                some = unseen[i : i + 20_000]
-                number.update(zip(some, range(len(number), len(number) + len(some))))
-                tables.append(m.log(some, index, longest))
+            at = len(tables[0]) if tables else 0
+            number.update(zip(unseen, range(at, at + len(unseen))))
+            tables += [log_totals(some, index, longest, m.p) for some in blocks_of(unseen)]
             if len(tables) > 1:
                 tables[:] = [np.concatenate(tables)]
             which = np.fromiter((k for t in texts for k in map(number.__getitem__, t)), np.int64, int(counts.sum()))
@@ -199,6 +262,9 @@ def predict(spark: SparkSession, docs: DataFrame, model: Model | None, cache: in
             some = counts > 0
             if some.any():
                 sums[some] = np.add.reduceat(tables[0][which], (np.cumsum(counts) - counts)[some], axis=0)
+            for w in unseen:
+                if len(w) > CACHED:
+                    del number[w]
             sums += base
             best = sums.argmax(axis=1)
             odds = np.exp(sums - sums.max(axis=1, keepdims=True))

@@ -299,11 +299,31 @@ def test_forward_sums_all_segmentations():
         return 1.0 if not w else sum((p[index[w[:k]], 0] if w[:k] in index else p[0, 0] if k == 1 else 0) * total(w[k:]) for k in range(1, len(w) + 1))
 
     words = ["abab", "c", "abacab"]
-    assert np.allclose(langid.Lattices(words, index, 3).total(p)[:, 0], [total(w) for w in words])
+    assert np.allclose(np.exp(langid.log_totals(words, index, 3, p))[:, 0], [total(w) for w in words])
     uses = langid.Lattices(["aba"], index, 3).expected(p, np.ones((1, 1)))[:, 0]
     assert np.isclose(uses[5], p[5, 0] / total("aba"))
 
 
+def test_runs_of_any_length_are_summed_whole(monkeypatch):
+    index = {"a": 1, "b": 2, "ab": 3, "ba": 4, "aba": 5}
+    p = np.array([[1e-9, 0.1], [0.2, 1e-7], [0.3, 0.1], [0.25, 0.2], [0.1, 0.3], [0.05, 0.2]])
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abc") for _ in range(n)) for n in (500, 1, 3000, 33, 64, 65, 500)]
+
+    def log_total(w, x):
+        alpha = [0.0]
+        for t in range(1, len(w) + 1):
+            alpha.append(np.logaddexp.reduce([alpha[s] + np.log(p[index.get(w[s:t], 0), x]) for s in range(max(0, t - 3), t) if w[s:t] in index or t - s == 1]))
+        return alpha[-1]
+
+    want = [[log_total(w, x) for x in (0, 1)] for w in words]
+    assert np.allclose(langid.log_totals(words, index, 3, p), want)
+    monkeypatch.setattr(langid, "POSITIONS", 7)
+    assert np.allclose(langid.log_totals(words, index, 3, p), want)
+    uses = langid.Lattices(words[3:5], index, 3).expected(p, np.ones((2, 2)))
+    assert np.allclose((uses * np.array([1, 1, 1, 2, 2, 3])[:, None]).sum(axis=0), 33 + 64)  # each word's letters are covered once
+
+
 def test_mix(spark, rows, docs, none):
     got, schedule = mixing.mix(spark, docs, block=7)
     got = got.collect()
