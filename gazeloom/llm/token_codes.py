@@ -15,7 +15,7 @@ Files are written under a temporary name in the shared folder and renamed, so a
 again leaves whole files only; the manifest, written by Spark, lists those that count.
 
 Nulls: a null text has the end id alone; null doc_ids come first and are kept. Repeated doc_ids
-are kept, in the order of their texts. An empty table gives no files and an empty result.
+are kept, in the order of a hash of their texts, and may go to several files. An empty table gives no files and an empty result.
 """
 
 from __future__ import annotations
@@ -137,6 +137,44 @@ class Reader:
         return decode(self.levels)
 
 
+class File:
+    """Random access to a file in storage: of a level, an id takes a byte, a block of the bitmap and an entry of the directory."""
+
+    def __init__(self, path: str):
+        store, place = fs.FileSystem.from_uri(path)
+        self.file = store.open_input_file(place)
+        head = self._at(0, 24)
+        if head[:4] != MAGIC:
+            raise ValueError("not a file of directly addressable codes")
+        n_levels, self.n_ids, n_docs = struct.unpack_from("<IQQ", head, 4)
+        at, self.levels = 24 + 9 * n_docs + 8 * (n_docs + 1), []
+        for _ in range(n_levels):
+            n = struct.unpack("<Q", self._at(at, 8))[0]
+            blocks = -(-n // BLOCK)
+            # where the chunks, the bitmap and the directory begin
+            self.levels.append((at + 8, at + 8 + n, at + 8 + n + blocks * BLOCK // 8))
+            at = self.levels[-1][2] + 4 * blocks
+
+    def _at(self, start: int, n: int) -> bytes:
+        return self.file.read_at(n, start)
+
+    def __getitem__(self, at: int) -> int:
+        if not 0 <= at < self.n_ids:
+            raise IndexError(at)
+        out = 0
+        for k, (chunks, bitmap, ranks) in enumerate(self.levels):
+            out |= self._at(chunks + at, 1)[0] << CHUNK * k
+            block, inside = divmod(at, BLOCK)
+            bits = int.from_bytes(self._at(bitmap + block * BLOCK // 8, inside // 8 + 1), "little")
+            if not bits >> inside & 1:
+                break
+            at = struct.unpack("<I", self._at(ranks + 4 * block, 4))[0] + (bits & (1 << inside) - 1).bit_count()
+        return out
+
+    def close(self) -> None:
+        self.file.close()
+
+
 def put(path: str, data: bytes) -> None:
     """Write whole or not at all: a name of its own, then a rename."""
     import uuid
@@ -206,7 +244,8 @@ def write(spark: SparkSession, docs: DataFrame, vocabulary: str | None = None, e
         if doc_ids:
             yield close()
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # rows of one doc_id (or of null) are parted by a hash of the text; ranges are sampled from these two numbers
+    ordered = docs.select("doc_id", "text", F.xxhash64("text").alias("hash")).repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash").drop("hash")
     return scratch.save(ordered.mapInArrow(files, "partition int, number int, path string, n_ids long, n_docs long"), "manifest")
 
 

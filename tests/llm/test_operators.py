@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import struct
+import tempfile
 import zlib
 from collections import Counter, defaultdict
 
@@ -173,6 +174,13 @@ def test_codes(spark, rows, docs, ids, none):
     assert (token_codes.decode(levels) == x).all() and (token_codes.access(levels, at) == x[at]).all()
     r = token_codes.Reader(token_codes.dump([7, None], np.array([0, 3, 2100]), x))
     assert r.doc_ids == [7, None] and (r[[3, 2099]] == x[[3, 2099]]).all()
+    with tempfile.TemporaryDirectory() as folder:
+        token_codes.put(f"file://{folder}/x", token_codes.dump([7, None], np.array([0, 3, 2100]), x))
+        f = token_codes.File(f"file://{folder}/x")
+        assert [f[int(k)] for k in at] == x[at].tolist()
+        with pytest.raises(IndexError):
+            f[len(x)]
+        f.close()
     got = token_codes.read(spark, token_codes.write(spark, docs, per_file=100)).orderBy("start").collect()
     order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is not None, rows[k][0] or 0, rows[k][1] or ""))
     start = 0
@@ -235,9 +243,32 @@ def test_warc(spark, none):
     assert warc.read(spark, warc.write(spark, spark.createDataFrame([], pages.schema))).count() == 0
 
 
+def test_archive_records_are_valid(spark):
+    big = "z" * 1200
+    rows = [(1, "u", big), (1, "u", big), (2, "u", big), (3, "u", "s"), (3, "u", "s"), (3, "w", "t"), (None, "u", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("same", F.lit(1)).withColumn("payload", F.lit("p")).withColumn("kind", F.lit("k"))
+    manifest = warc.write(spark, pages, date="2024-05-06T07:08:09Z")
+    found = [f for r in manifest.collect() for f, _ in warc.records(warc.get(r.path))]
+    names = [f["WARC-Record-ID"] for f in found]
+    assert len(found) == len(rows) == len(set(names)) and {f["WARC-Date"] for f in found} == {"2024-05-06T07:08:09Z"}
+    response = [f["WARC-Record-ID"] for f in found if f["X-Page-ID"] == "2"]
+    assert [f["WARC-Refers-To"] for f in found if f["WARC-Type"] == "revisit"] == response * 2
+
+
+def test_heavy_keys_are_dealt_to_several_tasks(spark):
+    from gazeloom.llm.shared import heavy_join
+
+    left = spark.range(3000).select(F.when(F.col("id") < 1000, 7).otherwise(F.col("id")).alias("k"), "id")
+    counts = left.groupBy("k").agg(F.count("*").alias("n")).where("n > 1 or k % 2 = 0")
+    got = heavy_join(left, counts, "k", "n", ["id"])
+    assert got.where("k = 7").count() == 1000 and got.where("k = 7").select("__salt").distinct().count() > 100 and got.count() == 2000
+    assert heavy_join(left, counts, "k", "n", ["id"], "left").where("n is null").count() == 1000
+    assert heavy_join(left, counts.where("false"), "k", "n", ["id"]).count() == 0
+
+
 def test_dictionary_opens_the_archive():
     samples = [f"<html><body>page {k} of the same site</body></html>".encode() * 4 for k in range(200)]
-    records = [warc.record(k, "u", s, hashlib.sha1(s).digest(), "response", None) for k, s in enumerate(samples)]
+    records = [warc.record(k, "u", s, hashlib.sha1(s).digest(), "response", None, "2024-01-01T00:00:00Z") for k, s in enumerate(samples)]
     a = warc.Archive(records)
     for x in records:
         a.add(x)
