@@ -85,8 +85,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound the rows of an Arrow batch, so that a batch of long texts fits a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Bound the bytes of an Arrow batch, and its rows to `rows` or what the session has less, so that a batch of long texts fits a Python worker.
+
+    The query runs after this call, so the session keeps the bounds.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
@@ -109,6 +115,35 @@ def ranked(df: DataFrame, group: list[str], order: list[str], out: str, buckets:
     return inside.join(starts, [*group, b]).withColumn(out, F.col("__rank") + F.col("__start")).drop(b, "__rank", "__start")
 
 
+#: A key with more than one in HEAVY of all rows is dealt to several tasks; at most HEAVY keys are heavy.
+HEAVY = 1000
+
+
+def heavy_join(left: DataFrame, counts: DataFrame, key: str, n: str, spread: list[str], how: str = "inner") -> DataFrame:
+    """left joined with counts (a row a key; n: how many rows of left have it), and a column __salt.
+
+    Rows of a heavy key are dealt by the hash of `spread`, and its row of counts is repeated for each share. The list
+    of heavy keys is broadcast: HEAVY rows at most. counts is read several times, so pass a written table.
+    """
+    total = counts.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    heavy = F.broadcast(counts.where(F.col(n) * HEAVY > total).select(key, F.ceil(F.col(n) * HEAVY / F.lit(max(1, total))).cast("int").alias("__salts")))
+    salt = F.when(F.col("__salts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*spread), F.col("__salts"))).cast("int")
+    left = left.join(heavy, key, "left").withColumn("__salt", salt).drop("__salts")
+    counts = counts.join(heavy, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))).drop("__salts")
+    return left.join(counts, [key, "__salt"], how)
+
+
+def internal(columns: Iterable[str], *names: str) -> list[str]:
+    """The names, with underscores before those that a table's columns have (in any case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def components(scratch: Scratch, edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) -> DataFrame:
     """(node, root) of the nodes of `edges` (long columns): root is the least node that is reachable.
 

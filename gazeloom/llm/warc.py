@@ -7,7 +7,9 @@ a record can be read from its offset with the archive's first frame at hand. Of
 revisit records that name it and hold no payload.
 
 Equal payloads are found by SHA-256 and the largest page_id of each is a partial maximum, so a
-group of any size is a row. The dictionary is trained on the archive's first records, up to
+group of any size is a row. Shorter payloads pass by the join that tells copies, and the rows of a
+large group are dealt to several tasks. Record ids are UUIDs: of a response that others name, from
+its page_id and payload; of all other records, also from their place in the archives. The dictionary is trained on the archive's first records, up to
 `sample` bytes: a bound on memory that decides only how small records get.
 
 Nulls: a null html is an empty payload, a null url an empty target; null page_ids are archived,
@@ -18,6 +20,7 @@ page_id and payload: one is the response, the others revisit it. Empty tables gi
 from __future__ import annotations
 
 import base64
+import datetime
 import hashlib
 import struct
 import uuid
@@ -28,24 +31,29 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gazeloom.llm.shared import Scratch, ship, small_batches
+from gazeloom.llm.shared import Scratch, heavy_join, ship, small_batches
 from gazeloom.llm.token_codes import folder, get, put
 
 #: The skippable frame that opens an archive with its dictionary.
 DICTIONARY_FRAME = 0x184D2A5D
 LEAST = 1000
-SALTS = 16
+_NAMES = uuid.uuid5(uuid.NAMESPACE_URL, "urn:warc:pages")
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: bytes, kind: str, refers_to: int | None) -> bytes:
-    """A WARC/1.1 record: header lines, an empty line, the block, two empty lines."""
+def record_id(page_id: int | None, digest: bytes, place: str = "") -> str:
+    """<urn:uuid:...> of a record; place tells apart records of equal pages."""
+    return f"<{uuid.uuid5(_NAMES, f'{page_id} {digest.hex()} {place}').urn}>"
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, digest: bytes, kind: str, refers_to: int | None, date: str, place: str = "") -> bytes:
+    """A WARC/1.1 record: header lines, an empty line, the block, two empty lines. The page's number is in a field of its own."""
     lines = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'null' if page_id is None else page_id}>", f"WARC-Target-URI: {(url or '').translate({10: ' ', 13: ' '})}",
-        f"WARC-Payload-Digest: sha1:{base64.b32encode(digest).decode()}", f"WARC-Payload-Length: {len(payload)}", "Content-Type: text/html; charset=utf-8",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page_id, digest, place)}", f"WARC-Date: {date}", f"WARC-Target-URI: {(url or '').translate({10: ' ', 13: ' '})}",
+        f"WARC-Payload-Digest: sha1:{base64.b32encode(digest).decode()}", f"WARC-Payload-Length: {len(payload)}", "Content-Type: text/html; charset=utf-8", f"X-Page-ID: {'null' if page_id is None else page_id}",
     ]
     block = payload
     if kind == "revisit":
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{'null' if refers_to is None else refers_to}>"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to, digest)}", f"X-Refers-To-Page-ID: {refers_to}"]
         block = b""
     lines.append(f"Content-Length: {len(block)}")
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -105,35 +113,37 @@ def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def decide(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """For each payload that comes twice or more: its SHA-256 (same) and the page_id of its response (response_id)."""
+    """For each payload that comes twice or more: its SHA-256 (same), the page_id of its response (response_id) and how many have it (copies)."""
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     small = pages.select("page_id", F.sha2(body, 256).alias("same"), F.octet_length(body).alias("n")).where(F.col("n") >= least)
-    groups = small.groupBy("same").agg(F.max("page_id").alias("response_id"), F.count("*").alias("copies")).where("copies > 1").select("same", "response_id")
+    groups = small.groupBy("same").agg(F.max("page_id").alias("response_id"), F.count("*").alias("copies")).where("copies > 1")
     return groups
 
 
-def write(spark: SparkSession, pages: DataFrame, least: int = LEAST, per_file: int = 32 << 20, sample: int = 4 << 20, scratch: Scratch | None = None) -> DataFrame:
-    """Writes archives into the shared folder; returns their manifest: path, records, bytes."""
+def write(spark: SparkSession, pages: DataFrame, least: int = LEAST, per_file: int = 32 << 20, sample: int = 4 << 20, scratch: Scratch | None = None, date: str | None = None) -> DataFrame:
+    """Writes archives into the shared folder; returns their manifest: path, records, bytes. date: of all records, by default now."""
     ship(spark)
     small_batches(spark, 256)
     scratch = scratch or Scratch(spark, "warc")
     top = scratch.path("archives")
+    date = date or datetime.datetime.now(datetime.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    rows = pages.select("page_id", "url", body.alias("payload")).withColumn("same", F.sha2("payload", 256))
-    # a group of equal payloads is dealt by salt to several tasks
-    salt = F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")
-    groups = scratch.save(decide(pages, least), "groups").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    known = rows.withColumn("salt", salt).join(groups, ["same", "salt"], "left")
+    rows = pages.select("page_id", "url", body.alias("payload"))
+    long = F.octet_length("payload") >= least
+    groups = scratch.save(decide(pages, least), "groups")
+    known = heavy_join(rows.where(long).withColumn("same", F.sha2("payload", 256)), groups, "same", "copies", ["page_id"], "left")
     # rows equal in page_id and payload share a salt: the first of them is the response
-    turn = F.row_number().over(Window.partitionBy("same", "salt", "page_id").orderBy("url"))
-    copy = F.col("__grouped") & ((~F.col("page_id").eqNullSafe(F.col("response_id"))) | (F.col("turn") > 1))
-    known = known.withColumn("__grouped", F.col("response_id").isNotNull()).withColumn("turn", F.when(F.col("page_id") == F.col("response_id"), turn).otherwise(1))
-    known = known.select("page_id", "url", "payload", F.when(copy, "revisit").otherwise("response").alias("kind"), F.when(copy, F.col("response_id")).alias("refers_to"))
+    turn = F.row_number().over(Window.partitionBy("same", "__salt", "page_id").orderBy("url"))
+    known = known.withColumn("turn", F.when(F.col("page_id") == F.col("response_id"), turn).otherwise(1))
+    copy = F.col("response_id").isNotNull() & ((~F.col("page_id").eqNullSafe(F.col("response_id"))) | (F.col("turn") > 1))
+    known = known.select("page_id", "url", "payload", F.when(copy, "revisit").otherwise("response").alias("kind"), F.when(copy, F.col("response_id")).alias("refers_to"), (F.col("response_id").isNotNull() & ~copy).alias("named"))
+    none = F.lit(None).cast(pages.schema["page_id"].dataType)
+    known = known.unionByName(rows.where(~long).select("page_id", "url", "payload", F.lit("response").alias("kind"), none.alias("refers_to"), F.lit(False).alias("named")))
 
     def archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, number, waiting, weight, archive = TaskContext.get().partitionId(), 0, [], 0, None
+        part, number, waiting, weight, archive, k = TaskContext.get().partitionId(), 0, [], 0, None, 0
 
         def close() -> pa.RecordBatch:
             nonlocal archive, number
@@ -152,8 +162,9 @@ def write(spark: SparkSession, pages: DataFrame, least: int = LEAST, per_file: i
             weight = 0
 
         for batch in batches:
-            for page_id, url, payload, kind, refers_to in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "kind", "refers_to"))):
-                x = record(page_id, url, payload, hashlib.sha1(payload).digest(), kind, refers_to)
+            for page_id, url, payload, kind, refers_to, named in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "kind", "refers_to", "named"))):
+                k += 1
+                x = record(page_id, url, payload, hashlib.sha1(payload).digest(), kind, refers_to, date, "" if named else f"{part} {k}")
                 if archive is None:
                     waiting.append(x)
                     weight += len(x)
@@ -177,7 +188,7 @@ def read(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     n_files = manifest.count()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = lambda x: None if x == "<urn:page:null>" else int(x[10:-1])
+        number = lambda x: None if x == "null" else int(x)
         for batch in batches:
             for path in batch.column("path").to_pylist():
                 out: list[tuple] = []
@@ -185,12 +196,12 @@ def read(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                     digest = base64.b32decode(fields["WARC-Payload-Digest"][5:]).hex()
                     n, refers_to = int(fields["WARC-Payload-Length"]), None
                     if fields["WARC-Type"] == "revisit":
-                        refers_to = number(fields["WARC-Refers-To"])
+                        refers_to = number(fields["X-Refers-To-Page-ID"])
                     else:
                         n, found = len(block), hashlib.sha1(block).hexdigest()
                         if found != digest:
                             raise ValueError(f"{path}: a payload doesn't match its digest")
-                    out.append((number(fields["WARC-Record-ID"]), n, digest, fields["WARC-Type"], refers_to))
+                    out.append((number(fields["X-Page-ID"]), n, digest, fields["WARC-Type"], refers_to))
                 a, b, c, d, e = zip(*out)
                 yield pa.RecordBatch.from_pydict({"page_id": pa.array(a, pa.int64()), "payload_bytes": pa.array(b, pa.int64()), "payload_digest": pa.array(c, pa.string()), "record_type": pa.array(d, pa.string()), "refers_to": pa.array(e, pa.int64())})
 
