@@ -4,37 +4,44 @@ Anchors. In each run of length - GRAM + 1 GRAM-grams of a text, the one with the
 anchor, so equal strings of `length` bytes hold an anchor at the same place. An anchor's context is
 what a string holding it can reach; an anchor that comes once has no equal string around it.
 
-Columns. Of the contexts of repeated anchors, equal ones are covered whole. The others are a
-collection whose suffixes are ordered column by column, from the last: each round inserts one
-symbol of every context before its suffix, sorts by that symbol and the order so far (the step of a
-multi-document Burrows-Wheeler construction), and updates the common prefixes of neighbours. A
-round reads its column from a sequential file and appends its part of the transform and of the
-common prefixes to others; a second pass over these gives the strings that come again. As contexts
-are aligned at their anchors, equal strings meet in one round, so each round's part is kept by
-itself rather than merged with those of shorter suffixes.
+Columns. Contexts of repeated anchors are the collection; equal ones are one entry with a weight.
+Its suffixes are ordered column by column, from the last: each round inserts one symbol of every
+context before its suffix, sorts by that symbol and the order so far (the step of a multi-document
+Burrows-Wheeler construction), and updates the common prefixes of neighbours. A round reads its
+column from a sequential file in the shared folder and appends its part of the transform (the
+symbols before the suffixes) and of the common prefixes to others. A second pass reads these: of
+suffixes that share length - 1 bytes, those with the same symbol in the transform are the ends of
+strings of `length` bytes that come again, one byte further left. As contexts are aligned at their
+anchors, equal strings meet in one round, so each round's part is kept by itself rather than merged
+with those of shorter suffixes.
 
 Contexts are dealt by the longer half of what their strings must share (the anchor and the bytes
-left or right of it), and batched, so a task holds a bounded collection; groups of more than MOST
-contexts, which a frequent passage with ever different surroundings makes, are cut by the hash of
-each of their strings instead, counted with partial sums.
+left or right of it), and batched, so a task holds a bounded collection. A group of more than MOST
+contexts, which a frequent passage with ever different surroundings makes, is divided: strings that
+start in the first or the second half of the group's range of places share more bytes, and are dealt
+by these; and so on, until what they share is the whole string.
 
 Nulls: a null text is empty. Null doc_ids are told apart by their texts. Repeated rows are texts
-that repeat. Texts shorter than `length` keep all. Empty tables give empty results.
+that repeat. Texts shorter than `length` keep all. Empty tables give empty results. Extra columns are
+kept; one named n_removed gives way to the result's.
 """
 
 from __future__ import annotations
 
 import hashlib
-import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gazeloom.llm.jaccard_trie import mixed, runs
-from gazeloom.llm.shared import Scratch, ship, small_batches
+from gazeloom.llm.shared import Scratch, heavy_join, internal, ship, small_batches
+from gazeloom.llm.token_codes import folder
 
 GRAM, SLICE = 32, 1 << 18
 MOST, BATCH = 50_000, 8_000
@@ -101,10 +108,10 @@ def anchors(text: bytes, length: int) -> tuple[np.ndarray, ...]:
     return at, *(x[keep].view(np.int64) for x in rest)
 
 
-def collection_spans(contexts: list[bytes], lefts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+def collection_spans(contexts: list[bytes], lefts: np.ndarray, weights: np.ndarray, length: int, place: str) -> tuple[np.ndarray, np.ndarray]:
     """(least, most) bytes left of its anchor at which a string of each context starts that comes again; -1 for none.
 
-    Column-wise construction over all contexts, which must be of distinct places; see the module's text.
+    Column-wise construction over all contexts, each there `weights` times; see the module's text. place: a folder for its files.
     """
     m, reach = len(contexts), length - GRAM
     width = reach + length
@@ -114,41 +121,57 @@ def collection_spans(contexts: list[bytes], lefts: np.ndarray, length: int) -> t
     inside = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     columns[np.repeat(np.arange(m), sizes), np.repeat(reach - lefts, sizes) + inside] = flat
     least, most = np.full(m, -1), np.full(m, -1)
-    with tempfile.TemporaryFile() as symbols, tempfile.TemporaryFile() as transform, tempfile.TemporaryFile() as prefixes, tempfile.TemporaryFile() as places:
-        columns[:, ::-1].T.tofile(symbols)
-        del columns
-        symbols.seek(0)
-        order, common = np.arange(m), np.zeros(m + 1, np.int16)
-        now = np.fromfile(symbols, np.uint16, m)
-        for k in range(width):
-            then = np.fromfile(symbols, np.uint16, m) if k + 1 < width else np.full(m, ABSENT, np.uint16)
-            symbol = now[order]
-            to = np.argsort(symbol, kind="stable")
-            symbol = symbol[to]
-            same = (symbol[1:] == symbol[:-1]) & (symbol[1:] != ABSENT)
-            # least common prefix between former places; mostly neighbours
-            a, b = to[:-1], to[1:]
-            low = common[b]
-            far = np.flatnonzero(same & (b != a + 1))
-            if len(far):
-                low = low.copy()
-                low[far] = np.minimum.reduceat(common, np.stack([a[far] + 1, b[far] + 1], axis=1).ravel())[::2]
-            order = order[to]
-            common = np.zeros(m + 1, np.int16)
-            common[1:m] = np.where(same, np.minimum(low + 1, length), 0)
-            if k >= length - 1:
-                then[order].tofile(transform)
-                common.tofile(prefixes)
-                order.astype(np.int32).tofile(places)
-            now = then
-        prefixes.seek(0), places.seek(0)
-        for s in range(reach + 1):
-            # suffixes that start s bytes left of the anchor
-            common, order = np.fromfile(prefixes, np.int16, m + 1), np.fromfile(places, np.int32, m)
-            again = order[np.maximum(common[:-1], common[1:]) >= length]
-            most[again] = s
+    store, root = fs.FileSystem.from_uri(folder(place))
+    names = [f"{root}/{uuid.uuid4().hex}.{k}" for k in ("symbols", "transform", "prefixes", "order")]
+    with store.open_output_stream(names[0], compression=None) as f:
+        f.write(np.ascontiguousarray(columns[:, ::-1].T))
+    del columns
+    symbols = store.open_input_stream(names[0], compression=None)
+    column = lambda: np.frombuffer(symbols.read(2 * m), np.uint16)
+    transform, prefixes, orders = (store.open_output_stream(x, compression=None) for x in names[1:])
+    order, common, now = np.arange(m), np.zeros(m + 1, np.int16), column()
+    for k in range(width - 1):  # the transform names the last column's symbols
+        then = column()
+        symbol = now[order]
+        to = np.argsort(symbol, kind="stable")
+        symbol = symbol[to]
+        same = (symbol[1:] == symbol[:-1]) & (symbol[1:] != ABSENT)
+        # least common prefix between former places; mostly neighbours
+        a, b = to[:-1], to[1:]
+        low = common[b]
+        far = np.flatnonzero(same & (b != a + 1))
+        if len(far):
+            low = low.copy()
+            low[far] = np.minimum.reduceat(common, np.stack([a[far] + 1, b[far] + 1], axis=1).ravel())[::2]
+        order = order[to]
+        common = np.zeros(m + 1, np.int16)
+        common[1:m] = np.where(same, np.minimum(low + 1, length), 0)
+        if k >= length - 2:
+            transform.write(then[order]), prefixes.write(common), orders.write(order.astype(np.int32))
+        now = then
+    for f in (symbols, transform, prefixes, orders):
+        f.close()
+    after = sizes - lefts
+    transform, prefixes, orders = (store.open_input_stream(x, compression=None) for x in names[1:])
+    for s in range(-1, reach):
+        # suffixes that start s bytes left of the anchor, and the symbols before them
+        before, common, order = np.frombuffer(transform.read(2 * m), np.uint16), np.frombuffer(prefixes.read(2 * (m + 1)), np.int16), np.frombuffer(orders.read(4 * m), np.int32)
+        near = common[1:m] >= length - 1
+        group, weight = np.concatenate([[0], np.cumsum(~near)]), weights[order]
+        several = (weight > 1) & (after[order] + s >= length - 1)
+        several[1:] |= near
+        several[:-1] |= near
+        some = np.flatnonzero(several & (before != ABSENT))
+        if len(some):
+            _, which = np.unique(group[some] * ABSENT + before[some], return_inverse=True)
+            again = order[some[np.bincount(which, weight[some])[which] > 1]]
+            most[again] = s + 1
             fresh = again[least[again] < 0]
-            least[fresh] = s
+            least[fresh] = s + 1
+    for f, x in zip((None, transform, prefixes, orders), names):
+        if f:
+            f.close()
+        store.delete_file(x)
     return least, most
 
 
@@ -167,85 +190,110 @@ def _occurrences(length: int):
     return run
 
 
-def repeats(spark: SparkSession, docs: DataFrame, length: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(docs with key and th that name a row's text; key, th, spans: array of (start, end) to remove, which may overlap and pass the end)."""
+def divided(length: int):
+    """For rows of (context, n, lead, body, a, b): the two halves of the places a..b at which strings may start, with a hash of what all those strings share."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for context, n, lead, body, a, b in zip(*(batch.column(c).to_pylist() for c in ("context", "n", "lead", "body", "a", "b"))):
+                middle = (a + b) // 2
+                for x, y in ((a, middle), (middle + 1, b)):
+                    if x <= lead and length - y <= len(body) - lead:
+                        out.append((context, n, xxhash.xxh64_intdigest(body[lead - x : lead + length - y], x << 32 | y), x, y))
+            if out:
+                context, n, key, a, b = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(context, pa.int64()), pa.array(n, pa.int64()), pa.array(np.array(key, np.uint64).view(np.int64)), pa.array(a, pa.int32()), pa.array(b, pa.int32())], names=["context", "n", "half", "a", "b"])
+
+    return run
+
+
+def grouped(entries: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Entries (context, n, half, a, b) whose half comes again, with the number of contexts that share it (members)."""
+    sizes = entries.groupBy("half").agg(F.count("*").alias("members"), F.sum("n").alias("weight")).where("weight > 1").select("half", "members")
+    return scratch.save(heavy_join(entries, scratch.save(sizes, f"{name}-sizes"), "half", "members", ["context"]).drop("__salt"), name)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, length: int, scratch: Scratch) -> tuple[DataFrame, list[str], DataFrame]:
+    """(docs with two columns that name a row's text, their names; key, th, spans: array of (start, end) to remove, which may overlap and pass the end)."""
     ship(spark)
     small_batches(spark, 512)
     reach = length - GRAM
-    keyed = docs.withColumn("key", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
-    texts = keyed.select("key", "th", "text")
+    half = reach // 2
+    own = internal(docs.columns, "key", "th")
+    keyed = docs.withColumn(own[0], F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).withColumn(own[1], F.xxhash64(F.coalesce("text", F.lit(""))))
+    texts = keyed.select(F.col(own[0]).alias("key"), F.col(own[1]).alias("th"), "text")
     schema = "key long, th long, at long, anchor long, left long, right long, context long"
     every = scratch.save(texts.mapInArrow(_occurrences(length), schema), "anchors")
-    again = every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    found = scratch.save(every.join(again, "anchor").drop("anchor"), "repeated")
-    scratch.drop("anchors")
+    again = scratch.save(every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "again")
+    found = scratch.save(heavy_join(every, again, "anchor", "n", ["key", "th", "at"]).drop("anchor", "n", "__salt"), "repeated")
+    scratch.drop("anchors"), scratch.drop("again")
     scratch.release()
     place = F.struct("key", "th", "at")
     distinct = found.groupBy("context", "left", "right").agg(F.count("*").alias("n"), F.min(place).alias("place"))
     distinct = scratch.save(distinct.select("context", "n", "place.*", "left", "right"), "contexts")
-    whole = found.join(distinct.where("n > 1").select("context"), "context").select("key", "th", F.greatest(F.col("at") - reach, F.lit(0)).alias("start"), (F.col("at") + length).alias("end"))
 
-    # halves that several contexts share
-    halves = distinct.select("key", "th", "at", "n", F.explode(F.array("left", "right")).alias("half")).where("half != 0")
-    sizes = halves.groupBy("half").agg(F.count("*").alias("members")).where("members > 1")
-    shared = scratch.save(halves.join(sizes, "half"), "halves")
-    wanted = shared.select("key", "th", "at").distinct().groupBy("key", "th").agg(F.collect_list("at").alias("places"))
+    # a context that comes again by itself needs one group, others all that they share with different ones
+    ways = F.array(F.struct(F.col("left").alias("half"), F.lit(half).alias("a"), F.lit(reach).alias("b"), F.lit(True).alias("first")), F.struct(F.col("right").alias("half"), F.lit(0).alias("a"), F.lit(half).alias("b"), (F.col("left") == 0).alias("first")))
+    entries = distinct.select("context", "n", F.explode(ways).alias("w")).select("context", "n", "w.*").where("half != 0")
+    shared = grouped(entries, scratch, "halves").where("members > 1 or first").drop("first")
+    places = distinct.join(shared.select("context").distinct(), "context")
+    wanted = places.groupBy("key", "th").agg(F.collect_list(F.struct("at", "context", "n")).alias("places"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key, th, at, left, body = [], [], [], [], []
-            for k, t, text, places in zip(batch.column("key").to_pylist(), batch.column("th").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("places").to_pylist()):
-                for p in places:
-                    lo = max(0, p - reach)
-                    key.append(k), th.append(t), at.append(p), left.append(p - lo), body.append(text[lo : p + length])
-            if key:
-                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (key, th, at, left)), pa.array(body, pa.binary())], names=["key", "th", "at", "lead", "body"])
+            context, n, left, body = [], [], [], []
+            for text, wants in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("places").to_pylist()):
+                for p in wants:
+                    lo = max(0, p["at"] - reach)
+                    context.append(p["context"]), n.append(p["n"]), left.append(p["at"] - lo), body.append(text[lo : p["at"] + length])
+            if context:
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (context, n, left)), pa.array(body, pa.binary())], names=["context", "n", "lead", "body"])
 
     # equal rows (doc_id and text) have equal contexts: one of them is enough
-    bodies = texts.join(wanted, ["key", "th"]).mapInArrow(cut, "key long, th long, at long, lead long, body binary").dropDuplicates(["key", "th", "at"])
+    bodies = texts.join(wanted, ["key", "th"]).mapInArrow(cut, "context long, n long, lead long, body binary").dropDuplicates(["context"])
     bodies = scratch.save(bodies, "bodies")
     scratch.release()
-    dealt = bodies.join(shared.where(F.col("members") <= MOST).select("key", "th", "at", "half"), ["key", "th", "at"])
+    small, equal, level = shared.where(F.col("members") <= MOST), None, 0
+    large = shared.where(F.col("members") > MOST)
+    while not large.isEmpty():  # once for each halving of the places, log2(reach) times at most
+        level += 1
+        parts = bodies.join(large.select("context", "a", "b"), "context").mapInArrow(divided(length), "context long, n long, half long, a int, b int")
+        parts = grouped(scratch.save(parts, f"parts{level}"), scratch, f"divided{level}")
+        whole = parts.where("a = b").select("context", "n", (-F.col("a")).cast("long").alias("lo"), (length - F.col("b")).cast("long").alias("hi"))
+        equal = whole if equal is None else equal.union(whole)
+        small = small.unionByName(parts.where((F.col("members") <= MOST) & (F.col("a") < F.col("b"))))
+        large = parts.where((F.col("members") > MOST) & (F.col("a") < F.col("b")))
+    dealt = bodies.join(small.select("context", "half"), "context")
+    rounds = scratch.path("rounds")
 
     def columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: dict[tuple, tuple[bytes, int]] = {}
+        waiting: dict[int, tuple[bytes, int, int]] = {}
 
         def spans() -> pa.RecordBatch:
-            names = list(waiting)
-            least, most = collection_spans([waiting[x][0] for x in names], np.array([waiting[x][1] for x in names]), length)
+            names, n = np.array(list(waiting), np.int64), np.array([x[2] for x in waiting.values()], np.int64)
+            least, most = collection_spans([x[0] for x in waiting.values()], np.array([x[1] for x in waiting.values()]), n, length, rounds)
             hit = np.flatnonzero(least >= 0)
-            key, th, at = (np.array([names[i][j] for i in hit], np.int64) for j in range(3))
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (key, th, at - most[hit], at - least[hit] + length)], names=["key", "th", "start", "end"])
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (names[hit], n[hit], -most[hit], length - least[hit])], names=["context", "n", "lo", "hi"])
 
         for part in runs(batches, ["half"]):
-            for key, th, at, lead, body in zip(*(part[c].to_pylist() for c in ("key", "th", "at", "lead", "body"))):
-                waiting[key, th, at] = (body, lead)  # a place that comes by both halves is inserted once
+            for context, n, lead, body in zip(*(part[c].to_pylist() for c in ("context", "n", "lead", "body"))):
+                waiting[context] = (body, lead, n)  # a context that comes by both halves is inserted once
             if len(waiting) >= BATCH:
                 yield spans()
                 waiting.clear()
         if waiting:
             yield spans()
 
-    by_columns = dealt.repartition("half").sortWithinPartitions("half").mapInArrow(columns, "key long, th long, start long, end long")
-
-    # the exact way for large groups: every string of their contexts by its hash
-    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for key, th, at, lead, body in zip(*(batch.column(c).to_pylist() for c in ("key", "th", "at", "lead", "body"))):
-                if (n := len(body) - length + 1) > 0:
-                    start = np.arange(n)
-                    h = Hashes(np.frombuffer(body, np.uint8))(start, start + length).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, key)), pa.array(np.full(n, th)), pa.array(at - lead + start), pa.array(h)], names=["key", "th", "start", "string"])
-
-    crowd = bodies.join(shared.where(F.col("members") > MOST).select("key", "th", "at").distinct(), ["key", "th", "at"])
-    crowd = crowd.select("key", "th", "at", "lead", "body").mapInArrow(strings, "key long, th long, start long, string long").distinct()
-    crowd = scratch.save(crowd, "strings")
-    twice = crowd.groupBy("string").agg(F.count("*").alias("n")).where("n > 1").select("string")
-    by_hash = crowd.join(twice, "string").select("key", "th", "start", (F.col("start") + length).alias("end"))
-    spans = whole.union(by_columns).union(by_hash).groupBy("key", "th").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    by_columns = dealt.repartition("half").sortWithinPartitions("half").mapInArrow(columns, "context long, n long, lo long, hi long")
+    by_context = (by_columns if equal is None else by_columns.union(equal)).groupBy("context").agg(F.max("n").alias("n"), F.collect_set(F.struct("lo", "hi")).alias("parts"))
+    by_context = scratch.save(by_context, "spans-of-contexts")
+    scratch.release()
+    hits = heavy_join(found.select("context", "key", "th", "at"), by_context, "context", "n", ["key", "th", "at"])
+    hits = hits.select("key", "th", F.transform("parts", lambda p: F.struct(F.greatest(F.col("at") + p["lo"], F.lit(0)).alias("start"), (F.col("at") + p["hi"]).alias("end"))).alias("parts"))
+    spans = hits.groupBy("key", "th").agg(F.sort_array(F.flatten(F.collect_list("parts"))).alias("spans"))
     spans = scratch.save(spans, "spans")
     scratch.release()
-    return keyed, spans
+    return keyed, own, spans
 
 
 def _merged(spans: list[dict] | None, n: int) -> list[tuple[int, int]]:
@@ -262,14 +310,17 @@ def _merged(spans: list[dict] | None, n: int) -> list[tuple[int, int]]:
 def deduplicated(spark: SparkSession, docs: DataFrame, length: int = 200, digest: bool = False) -> DataFrame:
     """Rows of docs with their text cut: the digest (doc_id, n_bytes, n_removed, n_spans, kept_sha256), or docs with the bytes that are left as text (bytes that no longer form a character go) and n_removed."""
     scratch = Scratch(spark, "suffixes")
-    keyed, spans = repeats(spark, docs, length, scratch)
+    docs = docs.drop("n_removed")
+    keyed, own, spans = repeats(spark, docs, length, scratch)
     names = docs.columns
-    joined = keyed.join(spans, ["key", "th"], "left").select(*names, "spans")
+    (out,) = internal(names, "spans")
+    spans = spans.select(*(F.col(a).alias(b) for a, b in zip(("key", "th"), own)), F.col("spans").alias(out))
+    joined = keyed.join(spans, own, "left").select(*names, out)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_bytes, removed, n_spans, sums, kept = [], [], [], [], []
-            for text, found in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("spans").to_pylist()):
+            for text, found in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column(out).to_pylist()):
                 body = text or b""
                 gone = _merged(found, len(body))
                 edges = [0, *(x for s in gone for x in s), len(body)]
