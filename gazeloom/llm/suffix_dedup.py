@@ -4,7 +4,9 @@ Anchors. In each run of length - GRAM + 1 GRAM-grams of a text, the one with the
 anchor, so equal strings of `length` bytes hold an anchor at the same place. An anchor's context is
 what a string holding it can reach; an anchor that comes once has no equal string around it.
 
-Columns. Contexts of repeated anchors are the collection; equal ones are one entry with a weight.
+Columns. Contexts of repeated anchors are the collection; equal ones (by a 64-bit hash) are one entry
+with a weight, and as its copies share all of it, it is covered whole; it goes through the rounds only
+where different contexts share a half with it.
 Its suffixes are ordered column by column, from the last: each round inserts one symbol of every
 context before its suffix, sorts by that symbol and the order so far (the step of a multi-document
 Burrows-Wheeler construction), and updates the common prefixes of neighbours. A round reads its
@@ -208,8 +210,8 @@ def divided(length: int):
 
 
 def grouped(entries: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """Entries (context, n, half, a, b) whose half comes again, with the number of contexts that share it (members)."""
-    sizes = entries.groupBy("half").agg(F.count("*").alias("members"), F.sum("n").alias("weight")).where("weight > 1").select("half", "members")
+    """Entries (context, n, half, a, b) whose half several contexts share, with their number (members)."""
+    sizes = entries.groupBy("half").agg(F.count("*").alias("members")).where("members > 1")
     return scratch.save(heavy_join(entries, scratch.save(sizes, f"{name}-sizes"), "half", "members", ["context"]).drop("__salt"), name)
 
 
@@ -232,10 +234,11 @@ def repeats(spark: SparkSession, docs: DataFrame, length: int, scratch: Scratch)
     distinct = found.groupBy("context", "left", "right").agg(F.count("*").alias("n"), F.min(place).alias("place"))
     distinct = scratch.save(distinct.select("context", "n", "place.*", "left", "right"), "contexts")
 
-    # a context that comes again by itself needs one group, others all that they share with different ones
-    ways = F.array(F.struct(F.col("left").alias("half"), F.lit(half).alias("a"), F.lit(reach).alias("b"), F.lit(True).alias("first")), F.struct(F.col("right").alias("half"), F.lit(0).alias("a"), F.lit(half).alias("b"), (F.col("left") == 0).alias("first")))
+    # the copies of a context share all of it; rounds are for halves that different contexts share
+    whole = distinct.where("n > 1").select("context", "n", F.lit(-reach).cast("long").alias("lo"), F.lit(length).cast("long").alias("hi"))
+    ways = F.array(F.struct(F.col("left").alias("half"), F.lit(half).alias("a"), F.lit(reach).alias("b")), F.struct(F.col("right").alias("half"), F.lit(0).alias("a"), F.lit(half).alias("b")))
     entries = distinct.select("context", "n", F.explode(ways).alias("w")).select("context", "n", "w.*").where("half != 0")
-    shared = grouped(entries, scratch, "halves").where("members > 1 or first").drop("first")
+    shared = grouped(entries, scratch, "halves")
     places = distinct.join(shared.select("context").distinct(), "context")
     wanted = places.groupBy("key", "th").agg(F.collect_list(F.struct("at", "context", "n")).alias("places"))
 
@@ -253,14 +256,13 @@ def repeats(spark: SparkSession, docs: DataFrame, length: int, scratch: Scratch)
     bodies = texts.join(wanted, ["key", "th"]).mapInArrow(cut, "context long, n long, lead long, body binary").dropDuplicates(["context"])
     bodies = scratch.save(bodies, "bodies")
     scratch.release()
-    small, equal, level = shared.where(F.col("members") <= MOST), None, 0
+    small, level = shared.where(F.col("members") <= MOST), 0
     large = shared.where(F.col("members") > MOST)
     while not large.isEmpty():  # once for each halving of the places, log2(reach) times at most
         level += 1
         parts = bodies.join(large.select("context", "a", "b"), "context").mapInArrow(divided(length), "context long, n long, half long, a int, b int")
         parts = grouped(scratch.save(parts, f"parts{level}"), scratch, f"divided{level}")
-        whole = parts.where("a = b").select("context", "n", (-F.col("a")).cast("long").alias("lo"), (length - F.col("b")).cast("long").alias("hi"))
-        equal = whole if equal is None else equal.union(whole)
+        whole = whole.union(parts.where("a = b").select("context", "n", (-F.col("a")).cast("long").alias("lo"), (length - F.col("b")).cast("long").alias("hi")))
         small = small.unionByName(parts.where((F.col("members") <= MOST) & (F.col("a") < F.col("b"))))
         large = parts.where((F.col("members") > MOST) & (F.col("a") < F.col("b")))
     dealt = bodies.join(small.select("context", "half"), "context")
@@ -285,13 +287,16 @@ def repeats(spark: SparkSession, docs: DataFrame, length: int, scratch: Scratch)
             yield spans()
 
     by_columns = dealt.repartition("half").sortWithinPartitions("half").mapInArrow(columns, "context long, n long, lo long, hi long")
-    by_context = (by_columns if equal is None else by_columns.union(equal)).groupBy("context").agg(F.max("n").alias("n"), F.collect_set(F.struct("lo", "hi")).alias("parts"))
+    by_context = by_columns.union(whole).groupBy("context").agg(F.max("n").alias("n"), F.collect_set(F.struct("lo", "hi")).alias("parts"))
     by_context = scratch.save(by_context, "spans-of-contexts")
+    for name in ("contexts", "halves", "halves-sizes", "bodies"):
+        scratch.drop(name)
     scratch.release()
     hits = heavy_join(found.select("context", "key", "th", "at"), by_context, "context", "n", ["key", "th", "at"])
     hits = hits.select("key", "th", F.transform("parts", lambda p: F.struct(F.greatest(F.col("at") + p["lo"], F.lit(0)).alias("start"), (F.col("at") + p["hi"]).alias("end"))).alias("parts"))
     spans = hits.groupBy("key", "th").agg(F.sort_array(F.flatten(F.collect_list("parts"))).alias("spans"))
     spans = scratch.save(spans, "spans")
+    scratch.drop("repeated"), scratch.drop("spans-of-contexts")
     scratch.release()
     return keyed, own, spans
 
