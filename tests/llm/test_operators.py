@@ -420,12 +420,20 @@ def test_em_equals_its_definition(spark):
     v, n = np.array([p[0] for p in patterns]), np.array([p[1] for p in patterns], float)
     q = 1 / (1 + np.exp(-v.sum(axis=1)))
     for _ in range(5):
-        a = (n[:, None] * np.where(v == 1, q[:, None], np.where(v == -1, 1 - q[:, None], 0))).sum(axis=0) + 4
-        a = np.clip(a / ((n[:, None] * abs(v)).sum(axis=0) + 5), 0.02, 0.98)
-        q = 1 / (1 + np.exp(-(v * (np.log(a) - np.log(1 - a))).sum(axis=1)))
+        good, bad = n * q, n * (1 - q)
+        up, down = (np.log(((v == x) * good[:, None]).sum(axis=0) + 4) - np.log(good.sum() + 8) - np.log(((v == x) * bad[:, None]).sum(axis=0) + 4) + np.log(bad.sum() + 8) for x in (1, -1))
+        q = 1 / (1 + np.exp(-((v == 1) @ np.maximum(up, 0) + (v == -1) @ np.minimum(down, 0))))
     assert all(np.isclose(got[tuple(p[0])], x) for p, x in zip(patterns, q))
 
 
+def test_verdicts_agree_with_labels(spark):
+    folder = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "quality")
+    rows = quality.judge(spark, spark.read.parquet(f"{folder}/documents.parquet")).where("not base_failed").join(labels, "doc_id").select("quality", "kept").collect()
+    bad, good = [r.kept for r in rows if r.quality == 0], [r.kept for r in rows if r.quality == 1]
+    assert sum(bad) <= 0.03 * len(bad) and sum(good) >= 0.98 * len(good)
+
+
 @pytest.mark.parametrize("shape", ["path", "random", "star", "none"])
 def test_components(spark, shape):
     from gazeloom.llm.shared import Scratch, components
