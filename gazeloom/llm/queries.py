@@ -121,5 +121,95 @@ select doc_id, coalesce(n.n, 0)::bigint as n_shingles, coalesce(root, doc_id) as
 """
 
 
+# bytes of a text as a list of numbers
+_BYTES = "list_transform(regexp_extract_all(hex(coalesce(text, '')), '..'), lambda c: ('0x' || c)::int)"
+
+
+def _doubled() -> str:
+    """CTEs w2, w4, ..., w128, w200: for each start, a hash of the string of so many bytes, from those of its parts."""
+    out, have = [], 1
+    for step, name in ((1, 2), (2, 4), (4, 8), (8, 16), (16, 32), (32, 64), (64, 128), (72, 200)):
+        out.append(f"w{name} as (select rid, list_transform(range(1, greatest(1, len(r) - {step - 1})), lambda i: hash(r[i], r[i + {step}])) as r from w{have})")
+        have = name
+    return ", ".join(out)
+
+
+#: Every string of 200 bytes, by hashes that are doubled in length; bytes of those that start twice or more are removed.
+_OP10 = rf"""
+with t as (select row_number() over () as rid, doc_id, coalesce(text, '') as t, text from documents),
+w1 as (select rid, {_BYTES} as r from t), {_doubled()},
+s as (select rid, unnest(r) as h, generate_subscripts(r, 1) - 1 as i from w200),
+m as (select rid, i from s where h in (select h from s group by h having count(*) > 1)),
+g as (select *, case when i - lag(i) over (partition by rid order by i) <= 200 then 0 else 1 end as fresh from m),
+k as (select *, sum(fresh) over (partition by rid order by i rows unbounded preceding) as run from g),
+spans as (select rid, min(i) as a, max(i) + 200 as b from k group by rid, run),
+edges as (select rid, coalesce(lag(b) over (partition by rid order by a), 0) as a, a as b from spans union all select rid, max(b), null from spans group by rid),
+kept as (select rid, string_agg(substr(hex(t), 2 * a + 1, case when b is null then 2 * strlen(t) else 2 * (b - a) end), '' order by a) as h from edges join t using (rid) group by rid),
+n as (select rid, sum(b - a)::bigint as n_removed, count(*) as n_spans from spans group by rid)
+select doc_id, strlen(t)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(unhex(coalesce(h, hex(t)))) as kept_sha256
+from t left join n using (rid) left join kept using (rid)
+"""
+
+
+def _feistel() -> str:
+    """Subqueries that take (id, x) through the rounds of the permutation once; a and b are sides of the square of row numbers."""
+    two64 = "18446744073709551616"
+    out = "select id, n, a, b, x // b as l, x % b as r from {source}"
+    for k, key in enumerate(sharding.round_keys(0)):
+        out = f"select *, ({'l' if k % 2 else 'r'}::uhugeint + {key}) % {two64} as m from ({out})"
+        for shift, factor in ((30, "13787848793156543929"), (27, "10723151780598845931"), (31, None)):
+            mixed = f"xor(m, m >> {shift})"
+            out = f"select * replace ({f'({mixed} * {factor}::uhugeint) % {two64}' if factor else mixed} as m) from ({out})"
+        turned = "((r + m % b::uhugeint) % b::uhugeint)::uhugeint as r" if k % 2 else "((l + m % a::uhugeint) % a::uhugeint)::uhugeint as l"
+        out = f"select * exclude (m) replace ({turned}) from ({out})"
+    return f"select id, n, a, b, l * b::uhugeint + r as x from ({out})"
+
+
+_OP7 = rf"""
+with recursive c as (select list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384))) as byte),
+d as (select doc_id, strlen(coalesce(text, ''))::bigint + 16 as size, xor(list_reduce(list_prepend(4294967295, {_BYTES}), lambda x, y: xor(x >> 8, byte[(xor(x, y) & 255) + 1])), 4294967295)::bigint as text_crc32 from documents, c),
+o as (select *, row_number() over (order by doc_id nulls first, size, text_crc32) - 1 as id from d),
+n as (select count(*) as n, floor(sqrt(count(*) - 1))::bigint + 1 as a from d),
+z as (select id, n::uhugeint as n, a::uhugeint as a, ((n + a - 1) // a)::uhugeint as b, id::uhugeint as x from o, n),
+p as ({_feistel().format(source="z")} union all {_feistel().format(source="p where x >= n")})
+select doc_id, size, text_crc32, 'rows' as law, (x % 40)::int as shard, (x // 40)::bigint as slot, null::int as grown_shard from o join p using (id) where x < n
+"""
+
+
+def _votes() -> str:
+    return "[" + ", ".join(f"case when {bad} then -1 when {good} then 1 else 0 end" for bad, good in quality.RULES.values()) + "]"
+
+
+def _less(text: str, pattern: str) -> str:
+    return f"(length({text}) - length(regexp_replace({text}, '{pattern}', '', 'g')))"
+
+
+def _rate(vote: int, q: str, whole: str) -> str:
+    return f"ln((list_sum(list_transform(w, lambda x: case when x.votes[j] = {vote} then x.n * {q} else 0::double end)) + {quality.PSEUDO}) / ({whole} + {2 * quality.PSEUDO}))"
+
+
+_RULES = f"range(1, {len(quality.RULES) + 1})"
+_OP8 = rf"""
+with recursive t as (select row_number() over () as rid, doc_id, coalesce(text, '') as t, {_WORDS} as w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from documents),
+g as (select rid, unnest(list_transform(range(1, len(w) - {quality.WINDOW - 2}), lambda i: array_to_string(w[i:i + {quality.WINDOW - 1}], ' '))) as g, unnest(range(1, len(w) - {quality.WINDOW - 2})) as i from t),
+r as (select rid, i, count(*) over (partition by rid, g) as n from g),
+v as (select rid, least({quality.WINDOW}, coalesce(lead(i) over (partition by rid order by i) - i, {quality.WINDOW})) as covered from r where n > 1),
+u as (select rid, sum(covered) as n_repeat_words from v group by rid),
+c as (select *, array_to_string(w, '') as c from t),
+k as (select rid, doc_id, len(w) as n_words, length(c) as word_chars, {_less('c', quality.SYMBOLS)} as n_symbols, {_less('c', '[A-Z]')} as n_capitals, {_less('c', quality.MARKS)} as n_marks, len(list_distinct(w)) as n_distinct,
+        len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) as n_stutter, len(regexp_extract_all(t, '[^!-@\[-`{{-~\t-\r ][.,](?:[\t-\r ]|$)')) as n_stops, len(lines) as n_lines, len(lines) - len(list_distinct(lines)) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words
+      from c left join u using (rid)),
+f as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed, {_votes()} as votes from k),
+b as (select votes, count(*)::double as n from f where not base_failed group by votes),
+em as (select 0 as k, list(struct_pack(votes := votes, n := n, q := 1 / (1 + exp(-list_sum(votes)::double))) order by votes) as w from b
+  union all select k + 1, list_transform(w, lambda x: struct_pack(votes := x.votes, n := x.n, q := 1 / (1 + exp(-list_sum(list_transform({_RULES}, lambda j: case x.votes[j] when 1 then up[j] when -1 then down[j] else 0 end))))))
+    from (select *, list_transform({_RULES}, lambda j: greatest(0, {_rate(1, 'x.q', 'good')} - {_rate(1, '(1 - x.q)', 'bad')})) as up, list_transform({_RULES}, lambda j: least(0, {_rate(-1, 'x.q', 'good')} - {_rate(-1, '(1 - x.q)', 'bad')})) as down
+      from (select k, w, list_sum(list_transform(w, lambda x: x.n * x.q)) as good, list_sum(list_transform(w, lambda x: x.n * (1 - x.q))) as bad from em where k < 30))),
+q as (select x.votes as votes, x.q as q from (select unnest(w) as x from em where k = 30))
+select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols, n_dup_lines::bigint as n_dup_lines, n_repeat_words::bigint as n_repeat_words, base_failed, not base_failed and coalesce(q >= 0.5, false) as kept
+from f left join q on f.votes = q.votes
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_near_duplicates": _OP1, "op9_ngram_jaccard": _OP9, "op4_warc_dictionary": _OP4, "op6_source_mix": _OP6}
+    return {"op1_embedding_near_duplicates": _OP1, "op9_ngram_jaccard": _OP9, "op4_warc_dictionary": _OP4, "op6_source_mix": _OP6, "op7_feistel_shards": _OP7, "op8_weak_supervision": _OP8, "op10_suffix_dedup": _OP10}

@@ -30,11 +30,15 @@ def _mixed(x: np.ndarray, key: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def round_keys(seed: int) -> list[int]:
+    return [int(_mixed(np.array([seed * 1_000_003 + k], dtype=np.uint64), 0x9E3779B97F4A7C15)[0]) for k in range(ROUNDS)]
+
+
 def permuted(rows: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
     """The images of row numbers below n under the seed's permutation of 0..n-1."""
     a = max(1, math.isqrt(max(n - 1, 0)) + 1)
     b = max(1, -(-n // a))
-    keys = [int(_mixed(np.array([seed * 1_000_003 + k], dtype=np.uint64), 0x9E3779B97F4A7C15)[0]) for k in range(ROUNDS)]
+    keys = round_keys(seed)
 
     def once(x: np.ndarray) -> np.ndarray:
         left, right = x // np.uint64(b), x % np.uint64(b)
