@@ -85,7 +85,7 @@ def derive_activity(text: Column, n: int = 4) -> Column:
 
 
 def _tokens(text: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != ""))
+    return F.array_distinct(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
 
 
 def similar(a: Column, b: Column, jaccard: float = T.similar_jaccard, shared: int = T.similar_shared) -> Column:

@@ -5,6 +5,7 @@ A recording's rows meet in one partition, one after another; recordings are inde
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -22,41 +23,64 @@ def by_recording(df: DataFrame, key: str | list[str], fold: Callable[[pd.DataFra
     keys = [key] if isinstance(key, str) else key
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest: pd.DataFrame | None = None
+        waiting: list[pd.DataFrame] = []  # the parts of the group that may go on
         for batch in batches:
-            rows = batch if rest is None or not len(rest) else pd.concat([rest, batch], ignore_index=True)
-            code = rows.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
-            cuts = [0, *(np.flatnonzero(code[1:] != code[:-1]) + 1).tolist()]
-            done = [fold(rows.iloc[a:b]) for a, b in zip(cuts, cuts[1:])]
+            if not len(batch):
+                continue
+            if waiting and not _same(pd.concat([waiting[-1].iloc[-1:], batch.iloc[:1]]), keys)[0]:
+                yield fold(pd.concat(waiting, ignore_index=True))
+                waiting = []
+            cuts = [0, *(np.flatnonzero(~_same(batch, keys)) + 1).tolist(), len(batch)]
+            done = []
+            for a, b in zip(cuts, cuts[1:]):
+                waiting.append(batch.iloc[a:b])
+                if b < len(batch):
+                    done.append(fold(pd.concat(waiting, ignore_index=True) if len(waiting) > 1 else waiting[0]))
+                    waiting = []
             if done:
                 yield pd.concat(done, ignore_index=True)
-            rest = rows.iloc[cuts[-1] :]
-        if rest is not None and len(rest):
-            yield fold(rest)
+        if waiting:
+            yield fold(pd.concat(waiting, ignore_index=True))
 
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
 
 
+def _same(rows: pd.DataFrame, keys: list[str]) -> np.ndarray:
+    """Whether each row but the first has the keys of the row before it; nulls are equal."""
+    out = np.ones(len(rows) - 1, bool)
+    for k in keys:
+        x, none = rows[k].to_numpy(), rows[k].isna().to_numpy()
+        out &= (x[1:] == x[:-1]) | (none[1:] & none[:-1])
+    return out
+
+
 def alike(a: str, b: str, jaccard: float = T.similar_jaccard, shared: int = T.similar_shared) -> bool:
-    x, y = set(a.lower().split()), set(b.lower().split())
+    x, y = set(a.split()), set(b.split())
     if not x or not y:
         return a == b
     both = len(x & y)
     return both / len(x | y) >= jaccard or both >= shared
 
 
-def open_segments(df: DataFrame, key: str, time: str, label: str, confidence: str, description: str, interval: float = 1.0) -> DataFrame:
-    """Segments of labels alike to their segment's first; commonest label (first seen on ties), longest description."""
+def open_segments(df: DataFrame, key: str, time: str, label: str, confidence: str, description: str, interval: float = 1.0, duration: str | None = None) -> DataFrame:
+    """Segments of labels alike to their segment's first; commonest label (first seen on ties), longest description.
+
+    The last ends one interval after its last frame, or at the recording's duration (a column) if that is known and sooner.
+    """
     kind = df.schema[key].dataType.simpleString()
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(time, kind="stable")
         times, out, begin = rows[time].tolist(), [], 0
         labels, descriptions = rows[label].fillna("").tolist(), rows[description].fillna("").tolist()
+        whole = float(rows[duration].max() or 0) if duration else 0.0
+        ending = float(times[-1]) + interval if times else 0.0
+        if whole > 0:
+            ending = min(whole, ending)
 
         def close(a: int, b: int) -> None:
             own = Counter(labels[a:b])  # insertion order decides ties
-            out.append((rows[key].iloc[0], float(times[a]), float(times[b]) if b < len(times) else float(times[-1]) + interval, own.most_common(1)[0][0], round(float(rows[confidence].iloc[a:b].mean()), 3), max(descriptions[a:b], key=len)))
+            out.append((rows[key].iloc[0], float(times[a]), float(times[b]) if b < len(times) else ending, own.most_common(1)[0][0], round(float(rows[confidence].iloc[a:b].mean()), 3), max(descriptions[a:b], key=len)))
 
         for i in range(1, len(times)):
             if not alike(labels[begin], labels[i]):
@@ -66,24 +90,25 @@ def open_segments(df: DataFrame, key: str, time: str, label: str, confidence: st
             close(begin, len(times))
         return pd.DataFrame(out, columns=[key, "start", "end", "label", "confidence", "description"])
 
-    return by_recording(df.select(key, time, label, confidence, description), key, fold, f"{key} {kind}, start double, end double, label string, confidence double, description string")
+    return by_recording(df.select(key, time, label, confidence, description, *([duration] if duration else [])), key, fold, f"{key} {kind}, start double, end double, label string, confidence double, description string")
 
 
 def merge_short_list(segments: list[dict], least: float) -> list[dict]:
-    """From the left, the first short segment joins the longer neighbour (the one before on ties), until none is short or one is left."""
-    segments = [dict(s) for s in segments]
-    while len(segments) > 1:
-        i = next((k for k, s in enumerate(segments) if round(s["end"] - s["start"], 3) < least), None)
-        if i is None:
-            break
-        before, after = (segments[i - 1] if i else None), (segments[i + 1] if i + 1 < len(segments) else None)
-        span = lambda s: round(s["end"] - s["start"], 3)
-        if after is None or (before is not None and span(before) >= span(after)):
-            before["end"] = segments[i]["end"]
+    """From the left, the first short segment joins the longer neighbour (the one before on ties), until none is short or one is left.
+
+    One pass: what lies left of a segment is never short any more.
+    """
+    span = lambda s: round(s["end"] - s["start"], 3)
+    rest, out = [dict(s) for s in segments], []
+    for k, s in enumerate(rest):
+        after = rest[k + 1] if k + 1 < len(rest) else None
+        if span(s) >= least or (not out and after is None):
+            out.append(s)
+        elif after is None or (out and span(out[-1]) >= span(after)):
+            out[-1]["end"] = s["end"]
         else:
-            after["start"] = segments[i]["start"]
-        del segments[i]
-    return segments
+            after["start"] = s["start"]
+    return out
 
 
 def merge_short(df: DataFrame, key: str, least: float = T.min_segment_seconds) -> DataFrame:
@@ -149,8 +174,11 @@ class Tracker:
         self.open = [t for t in self.open if number - t[1] <= self.max_gap]
         free, new, found = list(self.open), [], []
         for box in boxes:
-            best = max(free, key=lambda t: _iou(box, t[2]), default=None)  # the first of equals
-            if best is None or _iou(box, best[2]) < self.match_iou:
+            shares = [_iou(box, t[2]) for t in free]
+            most = max(shares, default=0.0)
+            if shares and most >= self.match_iou:
+                best = free[shares.index(most)]  # the first of equals
+            else:
                 best = next((t for t in free if self._close(box, t[2])), None)
             if best is None:
                 best = [self.tracks, number, box]
@@ -164,18 +192,22 @@ class Tracker:
         return found
 
     def _close(self, a, b) -> bool:
-        gap = np.hypot((a[0] + a[2] - b[0] - b[2]) / 2, (a[1] + a[3] - b[1] - b[3]) / 2)
-        return gap < self.near * max(np.hypot(a[2] - a[0], a[3] - a[1]), np.hypot(b[2] - b[0], b[3] - b[1]))
+        gap = math.hypot((a[0] + a[2] - b[0] - b[2]) / 2, (a[1] + a[3] - b[1] - b[3]) / 2)
+        return gap < self.near * max(math.hypot(a[2] - a[0], a[3] - a[1]), math.hypot(b[2] - b[0], b[3] - b[1]))
 
 
 def track_boxes(df: DataFrame, key: str, frame: str, order: str, max_gap: int, match_iou: float = T.match_iou) -> DataFrame:
     """Adds track to detections (x0, y0, x1, y1); detections of a frame are taken in `order`."""
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([frame, order], kind="stable")
-        tracker, track = Tracker(max_gap, match_iou), []
-        for number, own in rows.groupby(frame, sort=True):
-            track += tracker.frame(int(number), list(own[["x0", "y0", "x1", "y1"]].itertuples(index=False, name=None)))
-        return rows.assign(track=np.array(track, np.int64))
+        frames = rows[frame].to_numpy()
+        sort = np.lexsort((rows[order].to_numpy(), frames))
+        frames = frames[sort]
+        boxes = list(zip(*(rows[c].to_numpy(float)[sort].tolist() for c in ("x0", "y0", "x1", "y1"))))
+        cuts = [0, *(np.flatnonzero(frames[1:] != frames[:-1]) + 1).tolist(), len(boxes)]
+        tracker, track = Tracker(max_gap, match_iou), np.zeros(len(boxes), np.int64)
+        for a, b in zip(cuts, cuts[1:]):
+            track[sort[a:b]] = tracker.frame(int(frames[a]), boxes[a:b])
+        return rows.assign(track=track)
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
     return by_recording(df, key, fold, f"{fields}, track long")

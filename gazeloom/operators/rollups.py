@@ -100,7 +100,7 @@ def longest_first(df: DataFrame, key: str, text: str, order: str) -> DataFrame:
 def vector_stats(df: DataFrame, vector: str) -> DataFrame:
     """Per component: count, mean, population deviation, least, most; merged from partial sums."""
     parts = df.select(F.posexplode(vector).alias("component", "v")).withColumn("v", F.col("v").cast("double"))
-    return parts.groupBy("component").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.sqrt(F.greatest(F.lit(0.0), F.avg(F.col("v") * F.col("v")) - F.avg("v") * F.avg("v"))).alias("std"), F.min("v").alias("least"), F.max("v").alias("most"))
+    return parts.groupBy("component").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.min("v").alias("least"), F.max("v").alias("most"))
 
 
 def privacy_metrics(labels: DataFrame, key: str, face: Column, hidden: Column, hand_only: Column, leak_pii: Column, pii: Column) -> DataFrame:
@@ -147,8 +147,7 @@ def joint_errors(samples: DataFrame, errors: str, joint_names: Sequence[str], pr
     """Mean error overall, by joint and by provenance, over pooled joints."""
     rows = samples.select(F.posexplode(errors).alias("k", "error"), provenance)
     rows = rows.withColumn("joint", F.element_at(F.array(*[F.lit(n) for n in joint_names]), F.col("k") + 1))
-    rows.createOrReplaceTempView("__joint_errors")
-    return rows.sparkSession.sql(f"select joint, {provenance}, avg(error) as mean_error, count(*) as n, grouping_id() as level from __joint_errors group by grouping sets ((), (joint), ({provenance}))")
+    return rows.groupingSets([[], ["joint"], [provenance]], "joint", provenance).agg(F.avg("error").alias("mean_error"), F.count("*").alias("n"), F.grouping_id().alias("level"))
 
 
 def context_lines(segments: DataFrame, key: str, start: str, end: str, text: str, most: int = 400) -> DataFrame:

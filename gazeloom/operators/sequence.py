@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-FIRST, HERE, LAST = Window.unboundedPreceding, Window.currentRow, Window.unboundedFollowing
+FIRST, HERE = Window.unboundedPreceding, Window.currentRow
 
 
 def _names(x: str | Sequence[str]) -> list[str]:
@@ -67,9 +67,12 @@ def islands(df: DataFrame, key: str, time: str, label: str, order: Sequence[str]
 
 def gap_fill(df: DataFrame, key: str, time: str, value: str, order: Sequence[str] | None = None, max_gap: float = 0.3, scale: float = 1.0) -> DataFrame:
     """Linear fill between valid rows that are max_gap (in time * scale) or less apart; never before the first or after the last. Adds is_filled."""
-    w = Window.partitionBy(key).orderBy(*(order or [time]))
+    order = list(order or [time])
+    # looking ahead is looking back in the other order: both frames grow row by row
+    ahead = Window.partitionBy(key).orderBy(*map(F.desc, order)).rowsBetween(FIRST, HERE)
+    back = Window.partitionBy(key).orderBy(*order).rowsBetween(FIRST, HERE)
     here = F.when(F.col(value).isNotNull(), F.struct(F.col(time).alias("t"), F.col(value).alias("v")))
-    df = df.withColumn("__a", F.last(here, ignorenulls=True).over(w.rowsBetween(FIRST, HERE))).withColumn("__b", F.first(here, ignorenulls=True).over(w.rowsBetween(HERE, LAST)))
+    df = df.withColumn("__b", F.last(here, ignorenulls=True).over(ahead)).withColumn("__a", F.last(here, ignorenulls=True).over(back))
     span = F.col("__b.t") - F.col("__a.t")
     t = (F.col(time) - F.col("__a.t")) / F.when(span == 0, 1).otherwise(span)
     fits = F.col(value).isNull() & F.col("__a").isNotNull() & F.col("__b").isNotNull() & (span * scale <= max_gap)
@@ -104,8 +107,10 @@ def nearest(left: DataFrame, right: DataFrame, key: str, time: str, columns: Seq
         right = right.withColumn("__k", F.row_number().over(first)).where("__k = 1").drop("__k")
     right = right.select(F.col(key), F.col(time), F.struct(F.col(time).alias("time"), *columns).alias("__r"))
     both = left.withColumn("__left", F.struct(*left.columns)).select(key, time, "__left", F.lit(None).cast(right.schema["__r"].dataType).alias("__r")).unionByName(right.select(key, time, F.lit(None).cast(left.select(F.struct(*left.columns).alias("x")).schema["x"].dataType).alias("__left"), "__r"))
-    w = Window.partitionBy(key).orderBy(time)
-    near = both.withColumn("__a", F.last("__r", ignorenulls=True).over(w.rangeBetween(FIRST, HERE))).withColumn("__b", F.first("__r", ignorenulls=True).over(w.rangeBetween(HERE, LAST))).where("__left is not null")
+    # looking ahead is looking back in the other order: both frames grow row by row
+    ahead = Window.partitionBy(key).orderBy(F.desc(time)).rangeBetween(FIRST, HERE)
+    back = Window.partitionBy(key).orderBy(time).rangeBetween(FIRST, HERE)
+    near = both.withColumn("__b", F.last("__r", ignorenulls=True).over(ahead)).withColumn("__a", F.last("__r", ignorenulls=True).over(back)).where("__left is not null")
     before, after = F.col(time) - F.col("__a.time"), F.col("__b.time") - F.col(time)
     closer = after < before if tie == "earlier" else after <= before
     found = F.when(F.col("__a").isNull() | closer, F.col("__b")).otherwise(F.col("__a"))

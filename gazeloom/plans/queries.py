@@ -315,7 +315,7 @@ def text_activity(spark, d):
     return table(spark, d, "documents").select("doc_id", text.derive_activity(F.col("text")).alias("activity"))
 
 
-@query(r"""with t as (select conv_id, turn, text, list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> '')) as w from conversations),
+@query(r"""with t as (select conv_id, turn, text, list_distinct(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) as w from conversations),
  p as (select a.conv_id, a.turn, a.text as x, b.text as y, a.w as v, b.w as u, len(list_intersect(a.w, b.w)) as i from t a join t b on a.conv_id = b.conv_id and b.turn = a.turn + 1)
  select conv_id, turn, case when len(v) = 0 or len(u) = 0 then x = y else i / (len(v) + len(u) - i) >= 0.34::double or i >= 2 end as alike from p""")
 def similar_neighbours(spark, d):
@@ -327,15 +327,15 @@ def similar_neighbours(spark, d):
 _TAX = ", ".join(f"case when v = '{t}' then '{t}' end" for t in text.TAXONOMY) + ", " + ", ".join(f"case when contains(v, '{t}') or contains('{t}', v) then '{t}' end" for t in text.TAXONOMY) + ", " + ", ".join(f"case when contains(v, '{k}') then '{t}' end" for k, t in text.TAXONOMY_KEYWORDS)
 
 
-@query(f"with x as (select doc_id, lower(trim(substr(text, 1, 400))) as v from documents) select doc_id, case when v <> '' then coalesce({_TAX}) end as task from x")
+@query(f"with x as (select doc_id, lower(trim(text)) as v from documents) select doc_id, case when v <> '' then coalesce({_TAX}) end as task from x")
 def taxonomy_match(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.match_taxonomy(F.substring("text", 1, 400)).alias("task"))
+    return table(spark, d, "documents").select("doc_id", text.match_taxonomy(F.col("text")).alias("task"))
 
 
 @query()
 def taxonomy_match_whole(spark, d):
-    """taxonomy_match, whose SQL reads 400 characters, over whole texts."""
-    return table(spark, d, "documents").select("doc_id", text.match_taxonomy(F.col("text")).alias("task"))
+    """The same under its earlier name."""
+    return taxonomy_match(spark, d)
 
 
 @query("with x as (select event_id, floor(value * 97)::int as s from events) select event_id, printf('%02d:%02d', s // 60, s % 60) as clock from x")
