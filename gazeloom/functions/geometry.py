@@ -167,3 +167,14 @@ def timeline_share(start: Column, end: Column, duration: Column) -> Column:
     """struct(left, width) in percent of a duration of a second or more."""
     whole = F.greatest(duration, F.lit(1.0))
     return F.struct((start / whole * 100).alias("left"), ((end - start) / whole * 100).alias("width"))
+
+
+def by_side(label: Column, points: Column, score: Column, swap: Column) -> Column:
+    """struct(left, left_confidence, right, right_confidence) of one detected hand; mirrored views swap the sides."""
+    left = (label == "Left") != swap
+    return F.struct(F.when(left, points).alias("left"), F.when(left, score).alias("left_confidence"), F.when(~left, points).alias("right"), F.when(~left, score).alias("right_confidence"))
+
+
+def next_multiple(n: Column, step: int = 32) -> Column:
+    """A side of a detector's input: the nearest multiple, one at least."""
+    return F.greatest(F.lit(step), (F.bround(n / step) * step).cast("int"))

@@ -129,6 +129,13 @@ def humanize_bytes(n: Column) -> Column:
     return out.otherwise(F.when(v < 10, F.format_string("%.1f GB", v)).otherwise(F.format_string("%.0f GB", v)))
 
 
+def money(x: Column) -> Column:
+    """Dollars: cents below ten, whole ones below a thousand, then thousands, with a decimal below ten thousand."""
+    x = x.cast("double")
+    k = x / 1000
+    return F.when(x >= 10000, F.format_string("$%.0fk", k)).when(x >= 1000, F.format_string("$%.1fk", k)).when(x < 10, F.format_string("$%.2f", x)).otherwise(F.format_string("$%.0f", x))
+
+
 def clean_scene(answer: Column) -> Column:
     """The first line without blanks, quotes and stops around it, sixty characters at most."""
     return F.substring(F.trim(F.btrim(F.element_at(F.split(F.trim(answer), "\n"), 1), F.lit(' ".'))), 1, 60)
@@ -159,3 +166,43 @@ def bone_name(name: Column) -> Column:
 
 def content_checksum(content: Column) -> Column:
     return F.substring(F.sha2(content, 256), 1, 16)
+
+
+#: Keys under which services put what is looked for, in order.
+HAND_KEYS = ("hands", "predictions", "detections", "results")
+POINT_KEYS = ("keypoints_2d", "joints_2d", "keypoints", "landmarks_2d", "keypoints2d", "pred_keypoints_2d")
+SIDE_KEYS = ("hand_side", "handedness", "side")
+
+
+def _within(v: Column, keys: tuple[str, ...], kind: str) -> Column:
+    return F.coalesce(*(F.try_variant_get(v, F.lit(f"$.{k}"), kind) for k in keys))
+
+
+def hands_of(reply: Column) -> Column:
+    """array<variant>: the hands of a service's JSON reply, which is a list, an object with a list, or one hand; text that is no JSON gives none."""
+    v = F.try_parse_json(reply)
+    kind = F.schema_of_variant(v)
+    alone = F.when(kind.startswith("OBJECT"), F.array(v))
+    none = F.array().cast("array<variant>")
+    return F.coalesce(F.when(kind.startswith("ARRAY"), F.try_variant_get(v, F.lit("$"), "array<variant>")), _within(v, HAND_KEYS, "array<variant>"), alone, none)
+
+
+def hand_points(hand: Column) -> Column:
+    """array<array<double>>: at least 21 image points of a hand (a variant), given as pairs or as objects with x and y; else null."""
+    kind = F.schema_of_variant(hand)
+    found = F.coalesce(F.when(kind.startswith("ARRAY"), F.try_variant_get(hand, F.lit("$"), "array<variant>")), _within(hand, POINT_KEYS, "array<variant>"))
+
+    def point(p: Column) -> Column:
+        pair = F.try_variant_get(p, F.lit("$"), "array<double>")
+        x, y = (F.try_variant_get(p, F.lit(f"$.{c}"), "double") for c in "xy")
+        return F.when(F.size(pair) >= 2, F.slice(pair, 1, 2)).when(F.schema_of_variant(p).startswith("OBJECT"), F.array(x, y))
+
+    points = F.filter(F.transform(found, point), lambda p: p.isNotNull())
+    return F.when(F.size(points) >= 21, points)
+
+
+def is_right_hand(hand: Column) -> Column:
+    """A flag if there is one, else the name of the side; right if nothing tells."""
+    flag = _within(hand, ("is_right", "right"), "boolean")
+    side = F.lower(F.coalesce(_within(hand, SIDE_KEYS, "string"), F.lit("right")))
+    return F.coalesce(flag, F.contains(side, F.lit("right")) | side.isin("r", "1"))

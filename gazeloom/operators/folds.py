@@ -270,3 +270,27 @@ def aligned_errors(df: DataFrame, predicted: str, truth: str) -> DataFrame:
 
     return df.mapInPandas(run, f"{fields}, pa_errors array<double>")
 
+
+def text_boxes(scores: np.ndarray, geometry: np.ndarray, least: float, cell: float = 4.0) -> tuple[np.ndarray, np.ndarray]:
+    """(boxes [n, 4], scores) of a text detector's grid: geometry holds each cell's distances to the top, right, bottom and left of its text, and its angle."""
+    y, x = np.nonzero(scores >= least)
+    top, right, bottom, left, angle = geometry[:, y, x]
+    cos, sin = np.cos(angle), np.sin(angle)
+    x1, y1 = x * cell + cos * right + sin * bottom, y * cell - sin * right + cos * bottom
+    return np.stack([x1 - right - left, y1 - top - bottom, x1, y1], axis=1), scores[y, x]
+
+
+def decode_text(frames: DataFrame, rows: str, columns: str, scores: str, geometry: str, least: float) -> DataFrame:
+    """Adds text_boxes to frames whose grids are flat arrays: scores of rows * columns cells, geometry of five such planes."""
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frames.schema)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = []
+            for h, w, s, g in zip(b[rows], b[columns], b[scores], b[geometry]):
+                boxes, sure = text_boxes(np.asarray(s, float).reshape(h, w), np.asarray(g, float).reshape(5, h, w), least)
+                found.append([(*map(float, x), float(c)) for x, c in zip(boxes, sure)])
+            b["text_boxes"] = found
+            yield b
+
+    return frames.mapInPandas(run, f"{fields}, text_boxes array<struct<x0:double,y0:double,x1:double,y1:double,score:double>>")

@@ -158,3 +158,18 @@ def context_lines(segments: DataFrame, key: str, start: str, end: str, text: str
     lines = segments.withColumn("__k", F.row_number().over(w)).where((F.col("__k") <= most) & (F.trim(text) != ""))
     line = F.concat(F.lit("    "), clock(F.col(start)), F.lit("–"), clock(F.col(end)), F.lit(": "), F.trim(text))
     return lines.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("__k", line.alias("line")))), lambda x: x["line"]), "\n").alias("context"))
+
+
+def video_contexts(videos: DataFrame, summaries: DataFrame, segments: DataFrame, most: int = 400) -> DataFrame:
+    """id, context: each recording's header, metrics and timeline. Recordings without segments have none.
+
+    videos: id, original_filename, property_tag, duration_seconds. summaries: video_id, active_hand_seconds, service_event_count,
+    downtime_seconds, contamination_event_count. segments: video_id, start_time, end_time, description, task_label.
+    """
+    said = segments.withColumn("said", F.coalesce(F.nullif("description", F.lit("")), F.col("task_label"), F.lit("")))
+    lines = context_lines(said, "video_id", "start_time", "end_time", "said", most).withColumnRenamed("context", "lines")
+    rows = segments.select("video_id").distinct().join(videos.withColumnRenamed("id", "video_id"), "video_id").join(summaries, "video_id", "left").join(lines, "video_id", "left")
+    shown = lambda c, other: F.coalesce(F.col(c).cast("string"), F.lit(other))
+    head = F.concat(F.lit("VIDEO ["), F.substring("video_id", 1, 8), F.lit("] file="), shown("original_filename", ""), F.lit(", property="), F.coalesce(F.nullif("property_tag", F.lit("")), F.lit("n/a")), F.lit(", duration="), F.format_string("%.0f", F.coalesce(F.col("duration_seconds"), F.lit(0)).cast("double")), F.lit("s"))
+    metrics = F.concat(F.lit("  duration_active_hands="), shown("active_hand_seconds", "None"), F.lit("s, service_events="), shown("service_event_count", "0"), F.lit(", downtime="), shown("downtime_seconds", "0"), F.lit("s, contamination="), shown("contamination_event_count", "0"))
+    return rows.select(F.col("video_id").alias("id"), F.concat_ws("\n", head, metrics, F.lit("  timeline (what the worker was doing):"), "lines").alias("context"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,8 +31,11 @@ def backfill_duration(recordings: DataFrame, probes: DataFrame) -> DataFrame:
     return recordings.join(found, "id", "left").withColumn("duration_seconds", F.coalesce(F.nullif("duration_seconds", F.lit(0.0)), "__probe")).drop("__probe")
 
 
-def run_stages(spark: SparkSession, stages: list[tuple[str, object]], attempts: int = 3) -> dict[str, str]:
-    """Runs stages in order; one that fails `attempts` times is recorded and the others go on. A stage's jobs carry its tag."""
+def run_stages(spark: SparkSession, stages: list[tuple[str, object]], attempts: int = 3, wait: float = 0.0) -> dict[str, str]:
+    """Runs stages in order; one that fails `attempts` times is recorded and the others go on. A stage's jobs carry its tag, by which `cancel` ends them.
+
+    wait: seconds before the second attempt; each further one waits twice as long.
+    """
     outcome = {}
     for name, stage in stages:
         spark.addTag(name)
@@ -41,5 +46,12 @@ def run_stages(spark: SparkSession, stages: list[tuple[str, object]], attempts:
                 break
             except Exception as e:  # noqa: BLE001 - recorded
                 outcome[name] = f"failed after {attempt}: {type(e).__name__}"
+                if wait and attempt < attempts:
+                    time.sleep(wait * 2 ** (attempt - 1))
         spark.removeTag(name)
     return outcome
+
+
+def cancel(spark: SparkSession, name: str) -> None:
+    """Ends the running jobs of a stage."""
+    spark.interruptTag(name)

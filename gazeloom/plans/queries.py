@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from gazeloom.functions import geometry as g
 from gazeloom.functions import text
-from gazeloom.operators import body, folds, rollups, sequence
+from gazeloom.operators import body, folds, metrics, rollups, sequence
 from gazeloom.operators.body import EDGES, JOINTS
 from gazeloom.sources.tables import table
 from gazeloom.streaming import windows
@@ -559,3 +559,158 @@ def body_pose(spark, d):
     heads = e.where("event_type = 'view'").groupBy("user_id", F.col("ms").alias("timestamp_ms")).agg(F.min("value").alias("v"))
     heads = heads.select("user_id", "timestamp_ms", F.array(F.lit(1.0), F.col("v") / 500, F.lit(0.0), F.lit(0.0)).alias("quaternion"), (F.col("v") > 10).alias("tracked"))
     return body.fuse(hands, heads, "user_id").select("user_id", "timestamp_ms", "root_tracked", F.col("joints")["l_wrist"]["confidence"].alias("l_wrist_confidence"), F.col("joints")["head"]["pos"].alias("head"))
+
+def _samples(spark, d):
+    errors = F.transform(F.slice("embedding", 1, 17), lambda x: F.abs(x).cast("double"))
+    return table(spark, d, "embeddings").select(errors.alias("errors"), F.concat(F.lit("p"), F.col("label") % 3).alias("provenance"))
+
+
+_ERR = f"s as (select 'p' || (label % 3) as provenance, [{_NAMES}][i] as joint, abs(embedding[i])::double as error from embeddings, (select unnest(generate_series(1, 17)) as i))"
+
+
+@query(f"with {_ERR} select joint, provenance, avg(error) as mean_error, count(*) as n, grouping_id(joint, provenance)::bigint as level from s group by grouping sets ((), (joint), (provenance))")
+def joint_errors(spark, d):
+    return rollups.joint_errors(_samples(spark, d), "errors", JOINTS, "provenance")
+
+
+@query(f"with {_ERR} select joint, avg(error) as mean_error, count(*) as n from s group by joint order by mean_error desc, joint")
+def joints_by_error(spark, d):
+    return metrics.joints_by_error(_samples(spark, d), "errors", JOINTS)
+
+
+@query("select l_orderkey, count(*) as frame_count, round(((count(*) filter (l_returnflag = 'R')) + (count(*) filter (l_linestatus = 'F')))::double / (2 * count(*)), 3) as wrist_measured_fraction from lineitem group by 1")
+def measured_wrist_fraction(spark, d):
+    return metrics.measured_fraction(table(spark, d, "lineitem", "l_orderkey", "l_returnflag", "l_linestatus"), "l_orderkey", [F.col("l_returnflag") == "R", F.col("l_linestatus") == "F"])
+
+
+@query("select user_id, (count(*) filter (event_type = 'view'))::double / greatest(count(*), 1) as tracked_fraction from events group by 1")
+def tracked_fraction(spark, d):
+    return metrics.tracked_fraction(events(spark, d), "user_id", F.col("event_type") == "view")
+
+
+@query("select user_id, event_type, count(*) as n from events group by all")
+def provenance_counts(spark, d):
+    return metrics.provenance_counts(events(spark, d), "user_id", "event_type")
+
+
+@query("select conv_id, count(*) as frames, sum(length(text))::bigint as tokens, count(*) * 0.002::double + sum(length(text))::bigint * 0.00001::double as cost_usd from conversations group by 1")
+def labelling_cost(spark, d):
+    return metrics.labelling_cost(table(spark, d, "conversations"), "conv_id", 0.002, F.char_length("text"), 0.00001)
+
+
+@query("select user_id, count(*) filter (value > 40) as detected, count(*) as attempted, round((count(*) filter (value > 40))::double / greatest(count(*), 1), 3) as detection_rate from events group by 1")
+def detection_rate(spark, d):
+    return metrics.detection_rate(events(spark, d), "user_id", F.col("value") > 40)
+
+
+@query("""with f as (select l_orderkey as k, count(*) as n from lineitem group by 1)
+ select count(*) as episodes, sum(n)::bigint as frames, sum(o_totalprice::decimal(18,2))::double / 3600 as hours from f left join orders on k = o_orderkey""")
+def corpus_totals(spark, d):
+    frames = table(spark, d, "lineitem", "l_orderkey").groupBy(F.col("l_orderkey").alias("k")).agg(F.count("*").alias("frame_count"))
+    out = metrics.corpus_totals(table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").cast("decimal(18,2)").alias("s")), frames, "k", "s")
+    return out
+
+
+@query("""with r as (select l_suppkey as config, (count(*) filter (l_returnflag = 'R'))::double / count(*) as rate, sum((l_discount * 100)::bigint)::double / count(*) as error from lineitem group by 1)
+ select config, rate, error from r order by round(rate, 3) desc, error, config limit 1""")
+def sweep_best(spark, d):
+    r = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("config")).agg((F.count_if(F.col("l_returnflag") == "R") / F.count("*")).alias("rate"), (F.sum(F.round(F.col("l_discount") * 100).cast("long")) / F.count("*")).alias("error"))
+    return metrics.sweep_best(r, "config", "rate", "error")
+
+
+@query("""with h as (select vec_id // 4 as image, vec_id % 4 as k, vec_id, list_transform(generate_series(1, 13, 3), lambda i: [embedding[i]::double - embedding[1]::double, embedding[i + 1]::double - embedding[2]::double, embedding[i + 2]::double - embedding[3]::double]) as p from embeddings),
+ e as (select a.image, a.vec_id as prediction_id, b.vec_id as truth_id, list_sum(list_transform(generate_series(1, 5), lambda i: sqrt((a.p[i][1] - b.p[i][1]) ** 2 + (a.p[i][2] - b.p[i][2]) ** 2 + (a.p[i][3] - b.p[i][3]) ** 2))) / 5 as error from h a join h b on a.image = b.image and a.k < 2 and b.k >= 2)
+ select image, prediction_id, truth_id, error from e qualify row_number() over (partition by image, prediction_id order by error, truth_id) = 1""")
+def best_match(spark, d):
+    points = F.transform(F.sequence(F.lit(1), F.lit(13), F.lit(3)), lambda i: F.array(*[F.element_at("embedding", i.cast("int") + k).cast("double") for k in range(3)]))
+    h = table(spark, d, "embeddings").select(F.expr("vec_id div 4").alias("image"), "vec_id", points.alias("points"))
+    mean = lambda p, q: F.aggregate(g.root_aligned_errors(F.col(p), F.col(q)), F.lit(0.0), lambda s, x: s + x) / 5
+    return metrics.best_match(h.where("vec_id % 4 < 2").withColumnRenamed("vec_id", "prediction_id"), h.where("vec_id % 4 >= 2").withColumnRenamed("vec_id", "truth_id"), "image", mean)
+
+
+@query("select event_id, event_type from events where event_type <> 'error'")
+def without_self_tests(spark, d):
+    return metrics.without_self_tests(events(spark, d), "event_type", ("error",)).select("event_id", "event_type")
+
+
+@query("select o_orderkey from orders where o_orderstatus in ('F', 'O')")
+def ready_recordings(spark, d):
+    return metrics.ready(table(spark, d, "orders"), "o_orderstatus", ("F", "O")).select("o_orderkey")
+
+
+@query("select event_id, user_id, null::bigint as turn from events union all select null, conv_id, turn from conversations")
+def union_of_logs(spark, d):
+    return metrics.union_of_logs(events(spark, d).select("event_id", "user_id"), table(spark, d, "conversations").select(F.col("conv_id").alias("user_id"), "turn"))
+
+
+@query("select event_id, 0 as kind, value as x0 from events where event_type = 'click' union all select event_id, 1, value * 2 from events where value > 50")
+def union_of_boxes(spark, d):
+    one = lambda kind, x: F.array(F.struct(F.lit(kind).alias("kind"), x.alias("x0")))
+    e = events(spark, d).select("event_id", F.when(F.col("event_type") == "click", one(0, F.col("value"))).alias("faces"), F.when(F.col("value") > 50, one(1, F.col("value") * 2)).alias("texts"))
+    return metrics.union_of_boxes(e, "faces", "texts").select("event_id", F.inline("boxes"))
+
+
+@query("select distinct lang, source from documents order by lang, source")
+def sorted_listing(spark, d):
+    return metrics.listing(table(spark, d, "documents"), "lang", "source")
+
+
+@query("""select event_id, case when (event_id % 2 = 0) <> (event_type = 'click') then value end as left_confidence, case when (event_id % 2 = 0) <> (event_type = 'click') then null else value end as right_confidence from events""")
+def handedness_swap(spark, d):
+    e = events(spark, d).withColumn("h", g.by_side(F.when(F.col("event_id") % 2 == 0, "Left").otherwise("Right"), F.array("value"), F.col("value"), F.col("event_type") == "click"))
+    return e.select("event_id", "h.left_confidence", "h.right_confidence")
+
+
+@query("""select o_orderkey, case when o_totalprice / 7 >= 10000 then printf('$%dk', floor(o_totalprice / 7 / 1000 + 0.5)::bigint) when o_totalprice / 7 >= 1000 then printf('$%.1fk', o_totalprice / 7 / 1000) when o_totalprice / 7 < 10 then printf('$%.2f', o_totalprice / 7) else printf('$%d', floor(o_totalprice / 7 + 0.5)::bigint) end as shown from orders""")
+def money_format(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", text.money(F.col("o_totalprice") / 7).alias("shown"))
+
+
+@query("select o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') as uploaded_at from orders")
+def row_records(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("uploaded_at"))
+
+
+@query(f"""with {_EV}, c as (select user_id, us / 1000.0::double as timestamp_ms, event_type from e where event_type in ('click', 'purchase')), h as (select user_id, us / 1000.0::double as ms, min(value) as v from e where event_type = 'view' group by all),
+ p as (select c.*, v, row_number() over (partition by c.user_id, c.timestamp_ms, c.event_type order by abs(ms - timestamp_ms), ms) as k from c left join h using (user_id)),
+ r as (select user_id, timestamp_ms, coalesce(v > 10, false) as root_tracked, case when event_type = 'click' then 0.9::double else 0.225::double end as l_wrist_confidence, coalesce(v, 0) / 500 as x, 2 / (1 + (coalesce(v, 0) / 500) ** 2) as s from p where k = 1)
+ select user_id, timestamp_ms, root_tracked, l_wrist_confidence, 0::double as head_x, round((1 - s * x * x) * 0.68 - s * x * 0.034, 4) as head_y, round(s * x * 0.68 + (1 - s * x * x) * 0.034, 4) as head_z from r""")
+def body_pose_heads(spark, d):
+    return body_pose(spark, d).select("user_id", "timestamp_ms", "root_tracked", "l_wrist_confidence", *[F.col("head")[k].alias(f"head_{c}") for k, c in enumerate("xyz")])
+
+
+_X, _Y = "string_split(x.label, ' ')", "string_split(y.label, ' ')"
+_ALIKE = f"len(list_intersect({_X}, {_Y}))::double / len(list_distinct({_X} || {_Y})) >= 0.34 or len(list_intersect({_X}, {_Y})) >= 2"
+
+
+@query(f"""with recursive {_EV}, f as (select user_id, us / 1e6::double as t, {_LABEL} as label, value, event_type, row_number() over (partition by user_id order by us, event_id) as k from e),
+ z as (select user_id, max(t) - 0.25::double as whole from f group by 1), l as (select distinct label from f), y as (select x.label as a, y.label as b from l x, l y where {_ALIKE}),
+ w as (select user_id, k, label as anchor, 1 as seg from f where k = 1 union all select f.user_id, f.k, case when y.a is null then f.label else w.anchor end, w.seg + case when y.a is null then 1 else 0 end from w join f on f.user_id = w.user_id and f.k = w.k + 1 left join y on y.a = w.anchor and y.b = f.label),
+ m as (select * from w join f using (user_id, k)), n as (select user_id, seg, label, count(*) as c, min(k) as first from m group by all), q as (select user_id, seg, label from n qualify row_number() over (partition by user_id, seg order by c desc, first) = 1),
+ g as (select user_id, seg, min(t) as start, max(t) as last, count(*) as frames, arg_min(event_type, k) filter (length(event_type) = longest) as description from (select *, max(length(event_type)) over (partition by user_id, seg) as longest from m) group by all)
+ select user_id, start, coalesce(lead(start) over (partition by user_id order by seg), least(whole, last + 1)) as "end", label, description from g join q using (user_id, seg) join z using (user_id)""")
+def open_segments_clamped(spark, d):
+    """Open segments whose recording ends before its last sample and interval."""
+    rows = labelled(spark, d).withColumn("t", F.col("us") / 1e6)
+    rows = rows.withColumn("whole", F.max("t").over(Window.partitionBy("user_id")) - 0.25).withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("us", "event_id")))
+    rows = rows.select("user_id", "t", F.col("lab").alias("label"), F.col("value").alias("confidence"), F.col("event_type").alias("description"), "whole")
+    return folds.open_segments(rows, "user_id", "t", "label", "confidence", "description", duration="whole").select("user_id", "start", "end", "label", "description")
+
+
+@query(f"""with {_ISLANDS}, z as (select user_id, max(us) + 400000 as whole from e group by 1), i2 as (select user_id, run, min(us) as s, max(us) as last, event_type from r group by all)
+ select user_id, event_type, s::bigint as start, coalesce(lead(s) over (partition by user_id order by run), least(whole, last + 1000000))::bigint as "end" from i2 join z using (user_id)""")
+def segment_islands_clamped(spark, d):
+    rows = events(spark, d).withColumn("whole", F.max("us").over(Window.partitionBy("user_id")) + 400_000)
+    return sequence.islands(rows, "user_id", "us", "event_type", ["us", "event_id"], duration=F.col("whole"), interval=1_000_000).select("user_id", "event_type", "start", "end")
+
+
+@query("""with s as (select conv_id, turn, turn * 7 as a, turn * 7 + 7 as b, trim(text) as said from conversations), c as (select conv_id, count(*) as n from conversations group by 1),
+ l as (select conv_id, string_agg(printf('    %02d:%02d–%02d:%02d: %s', a // 60, a % 60, b // 60, b % 60, said), chr(10) order by turn) as lines from s where said <> '' and turn < 400 group by 1)
+ select conv_id::varchar as id, concat_ws(chr(10), printf('VIDEO [%s] file=f%d, property=n/a, duration=%.0fs', substr(conv_id::varchar, 1, 8), conv_id, (n * 7)::double), printf('  duration_active_hands=None' || 's, service_events=%d, downtime=%ds, contamination=0', n, n * 2), '  timeline (what the worker was doing):', lines) as context from c left join l using (conv_id)""")
+def chat_context_full(spark, d):
+    c = table(spark, d, "conversations").withColumn("video_id", F.col("conv_id").cast("string"))
+    n = c.groupBy("video_id").agg(F.count("*").alias("n"))
+    videos = n.select(F.col("video_id").alias("id"), F.concat(F.lit("f"), "video_id").alias("original_filename"), F.lit("").alias("property_tag"), (F.col("n") * 7).alias("duration_seconds"))
+    summaries = n.select("video_id", F.lit(None).cast("double").alias("active_hand_seconds"), F.col("n").alias("service_event_count"), (F.col("n") * 2).alias("downtime_seconds"), F.lit(0).alias("contamination_event_count"))
+    segments = c.select("video_id", (F.col("turn") * 7).alias("start_time"), (F.col("turn") * 7 + 7).alias("end_time"), F.col("text").alias("description"), F.lit("").alias("task_label"))
+    return rollups.video_contexts(videos, summaries, segments)

@@ -58,17 +58,46 @@ def read_log(spark: SparkSession, path: str, schema: str = schemas.EVAL_RUN) ->
     return spark.read.schema(_schema(schema)).option("mode", "DROPMALFORMED").json(path)
 
 
+def _stored(path: str, start: int, n: int) -> bytes:
+    from pyarrow import fs
+
+    store, place = fs.FileSystem.from_uri(path)
+    with store.open_input_file(place) as f:
+        return f.read_at(n, start)
+
+
 def media(spark: SparkSession, path: str, most_bytes: int = 2 << 30) -> DataFrame:
-    """Uploads that are not empty, not too large, and carry the box type of an accepted container."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{mp4,mov,MP4,MOV}").load(path)
-    return files.where(F.col("length").between(1, most_bytes) & (F.substring("content", 5, 4) == F.lit(b"ftyp")))
+    """path, modificationTime and length of uploads that are not empty, not too large, and carry the box type of an accepted container. Only the first bytes of a file are read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{mp4,mov,MP4,MOV}").load(path).select("path", "modificationTime", "length")
+
+    def accepted(batches):
+        for b in batches:
+            yield b[[_stored(p, 4, 4) == b"ftyp" for p in b["path"]]]
+
+    return files.where(F.col("length").between(8, most_bytes)).mapInPandas(accepted, files.schema)
 
 
 def media_range(files: DataFrame, start: int, end: int) -> DataFrame:
-    """Bytes start..end (inclusive) of media; null where the range isn't there."""
-    n = F.col("length")
-    ok = (F.lit(start) < n) & (F.lit(start) <= F.lit(end))
-    return files.select("path", F.when(ok, F.substring("content", start + 1, end - start + 1)).alias("body"), F.when(ok, 206).otherwise(416).alias("status"))
+    """Bytes start..end (inclusive) of media, as many as there are; null and status 416 where the range isn't there. Only the range is read."""
+    def cut(batches):
+        for b in batches:
+            ok = [start < n and start <= end for n in b["length"]]
+            yield b[["path"]].assign(body=[_stored(p, start, min(end, n - 1) - start + 1) if good else None for p, n, good in zip(b["path"], b["length"], ok)], status=[206 if good else 416 for good in ok])
+
+    return files.select("path", "length").mapInPandas(cut, "path string, body binary, status int")
+
+
+def pose_document(frames: DataFrame, key: str, **fields: object) -> DataFrame:
+    """One JSON document a recording: the given fields, frame_count and its frames in time order."""
+    parts = F.struct("timestamp_ms", *[c for c in frames.columns if c not in (key, "timestamp_ms")])
+    docs = frames.groupBy(key).agg(F.sort_array(F.collect_list(parts)).alias("frames"))
+    return docs.select(key, F.to_json(F.struct(*(F.lit(v).alias(k) for k, v in fields.items()), key, F.size("frames").alias("frame_count"), "frames"), {"ignoreNullFields": "false"}).alias("document"))
+
+
+def read_poses(documents: DataFrame, key: str, text: str, frame: str) -> DataFrame:
+    """Frames of pose documents; frame: their schema. Documents that don't parse give none."""
+    doc = F.from_json(text, f"{key} string, frames array<struct<{frame}>>")
+    return documents.select(doc.alias("d")).select(F.col(f"d.{key}"), F.inline("d.frames"))
 
 
 def storage_path(root: str, key: str) -> str:
