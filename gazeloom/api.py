@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyarrow import fs
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gazeloom.config import Thresholds
 from gazeloom.functions import text
 from gazeloom.operators import body, folds, rollups, sequence, tables
 from gazeloom.sources import export
-from gazeloom.sources.tables import storage_path
+from gazeloom.sources.tables import media, media_range, profiles, storage_path
 
 
 class Engine:
@@ -44,6 +46,22 @@ class Engine:
     def head_pose(self, video_id: str | None = None) -> DataFrame:
         return self._one("head_pose", video_id)
 
+    def body_pose(self, video_id: str | None = None) -> DataFrame:
+        return self._one("body_pose", video_id)
+
+    def camera_profiles(self) -> DataFrame:
+        return profiles(self.spark, storage_path(self.root, "profiles")).orderBy("camera_model")
+
+    def ingest(self, path: str, **tags: str) -> DataFrame:
+        """Rows of `videos` for the accepted uploads under a folder; the id is of place, size and time, so the same upload has the same id again."""
+        files = media(self.spark, path)
+        number = F.substring(F.sha2(F.concat_ws("|", "path", "length", F.unix_micros("modificationTime")), 256), 1, 32)
+        return files.select(number.alias("id"), F.element_at(F.split("path", "/"), -1).alias("original_filename"), F.col("modificationTime").alias("uploaded_at"), F.col("path").alias("raw_key"), F.col("length").alias("bytes"), F.lit("uploaded").alias("status"), *(F.lit(v).alias(k) for k, v in tags.items()))
+
+    def media_range(self, video_id: str, start: int, end: int) -> DataFrame:
+        """Bytes of a video's anonymized clip, or none where it has no clip."""
+        return media_range(media(self.spark, storage_path(self.root, "anonymized")).where(F.col("path").endswith(f"/{video_id}.mp4")), start, end)
+
     def segments(self, video_id: str | None = None) -> DataFrame:
         return self._one("segments", video_id)
 
@@ -76,6 +94,10 @@ class Engine:
             hands = folds.smooth(hands, "video_id", "timestamp_ms", f"{side}_hand_landmarks")
         return hands
 
+    def run_head_pose(self, motions: DataFrame) -> DataFrame:
+        """motions: video_id, timestamp_ms, rotation (nine numbers) and translation between sampled frames, null where tracking failed."""
+        return folds.accumulate_pose(motions, "video_id", "timestamp_ms", "rotation", "translation")
+
     def run_body_pose(self, hands: DataFrame, heads: DataFrame, **size) -> DataFrame:
         return body.fuse(hands, heads, "video_id", self.thresholds, **size)
 
@@ -104,7 +126,43 @@ class Engine:
                 return {"answer": said[0], "videos": len(blocks)}
             step = max(2, most)
 
+    def _stored(self, name: str, video_id: str) -> DataFrame | None:
+        """A video's rows of a table, or None where there is no such table or row."""
+        try:
+            rows = self._one(name, video_id)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+        return None if rows.isEmpty() else rows
+
     def export_bundle(self, video_id: str) -> bytes:
-        """A zip of one video's record, segments and events."""
-        as_json = lambda df: "[" + ",\n".join(df.toJSON().collect()) + "]"  # noqa: E731 - one video's rows
-        return export.bundle({"video.json": as_json(self.video(video_id)), "segments.json": as_json(self.segments(video_id)), "events.json": as_json(self.events(video_id)), "skeleton.json": export.skeleton_document()})
+        """A zip of one video: its clip, hands, joints, segments, events and manifest, as far as it has them. Holds one recording in memory."""
+        tables_of = {name: self._stored(name, video_id) for name in ("hand_pose", "body_pose", "segments", "events")}
+        hands, bodies, segments, events = tables_of.values()
+        as_json = lambda df: "[" + ",\n".join(df.toJSON().collect()) + "]" if df is not None else "[]"  # noqa: E731 - one video's rows
+        one = self.spark.range(1).select(F.lit(video_id).alias("video_id"))
+        summary = one.withColumn("event_count", F.lit(0)) if events is None else self.video_summary(video_id)
+        counted = {
+            "hands": hands and hands.groupBy("video_id").agg(F.count("*").alias("frames")),
+            "body": bodies and bodies.groupBy("video_id").agg(F.count("*").alias("frame_count")),
+            "segments": segments and segments.groupBy("video_id").agg(F.count("*").alias("count")),
+        }
+        made = export.manifests(self.video(video_id), summary, self.thresholds, **counted).first()
+        if made is None:
+            raise KeyError(f"no video {video_id!r}")
+        store, place = fs.FileSystem.from_uri(storage_path(self.root, f"anonymized/{video_id}.mp4"))
+        members: dict[str, bytes | str | dict] = {}
+        if store.get_file_info(place).type == fs.FileType.File:
+            with store.open_input_stream(place) as f:
+                members["anonymized.mp4"] = f.read()
+        if hands is not None:
+            members["hand_pose.parquet"] = export.parquet_bytes(hands.orderBy("timestamp_ms"))
+        if bodies is not None:
+            frames = bodies if "frame_number" in bodies.columns else bodies.withColumn("frame_number", F.row_number().over(Window.partitionBy("video_id").orderBy("timestamp_ms")) - 1)
+            members["pose_joints.parquet"] = export.parquet_bytes(export.long_joints(frames, "video_id").orderBy("frame_idx", "joint_id"))
+            members |= {"skeleton.json": export.skeleton_document(), "smplx_README.json": export.body_model_document()}
+        if segments is not None:
+            members["segments.json"] = as_json(segments.orderBy("start_time"))
+        members["events.json"] = as_json(events and events.orderBy("start_time"))
+        return export.bundle(members | {"manifest.json": made.manifest})
