@@ -9,12 +9,14 @@ no link leaves. In a family the sets are
 ordered by one global order (descending frequency, then hash) and stored in a trie with compressed
 edges: a set walks down it with its partial overlap, shared by all sets below an edge, and leaves a
 subtree when the elements missed so far, of either side, exceed what the largest set below allows.
-Families of more than BLOCK sets or ELEMENTS elements are split into blocks, and all pairs of blocks are joined.
 
 Where only components are asked for, a subtree whose sets are all in the walker's component is
-passed by; a family of near copies costs about a path for each copy. With links=True every end is
-verified and each document has the number of rows it is linked to, of equal sets or others; that
-costs a visit for each linked pair of sets. No pairs are listed.
+passed by; a family of near copies costs about a path for each copy. A family of more than BLOCK sets
+or ELEMENTS elements is then joined block by block, with some of its sets (pivots) in every block; that
+makes one component of what the pivots reach. Only sets outside of the family's largest component are
+joined with all blocks afterwards, so a set of that component is sent twice and not once a block.
+With links=True every end is verified and each document has the number of rows it is linked to, of
+equal sets or others; that costs a visit for each linked pair of sets, and all pairs of blocks. No pairs are listed.
 
 Words are runs of anything but ASCII white space, with A-Z in lower case. Texts with fewer words
 than n are one n-gram. Nulls and texts without words have an empty set and are components of their
@@ -29,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gazeloom.llm.shared import Scratch, components, ship, small_batches
@@ -39,6 +41,8 @@ BLOCK, ELEMENTS = 4000, 4_000_000
 #: Counts of sets that share a segment go no further.
 CROWD = 1 << 16
 CLASSES = 128
+#: The least sets of so many of a large family's blocks are its pivots.
+PIVOTS = 64
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -349,7 +353,7 @@ def similar(spark: SparkSession, docs: DataFrame, n: int = 5, num: int = 80, den
     first_of = full.groupBy("sig").agg(F.min("key").alias("key"), F.min("n").alias("n"), *(F.count("*").alias(c) for c in weight))
     wanted = scratch.save(families.join(first_of, F.col("node") == F.col("sig")).select("key", "sig", "root", "n", *weight), "wanted")
     parts = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / ELEMENTS)).cast("int")
-    wanted = wanted.join(wanted.groupBy("root").agg(parts.alias("blocks")), "root").select("key", "sig", "root", "blocks", *weight)
+    sized = wanted.join(wanted.groupBy("root").agg(parts.alias("blocks")), "root").withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
 
     def collected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -361,16 +365,9 @@ def similar(spark: SparkSession, docs: DataFrame, n: int = 5, num: int = 80, den
                     raw.append(tokens.tobytes())
                     keep.append(k)
             take = pa.array(keep, pa.int64())
-            names = ["sig", "root", "blocks", *weight]
+            names = ["sig", "root", "block", "units", *weight]
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in names), pa.array(raw, pa.binary())], names=[*names, "tokens"])
 
-    # the same plan at every size: a broadcast that small inputs allow says nothing about large ones
-    texts = keyed.select("key", "text").join(wanted.hint("merge"), "key").select("text", "sig", "root", "blocks", *weight)
-    placed = texts.mapInArrow(collected, f"sig long, root long, blocks int, {'weight long, ' * links}tokens binary")
-    block = F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")
-    placed = placed.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    # a family of one block is one unit; otherwise the pairs of different blocks, each of which joins within both
-    placed = placed.where("blocks = 1 or block != other").withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
     unit = ["root", "x", "y"]
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -394,8 +391,39 @@ def similar(spark: SparkSession, docs: DataFrame, n: int = 5, num: int = 80, den
             some = (count > 0) | (low != np.arange(len(low)))
             yield pa.RecordBatch.from_arrays([pa.array(z[some]) for z in (sigs, sigs[low], count)], names=["a", "b", "n"])
 
-    grouped = placed.select(*unit, "sig", "tokens", *(["block", "weight"] if links else [])).repartition(*unit).sortWithinPartitions(*unit)
-    edges = scratch.save(grouped.mapInArrow(linked, "a long, b long" + ", n long" * links), "links")
+    def joined(members: DataFrame, name: str) -> DataFrame:
+        """Links within each unit (x, y) of a family; members: key, sig, root, block and the units it is in."""
+        # the same plan at every size: a broadcast that small inputs allow says nothing about large ones
+        texts = keyed.select("key", "text").join(members.hint("merge"), "key").select("text", "sig", "root", "block", "units", *weight)
+        placed = texts.mapInArrow(collected, f"sig long, root long, block int, units array<struct<x:int,y:int>>, {'weight long, ' * links}tokens binary")
+        placed = placed.select("sig", "root", "block", "tokens", *weight, F.inline("units"))
+        grouped = placed.select(*unit, "sig", "tokens", *(["block", "weight"] if links else [])).repartition(*unit).sortWithinPartitions(*unit)
+        return scratch.save(grouped.mapInArrow(linked, "a long, b long" + ", n long" * links), name)
+
+    def of(x: Column, y: Column) -> Column:
+        return F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"))
+
+    zero, block, every = F.lit(0), F.col("block"), F.sequence(F.lit(0), F.col("blocks") - 1)
+    if links:
+        # a family of one block is one unit; otherwise the pairs of different blocks, each of which joins within both
+        pairs = F.transform(F.filter(every, lambda o: o != block), lambda o: of(F.least(block, o), F.greatest(block, o)))
+        edges = joined(sized.withColumn("units", F.when(F.col("blocks") == 1, F.array(of(zero, zero))).otherwise(pairs)), "links")
+    else:
+        pivots = sized.where(f"blocks > 1 and block < {PIVOTS}").groupBy("root", "block").agg(F.min("sig").alias("sig")).select("sig", F.lit(True).alias("pivot"))
+        own = F.transform(F.when(F.col("pivot"), every).otherwise(F.array("block")), lambda o: of(o, o))
+        edges = joined(sized.join(pivots, "sig", "left").withColumn("units", own), "links")
+        large = sized.where("blocks > 1")
+        if not large.isEmpty():
+            reached = components(scratch, edges).select(F.col("node").alias("sig"), F.col("root").alias("part"))
+            reached = scratch.save(large.join(reached, "sig", "left").withColumn("part", F.coalesce("part", "sig")), "reached")
+            each = reached.groupBy("root", "part").agg(F.count("*").alias("members"))
+            most = each.groupBy("root").agg(F.max_by("part", F.struct("members", "part")).alias("most"))
+            rest = reached.join(most, "root").withColumn("out", F.col("part") != F.col("most"))
+            rest_of = rest.where("out").groupBy("root").agg(parts.alias("rests"))  # a family of one component is done
+            p, q = F.pmod(F.xxhash64("sig", F.lit(1)), F.col("rests")), F.sequence(F.lit(0), F.col("rests") - 1)
+            with_all = F.transform(q, lambda o: of(o, block))
+            units = F.when(F.col("out"), F.array_distinct(F.concat(with_all, F.transform(every, lambda o: of(p, o))))).otherwise(with_all)
+            edges = edges.unionByName(joined(rest.join(rest_of, "root").withColumn("units", units), "rest_links"))
     scratch.release()
     linked_to = components(scratch, edges.where("a != b").select("a", "b") if links else edges)
     each = full.groupBy("sig").agg(F.min("doc_id").alias("least"), *(F.count("*").alias(c) for c in weight))

@@ -100,6 +100,39 @@ def test_jaccard_counts_all_links(spark, rows, block, monkeypatch):
     assert Counter((r.doc_id, r.n_links) for r in got) == Counter((s[0], sum(x)) for s, x in zip(said, linked))
 
 
+@pytest.mark.parametrize("pivots", [64, 0])
+def test_large_families_are_joined_block_by_block(spark, rows, pivots, monkeypatch):
+    """Near copies of one text, chains that drift away from it, and copies of a chain's end, against all pairs."""
+    monkeypatch.setattr(jaccard_trie, "BLOCK", 6)
+    monkeypatch.setattr(jaccard_trie, "PIVOTS", pivots)
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    said = [(100 + k, " ".join(f"new{k}" if rng.random() < 0.006 else w for w in base)) for k in range(40)]
+    for chain in range(3):
+        words = list(base)
+        for k in range(18):
+            at, step = rng.randrange(140), rng.choice((1, 5, 6, 6))  # six words are one too many
+            words[at : at + step] = [f"c{chain}n{k}x{i}" for i in range(step)]
+            said.append((200 + 100 * chain + k, " ".join(words)))
+    said += [(r[0], r[1]) for r in rows]
+    sets = []
+    for _, t in said:
+        w = [x.lower() for x in WORD.findall(t or "")]
+        n = min(3, len(w))
+        sets.append({tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if w else set())
+    root = groups(len(sets), [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if a and b and 100 * len(a & b) >= 90 * len(a | b)])
+    least = defaultdict(list)
+    for k, r in enumerate(said):
+        least[root[k]].append(r[0])
+    want = Counter((r[0], min((x for x in least[root[k]] if x is not None), default=None)) for k, r in enumerate(said))
+    assert len({c for _, c in want if c and c >= 100}) > 4
+    saved, save = [], jaccard_trie.Scratch.save
+    monkeypatch.setattr(jaccard_trie.Scratch, "save", lambda self, df, name: saved.append(name) or save(self, df, name))
+    got = jaccard_trie.similar(spark, spark.createDataFrame(said, "doc_id long, text string"), 3, 90, 100).collect()
+    assert "rest_links" in saved
+    assert Counter((r.doc_id, r.component_id) for r in got) == want
+
+
 def test_suffixes(spark, rows, docs):
     texts = [(r[1] or "").encode() for r in rows]
     for length in (200, 64):
