@@ -7,42 +7,50 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from gazeloom.config import Thresholds
 
 T = Thresholds()
 
 
-def by_recording(df: DataFrame, key: str | list[str], fold: Callable[[pd.DataFrame], pd.DataFrame], schema) -> DataFrame:
-    """One hash exchange and a sort by key; a partition's groups are folded as its Arrow batches pass, so small groups cost no call of their own."""
+def by_groups(df: DataFrame, key: str | list[str], fold: Callable[[pd.DataFrame, list[int]], pd.DataFrame], schema, order: Sequence[Column | str] = ()) -> DataFrame:
+    """One hash exchange and a sort by key, then order. fold takes the whole groups that end in an Arrow batch together: their rows, and where each starts, with the end."""
     keys = [key] if isinstance(key, str) else key
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         waiting: list[pd.DataFrame] = []  # the parts of the group that may go on
+
+        def last() -> pd.DataFrame:
+            rows = pd.concat(waiting, ignore_index=True)
+            return fold(rows, [0, len(rows)])
+
         for batch in batches:
             if not len(batch):
                 continue
             if waiting and not _same(pd.concat([waiting[-1].iloc[-1:], batch.iloc[:1]]), keys)[0]:
-                yield fold(pd.concat(waiting, ignore_index=True))
+                yield last()
                 waiting = []
-            cuts = [0, *(np.flatnonzero(~_same(batch, keys)) + 1).tolist(), len(batch)]
-            done = []
-            for a, b in zip(cuts, cuts[1:]):
-                waiting.append(batch.iloc[a:b])
-                if b < len(batch):
-                    done.append(fold(pd.concat(waiting, ignore_index=True) if len(waiting) > 1 else waiting[0]))
-                    waiting = []
-            if done:
-                yield pd.concat(done, ignore_index=True)
+            starts = np.flatnonzero(~_same(batch, keys)) + 1
+            if len(starts):
+                rows = pd.concat([*waiting, batch.iloc[: starts[-1]]], ignore_index=True)
+                yield fold(rows, [0, *(starts + len(rows) - starts[-1]).tolist()])
+                waiting = []
+            waiting.append(batch.iloc[starts[-1] if len(starts) else 0 :])
         if waiting:
-            yield fold(pd.concat(waiting, ignore_index=True))
+            yield last()
 
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+
+
+def by_recording(df: DataFrame, key: str | list[str], fold: Callable[[pd.DataFrame], pd.DataFrame], schema) -> DataFrame:
+    """by_groups for a fold of one group."""
+    return by_groups(df, key, lambda rows, cuts: pd.concat([fold(rows.iloc[a:b]) for a, b in zip(cuts, cuts[1:])], ignore_index=True), schema)
 
 
 def _same(rows: pd.DataFrame, keys: list[str]) -> np.ndarray:
@@ -72,7 +80,7 @@ def open_segments(df: DataFrame, key: str, time: str, label: str, confidence: st
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(time, kind="stable")
         times, out, begin = rows[time].tolist(), [], 0
-        labels, descriptions = rows[label].fillna("").tolist(), rows[description].fillna("").tolist()
+        labels, descriptions, sure = rows[label].fillna("").tolist(), rows[description].fillna("").tolist(), rows[confidence].astype(float).tolist()
         whole = float(rows[duration].max() or 0) if duration else 0.0
         ending = float(times[-1]) + interval if times else 0.0
         if whole > 0:
@@ -80,7 +88,9 @@ def open_segments(df: DataFrame, key: str, time: str, label: str, confidence: st
 
         def close(a: int, b: int) -> None:
             own = Counter(labels[a:b])  # insertion order decides ties
-            out.append((rows[key].iloc[0], float(times[a]), float(times[b]) if b < len(times) else ending, own.most_common(1)[0][0], round(float(rows[confidence].iloc[a:b].mean()), 3), max(descriptions[a:b], key=len)))
+            known = [c for c in sure[a:b] if c == c]
+            mean = round(math.fsum(known) / len(known), 3) if known else math.nan
+            out.append((rows[key].iloc[0], float(times[a]), float(times[b]) if b < len(times) else ending, own.most_common(1)[0][0], mean, max(descriptions[a:b], key=len)))
 
         for i in range(1, len(times)):
             if not alike(labels[begin], labels[i]):
@@ -213,20 +223,22 @@ def track_boxes(df: DataFrame, key: str, frame: str, order: str, max_gap: int, m
     return by_recording(df, key, fold, f"{fields}, track long")
 
 
-def suppressed(boxes: np.ndarray, scores: np.ndarray, most: float = T.text_nms) -> list[int]:
-    """Greedy suppression: best score first (first of equals), dropping what overlaps a kept box more than `most`."""
+def suppressed(boxes: list[list[float]], most: float = T.text_nms) -> list[int]:
+    """Greedy suppression of boxes with the best first: those that overlap a kept one more than `most` go."""
     kept: list[int] = []
-    for i in np.argsort(-scores, kind="stable"):
-        if all(_iou(boxes[i], boxes[k]) <= most for k in kept):
-            kept.append(int(i))
+    for i, box in enumerate(boxes):
+        if all(_iou(box, boxes[k]) <= most for k in kept):
+            kept.append(i)
     return kept
 
 
-def non_max(df: DataFrame, key: list[str], score: str, most: float = T.text_nms) -> DataFrame:
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        return rows.iloc[suppressed(rows[["x0", "y0", "x1", "y1"]].to_numpy(float), rows[score].to_numpy(float), most)]
+def non_max(df: DataFrame, key: list[str], score: str, most: float = T.text_nms, order: Sequence[str] = ()) -> DataFrame:
+    """The boxes (x0, y0, x1, y1) of each key that no better one suppresses; equal scores are taken by `order`, without it in any order."""
+    def fold(rows: pd.DataFrame, cuts: list[int]) -> pd.DataFrame:
+        boxes = rows[["x0", "y0", "x1", "y1"]].to_numpy(float).tolist()
+        return rows.iloc[[a + k for a, b in zip(cuts, cuts[1:]) for k in suppressed(boxes[a:b], most)]]
 
-    return by_recording(df, key, fold, df.schema)
+    return by_groups(df, key, fold, df.schema, [F.desc(score), *order])
 
 
 def accumulate_pose(df: DataFrame, key: str, time: str, rotation: str, translation: str) -> DataFrame:
@@ -238,8 +250,10 @@ def accumulate_pose(df: DataFrame, key: str, time: str, rotation: str, translati
         for name, ms, r, d in rows[[key, time, rotation, translation]].itertuples(index=False, name=None):
             tracked = r is not None and d is not None
             if tracked:
-                t = t + R @ np.asarray(d, float)
-                R = np.asarray(r, float).reshape(3, 3) @ R
+                # products summed from the left, so every machine has the same digits
+                d, r = np.asarray(d, float), np.asarray(r, float).reshape(3, 3)
+                t = t + (R[:, 0] * d[0] + R[:, 1] * d[1] + R[:, 2] * d[2])
+                R = r[:, :1] * R[0] + r[:, 1:2] * R[1] + r[:, 2:] * R[2]
             out.append((name, float(ms), t.tolist(), R.ravel().tolist(), tracked))
         return pd.DataFrame(out, columns=[key, "timestamp_ms", "position", "rotation", "tracked"])
 

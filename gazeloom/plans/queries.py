@@ -327,12 +327,15 @@ def similar_neighbours(spark, d):
 _TAX = ", ".join(f"case when v = '{t}' then '{t}' end" for t in text.TAXONOMY) + ", " + ", ".join(f"case when contains(v, '{t}') or contains('{t}', v) then '{t}' end" for t in text.TAXONOMY) + ", " + ", ".join(f"case when contains(v, '{k}') then '{t}' end" for k, t in text.TAXONOMY_KEYWORDS)
 
 
-@query(f"with x as (select doc_id, lower(trim(text)) as v from documents) select doc_id, case when v <> '' then coalesce({_TAX}) end as task from x")
+_MATCHED = f"with x as (select doc_id, lower(trim(text)) as v from documents) select doc_id, case when v <> '' then coalesce({_TAX}) end as task from x"
+
+
+@query(_MATCHED)
 def taxonomy_match(spark, d):
     return table(spark, d, "documents").select("doc_id", text.match_taxonomy(F.col("text")).alias("task"))
 
 
-@query()
+@query(_MATCHED)
 def taxonomy_match_whole(spark, d):
     """The same under its earlier name."""
     return taxonomy_match(spark, d)
@@ -509,21 +512,46 @@ def stream_session(spark, d):
     return windows.sessions(table(spark, d, "events"), "ts", "30 minutes", "user_id")
 
 
-@query()
+_X, _Y = "string_split(x.label, ' ')", "string_split(y.label, ' ')"
+_ALIKE = f"len(list_intersect({_X}, {_Y}))::double / len(list_distinct({_X} || {_Y})) >= 0.34 or len(list_intersect({_X}, {_Y})) >= 2"
+#: Open segments up to their sums; a sum is compensated, in the frames' order.
+_SUM = """list_reduce(list({'s': value, 'c': 0::double} order by k), lambda a, b: {'s': a.s + b.s, 'c': a.c + case when abs(a.s) >= abs(b.s) then a.s - (a.s + b.s) + b.s else b.s - (a.s + b.s) + a.s end})"""
+
+
+@query(f"""with recursive {_EV}, f as (select user_id, us / 1e6::double as t, {_LABEL} as label, value, event_type, row_number() over (partition by user_id order by us, event_id) as k from e),
+ l as (select distinct label from f), y as (select x.label as a, y.label as b from l x, l y where {_ALIKE}),
+ w as (select user_id, k, label as anchor, 1 as seg from f where k = 1 union all select f.user_id, f.k, case when y.a is null then f.label else w.anchor end, w.seg + case when y.a is null then 1 else 0 end from w join f on f.user_id = w.user_id and f.k = w.k + 1 left join y on y.a = w.anchor and y.b = f.label),
+ m as (select * from w join f using (user_id, k)), n as (select user_id, seg, label, count(*) as c, min(k) as first from m group by all), q as (select user_id, seg, label from n qualify row_number() over (partition by user_id, seg order by c desc, first) = 1),
+ g as (select user_id, seg, min(t) as start, max(t) as last, {_SUM} as total, count(*) as frames, arg_min(event_type, k) filter (length(event_type) = longest) as description from (select *, max(length(event_type)) over (partition by user_id, seg) as longest from m) group by all)
+ select user_id, start, coalesce(lead(start) over (partition by user_id order by seg), last + 1) as "end", label, printf('%.3f', (total.s + total.c) / frames)::double as confidence, description from g join q using (user_id, seg)""")
 def open_segments(spark, d):
     rows = labelled(spark, d).select("user_id", (F.col("us") / 1e6).alias("t"), F.col("lab").alias("label"), F.col("value").alias("confidence"), F.col("event_type").alias("description"))
     return folds.open_segments(rows, "user_id", "t", "label", "confidence", "description")
 
 
-@query()
+@query(f"""with recursive {_ISLANDS}, f as (select user_id, event_type, start / 1e6::double as a, "end" / 1e6::double as b, row_number() over (partition by user_id order by start) as k from s),
+ n as (select *, lead(b - a) over (partition by user_id order by k) as after from f),
+ w as (select user_id, 0::bigint as k, 0 as seg, null::double as a, null::double as b, null::varchar as event_type, null::double as taken from f group by user_id
+  union all select user_id, k, case way when 'new' then seg + 1 else seg end, case way when 'new' then start else a end, case way when 'after' then b else stop end, case way when 'new' then own else event_type end, case way when 'after' then start end
+  from (select *, case when round(stop - start, 3) >= 3600 or (seg = 0 and after is null) then 'new' when after is null or (seg > 0 and round(b - a, 3) >= round(after, 3)) then 'before' else 'after' end as way
+   from (select w.user_id, n.k, w.seg, w.a, w.b, w.event_type, n.event_type as own, coalesce(w.taken, n.a) as start, n.b as stop, n.after from w join n on n.user_id = w.user_id and n.k = w.k + 1)))
+ select user_id, arg_max(event_type, k) as event_type, max(a) as start, max(b) as "end" from w where seg > 0 group by user_id, seg""")
 def merge_short(spark, d):
     return folds.merge_short(runs_of(spark, d).select("user_id", "event_type", (F.col("start") / 1e6).alias("start"), (F.col("end") / 1e6).alias("end")), "user_id", 3600.0)
 
 
-@query()
+@query(f"""with recursive {_EV}, n as (select user_id, us / 1000.0::double as ms, case when event_type <> 'error' then value::float end as x, case when event_type <> 'error' then (value / 2)::float end as y, row_number() over (partition by user_id order by us, event_id) as k from e),
+ w as (select user_id, 0::bigint as k, null::double as ms, null::float as x, null::float as y, 0::float as u, 0::float as v from n group by user_id
+  union all select user_id, k, ms, case when u2 is null then px else (a2::float * px + (1 - a2)::float * x)::float end, case when u2 is null then py else (a2::float * py + (1 - a2)::float * y)::float end, coalesce(u2, 0::float), coalesce(v2, 0::float)
+  from (select *, 1 / (1 + 1.0::double / (2 * pi() * ({folds.T.min_cutoff}::double + {folds.T.beta}::double * sqrt((u2 * u2 + v2 * v2)::double)::float::double)) / dt) as a2
+   from (select *, (a1::float * ((px - x) / dt::float) + (1 - a1)::float * u)::float as u2, (a1::float * ((py - y) / dt::float) + (1 - a1)::float * v)::float as v2
+    from (select *, 1 / (1 + 1.0::double / (2 * pi() * {folds.T.derivative_cutoff}::double) / dt) as a1
+     from (select w.user_id, n.k, n.ms, n.x as px, n.y as py, w.x, w.y, w.u, w.v, greatest(0.001::double, n.ms / 1000 - w.ms / 1000) as dt from w join n on n.user_id = w.user_id and n.k = w.k + 1)))))
+ select user_id, ms, x::double as hand_x, y::double as hand_y from w where k > 0""")
 def one_euro(spark, d):
     rows = events(spark, d).select("user_id", (F.col("us") / 1000.0).alias("ms"), F.when(F.col("event_type") != "error", F.array(F.array(F.col("value").cast("float"), (F.col("value") / 2).cast("float")))).alias("hand"))
-    return folds.smooth(rows, "user_id", "ms", "hand")
+    hand = F.col("hand")[0]
+    return folds.smooth(rows, "user_id", "ms", "hand").select("user_id", "ms", *[hand[k].cast("double").alias(f"hand_{c}") for k, c in enumerate("xy")])
 
 
 @query()
@@ -532,16 +560,34 @@ def tracker(spark, d):
     return folds.track_boxes(rows, "user_id", "frame", "event_id", 5)
 
 
-@query()
+_OVERLAP = "greatest(0, least(c.x1, r.x1) - greatest(c.x0, r.x0)) * greatest(0, least(c.y1, r.y1) - greatest(c.y0, r.y0))"
+
+
+@query(f"""with recursive {_LB}, r as (select *, x0 * 0.7 + n as score, row_number() over (partition by k order by x0 * 0.7 + n desc, n, x0, y0) as place from b),
+ w as (select k, 0::bigint as place, []::struct(n integer, x0 double, y0 double, x1 double, y1 double)[] as kept from b group by k
+  union all select r.k, r.place, case when len(list_filter(w.kept, lambda c: {_OVERLAP} / ((r.x1 - r.x0) * (r.y1 - r.y0) + (c.x1 - c.x0) * (c.y1 - c.y0) - {_OVERLAP}) > {folds.T.text_nms})) > 0
+   then w.kept else list_append(w.kept, {{'n': r.n, 'x0': r.x0, 'y0': r.y0, 'x1': r.x1, 'y1': r.y1}}) end from w join r on r.k = w.k and r.place = w.place + 1),
+ z as (select k, arg_max(kept, place) as kept from w group by k), u as (select k, unnest(kept) as c from z)
+ select k, c.n as n, c.x0 as x0, c.y0 as y0, c.x1 as x1, c.y1 as y1, c.x0 * 0.7 + c.n as score from u""")
 def nms(spark, d):
-    return folds.non_max(_line_boxes(spark, d).withColumn("score", F.col("x0") * 0.7 + F.col("n")), ["k"], "score")
+    return folds.non_max(_line_boxes(spark, d).withColumn("score", F.col("x0") * 0.7 + F.col("n")), ["k"], "score", order=["n", "x0", "y0"])
 
 
-@query()
+_TURN = ", ".join(f"n.r[{i + 1}] * w.m[{j}] + n.r[{i + 2}] * w.m[{j + 3}] + n.r[{i + 3}] * w.m[{j + 6}]" for i in (0, 3, 6) for j in (1, 2, 3))
+_MOVE = ", ".join(f"w.p[{i}] + (w.m[{3 * i - 2}] * n.x + w.m[{3 * i - 1}] * n.y + w.m[{3 * i}] * n.z)" for i in (1, 2, 3))
+
+
+@query(f"""with recursive {_Q}, s as (select *, 2.0::double / (w * w + x * x + y * y + z * z) as s from q),
+ n as (select label, vec_id, x, y, z, case when vec_id % 7 <> 0 then [1 - s * (y * y + z * z), s * (x * y - w * z), s * (x * z + w * y), s * (x * y + w * z), 1 - s * (x * x + z * z), s * (y * z - w * x), s * (x * z - w * y), s * (y * z + w * x), 1 - s * (x * x + y * y)] end as r,
+  row_number() over (partition by label order by vec_id) as k from s join embeddings using (vec_id)),
+ w as (select label, null::bigint as vec_id, 0::bigint as k, [0, 0, 0]::double[] as p, [1, 0, 0, 0, 1, 0, 0, 0, 1]::double[] as m, false as tracked from embeddings group by label
+  union all select n.label, n.vec_id, n.k, case when n.r is null then w.p else [{_MOVE}] end, case when n.r is null then w.m else [{_TURN}] end, n.r is not null from w join n on n.label is not distinct from w.label and n.k = w.k + 1)
+ select label, vec_id::double as timestamp_ms, {", ".join(f"p[{i + 1}] as p{i}" for i in range(3))}, {", ".join(f"m[{i + 1}] as r{i}" for i in range(9))}, tracked from w where k > 0""")
 def pose_accumulation(spark, d):
     q = _quaternions(spark, d).join(table(spark, d, "embeddings", "vec_id", "label"), "vec_id")
     steps = q.select("label", F.col("vec_id").alias("t"), F.when(F.col("vec_id") % 7 != 0, g.quaternion_matrix(F.col("q"))).alias("r"), F.slice("q", 2, 3).alias("d"))
-    return folds.accumulate_pose(steps, "label", "t", "r", "d")
+    poses = folds.accumulate_pose(steps, "label", "t", "r", "d")
+    return poses.select("label", "timestamp_ms", *[F.col("position")[k].alias(f"p{k}") for k in range(3)], *[F.col("rotation")[k].alias(f"r{k}") for k in range(9)], "tracked")
 
 
 @query()
@@ -551,14 +597,20 @@ def procrustes(spark, d):
     return folds.aligned_errors(pairs, "p", "q").select("vec_id", "pa_errors")
 
 
-@query()
+_HEADS = f"""with {_EV}, c as (select user_id, us / 1000.0::double as timestamp_ms, event_type from e where event_type in ('click', 'purchase')), h as (select user_id, us / 1000.0::double as ms, min(value) as v from e where event_type = 'view' group by all),
+ p as (select c.*, v, row_number() over (partition by c.user_id, c.timestamp_ms, c.event_type order by abs(ms - timestamp_ms), ms) as k from c left join h using (user_id)),
+ r as (select user_id, timestamp_ms, coalesce(v > 10, false) as root_tracked, case when event_type = 'click' then 0.9::double else 0.225::double end as l_wrist_confidence, coalesce(v, 0) / 500 as x, 2 / (1 + (coalesce(v, 0) / 500) ** 2) as s from p where k = 1)
+ select user_id, timestamp_ms, root_tracked, l_wrist_confidence, 0::double as head_x, round((1 - s * x * x) * 0.68 - s * x * 0.034, 4) as head_y, round(s * x * 0.68 + (1 - s * x * x) * 0.034, 4) as head_z from r"""
+
+
+@query(_HEADS)
 def body_pose(spark, d):
     e = events(spark, d).withColumn("ms", F.col("us") / 1000.0)
     hand = F.array(F.array(F.col("value") / 100, F.lit(0.6), F.lit(0.0)))
     hands = e.where("event_type in ('click', 'purchase')").select("user_id", F.col("ms").alias("timestamp_ms"), F.when(F.col("event_type") == "click", hand).alias("left_hand_landmarks"), hand.alias("right_hand_landmarks"))
     heads = e.where("event_type = 'view'").groupBy("user_id", F.col("ms").alias("timestamp_ms")).agg(F.min("value").alias("v"))
     heads = heads.select("user_id", "timestamp_ms", F.array(F.lit(1.0), F.col("v") / 500, F.lit(0.0), F.lit(0.0)).alias("quaternion"), (F.col("v") > 10).alias("tracked"))
-    return body.fuse(hands, heads, "user_id").select("user_id", "timestamp_ms", "root_tracked", F.col("joints")["l_wrist"]["confidence"].alias("l_wrist_confidence"), F.col("joints")["head"]["pos"].alias("head"))
+    return body.fuse(hands, heads, "user_id").select("user_id", "timestamp_ms", "root_tracked", F.col("joints")["l_wrist"]["confidence"].alias("l_wrist_confidence"), *[F.col("joints")["head"]["pos"][k].alias(f"head_{c}") for k, c in enumerate("xyz")])
 
 def _samples(spark, d):
     errors = F.transform(F.slice("embedding", 1, 17), lambda x: F.abs(x).cast("double"))
@@ -671,16 +723,10 @@ def row_records(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("uploaded_at"))
 
 
-@query(f"""with {_EV}, c as (select user_id, us / 1000.0::double as timestamp_ms, event_type from e where event_type in ('click', 'purchase')), h as (select user_id, us / 1000.0::double as ms, min(value) as v from e where event_type = 'view' group by all),
- p as (select c.*, v, row_number() over (partition by c.user_id, c.timestamp_ms, c.event_type order by abs(ms - timestamp_ms), ms) as k from c left join h using (user_id)),
- r as (select user_id, timestamp_ms, coalesce(v > 10, false) as root_tracked, case when event_type = 'click' then 0.9::double else 0.225::double end as l_wrist_confidence, coalesce(v, 0) / 500 as x, 2 / (1 + (coalesce(v, 0) / 500) ** 2) as s from p where k = 1)
- select user_id, timestamp_ms, root_tracked, l_wrist_confidence, 0::double as head_x, round((1 - s * x * x) * 0.68 - s * x * 0.034, 4) as head_y, round(s * x * 0.68 + (1 - s * x * x) * 0.034, 4) as head_z from r""")
+@query(_HEADS)
 def body_pose_heads(spark, d):
-    return body_pose(spark, d).select("user_id", "timestamp_ms", "root_tracked", "l_wrist_confidence", *[F.col("head")[k].alias(f"head_{c}") for k, c in enumerate("xyz")])
-
-
-_X, _Y = "string_split(x.label, ' ')", "string_split(y.label, ' ')"
-_ALIKE = f"len(list_intersect({_X}, {_Y}))::double / len(list_distinct({_X} || {_Y})) >= 0.34 or len(list_intersect({_X}, {_Y})) >= 2"
+    """The same under its earlier name."""
+    return body_pose(spark, d)
 
 
 @query(f"""with recursive {_EV}, f as (select user_id, us / 1e6::double as t, {_LABEL} as label, value, event_type, row_number() over (partition by user_id order by us, event_id) as k from e),
