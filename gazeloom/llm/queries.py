@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazeloom.llm import jaccard_trie, langid, mixing, neardup_embed, packing, quality, sharding, suffix_dedup, token_codes, token_counts, warc
+from gazeloom.llm import jaccard_trie, langid, mixing, neardup_embed, packing, quality, search, sharding, suffix_dedup, token_codes, token_counts, warc
 from gazeloom.llm.shared import documents
 
 
@@ -57,6 +57,10 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count(spark, documents(spark, sf_dir, "doc_id", "text"), limit=4096)
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(spark, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"), documents(spark, sf_dir, "doc_id", "text"), 10)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -64,7 +68,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_near_duplicates, op2_language_id, op3_packing, op4_warc_dictionary, op5_token_codes, op6_source_mix, op7_feistel_shards, op8_weak_supervision, op9_ngram_jaccard, op10_suffix_dedup, op11_token_counts, pipeline)}
+    return {f.__name__: f for f in (op1_embedding_near_duplicates, op2_language_id, op3_packing, op4_warc_dictionary, op5_token_codes, op6_source_mix, op7_feistel_shards, op8_weak_supervision, op9_ngram_jaccard, op10_suffix_dedup, op11_token_counts, op12_ranked_search, pipeline)}
 
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -215,5 +219,20 @@ from f left join q on f.votes = q.votes
 """
 
 
+_TERMS = f"regexp_extract_all(translate(text, '{search.UPPER}', '{search.LOWER}'), '{search.TERM}')"
+_OP12 = f"""
+with q as (select distinct item_id, unnest({_TERMS}) as term from benchmark),
+d as (select row_number() over () as rid, doc_id, {_TERMS} as t from documents),
+s as (select rid, doc_id, len(t)::bigint as n from d where len(t) > 0),
+g as (select count(*)::bigint as docs, sum(n)::bigint as l from s),
+p as (select rid, term, count(*)::bigint as tf from (select rid, unnest(t) as term from d) where term in (select term from q) group by rid, term),
+f as (select term, floor(1000 * ln((2 * docs + 2)::double / (2 * count(*) + 1)))::bigint as w from p, g group by term, docs),
+m as (select rid, doc_id, 100 - 90 + ((90 * n * docs) // l) as m from s, g),
+x as (select item_id, doc_id, rid, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::bigint as score from q join p using (term) join f using (term) join m using (rid) group by item_id, doc_id, rid),
+r as (select *, row_number() over (partition by item_id order by score desc, doc_id nulls last)::int as rank from x where score > 0)
+select item_id, rank, doc_id, score from r where rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_near_duplicates": _OP1, "op9_ngram_jaccard": _OP9, "op4_warc_dictionary": _OP4, "op6_source_mix": _OP6, "op7_feistel_shards": _OP7, "op8_weak_supervision": _OP8, "op10_suffix_dedup": _OP10}
+    return {"op1_embedding_near_duplicates": _OP1, "op9_ngram_jaccard": _OP9, "op4_warc_dictionary": _OP4, "op6_source_mix": _OP6, "op7_feistel_shards": _OP7, "op8_weak_supervision": _OP8, "op10_suffix_dedup": _OP10, "op12_ranked_search": _OP12}
