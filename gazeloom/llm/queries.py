@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazeloom.llm import jaccard_trie, langid, mixing, neardup_embed, packing, quality, search, sharding, suffix_dedup, token_codes, token_counts, warc
+from gazeloom.llm import alignment, jaccard_trie, langid, mixing, neardup_embed, packing, quality, search, sharding, suffix_dedup, token_codes, token_counts, warc
 from gazeloom.llm.shared import documents
 
 
@@ -61,6 +61,11 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(spark, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"), documents(spark, sf_dir, "doc_id", "text"), 10)
 
 
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = alignment.align(spark, documents(spark, sf_dir, "doc_id", "text"))
+    return rows.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -68,7 +73,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_near_duplicates, op2_language_id, op3_packing, op4_warc_dictionary, op5_token_codes, op6_source_mix, op7_feistel_shards, op8_weak_supervision, op9_ngram_jaccard, op10_suffix_dedup, op11_token_counts, op12_ranked_search, pipeline)}
+    return {f.__name__: f for f in (op1_embedding_near_duplicates, op2_language_id, op3_packing, op4_warc_dictionary, op5_token_codes, op6_source_mix, op7_feistel_shards, op8_weak_supervision, op9_ngram_jaccard, op10_suffix_dedup, op11_token_counts, op12_ranked_search, op13_tokenizer_alignment, pipeline)}
 
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
