@@ -356,12 +356,16 @@ def similar(spark: SparkSession, docs: DataFrame, n: int = 5, num: int = 80, den
     sized = wanted.join(wanted.groupBy("root").agg(parts.alias("blocks")), "root").withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
 
     def collected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # of rows that share a key and a text, a task sends one
         for batch in batches:
             raw, keep = [], []
             for k, (text, sig) in enumerate(zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("sig").to_pylist())):
+                if sig in seen:
+                    continue
                 tokens = grams(text, n)
                 # of rows that share a doc_id, those with another text don't count
                 if signature(tokens) == sig:
+                    seen.add(sig)
                     raw.append(tokens.tobytes())
                     keep.append(k)
             take = pa.array(keep, pa.int64())

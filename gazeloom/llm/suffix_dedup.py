@@ -243,9 +243,13 @@ def repeats(spark: SparkSession, docs: DataFrame, length: int, scratch: Scratch)
     wanted = places.groupBy("key", "th").agg(F.collect_list(F.struct("at", "context", "n")).alias("places"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()  # a task cuts equal rows (doc_id and text) once
         for batch in batches:
             context, n, left, body = [], [], [], []
-            for text, wants in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("places").to_pylist()):
+            for key, th, text, wants in zip(*(batch.column(c).to_pylist() for c in ("key", "th")), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("places").to_pylist()):
+                if (key, th) in seen:
+                    continue
+                seen.add((key, th))
                 for p in wants:
                     lo = max(0, p["at"] - reach)
                     context.append(p["context"]), n.append(p["n"]), left.append(p["at"] - lo), body.append(text[lo : p["at"] + length])
@@ -294,7 +298,8 @@ def repeats(spark: SparkSession, docs: DataFrame, length: int, scratch: Scratch)
     scratch.release()
     hits = heavy_join(found.select("context", "key", "th", "at"), by_context, "context", "n", ["key", "th", "at"])
     hits = hits.select("key", "th", F.transform("parts", lambda p: F.struct(F.greatest(F.col("at") + p["lo"], F.lit(0)).alias("start"), (F.col("at") + p["hi"]).alias("end"))).alias("parts"))
-    spans = hits.groupBy("key", "th").agg(F.sort_array(F.flatten(F.collect_list("parts"))).alias("spans"))
+    # a set, as rows equal in doc_id and text have the same spans at the same places
+    spans = hits.groupBy("key", "th").agg(F.sort_array(F.flatten(F.collect_set("parts"))).alias("spans"))
     spans = scratch.save(spans, "spans")
     scratch.drop("repeated"), scratch.drop("spans-of-contexts")
     scratch.release()
