@@ -5,8 +5,6 @@ from __future__ import annotations
 import hashlib
 import io
 import json
-import shutil
-import uuid
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
 
@@ -23,6 +21,7 @@ from gazeloom.operators.body import EDGES, JOINTS
 from gazeloom.operators.folds import by_recording
 from gazeloom.operators.rollups import vector_stats
 from gazeloom.operators.sequence import running_index
+from gazeloom.sources.sink import ClipCopySink, EpisodeSink
 
 
 def long_joints(body: DataFrame, key: str) -> DataFrame:
@@ -81,73 +80,30 @@ def _put(store, place: str, text: Iterable[str]) -> None:
             f.write(part.encode())
 
 
-def _episode_files(frames: DataFrame, path: str, chunk: int) -> DataFrame:
-    """Writes a file an episode and gives episode_index, length. A file is written under a name of its attempt's own, then moved, so a repeated task does no harm."""
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = fs.FileSystem.from_uri(path)
-        writer, number, length, part = None, None, 0, ""
-
-        def closed() -> pa.RecordBatch:
-            writer.close()
-            place = f"{root}/{DATA_PATH.format(episode_chunk=number // chunk, episode_index=number)}"
-            store.create_dir(place.rsplit("/", 1)[0])
-            store.move(part, place)
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([length], pa.int64())], names=["episode_index", "length"])
-
-        for batch in batches:
-            batch = batch.rename_columns(list(REQUIRED))
-            e = batch.column("episode_index").to_numpy()
-            cuts = [0, *(np.flatnonzero(e[1:] != e[:-1]) + 1).tolist(), len(e)]
-            for a, b in zip(cuts, cuts[1:]):
-                if a == b:
-                    continue
-                if number != e[a]:
-                    if writer:
-                        yield closed()
-                    number, length, part = int(e[a]), 0, f"{root}/_parts/{uuid.uuid4().hex}"
-                    writer = pq.ParquetWriter(part, batch.schema, filesystem=store)
-                writer.write_batch(batch.slice(a, b - a))
-                length += b - a
-        if writer:
-            yield closed()
-
-    rows = frames.select(*(F.col(f"`{c}`").alias(c.replace(".", "_")) for c in REQUIRED))  # Arrow functions take no names with dots
-    return rows.repartition("episode_index").sortWithinPartitions("episode_index", "frame_index").mapInArrow(write, "episode_index long, length long")
-
-
 def copy_clips(numbered: DataFrame, path: str, clip: str, chunk: int = 1000) -> DataFrame:
-    """Copies each recording's clip (a column with its URI) to its episode's place, in steps; numbered: episode_index and clip. Gives episode_index and bytes; a null clip gives no row."""
-    def copy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        store, root = fs.FileSystem.from_uri(path)
-        for batch in batches:
-            sizes = []
-            for number, uri in zip(batch["episode_index"], batch["clip"]):
-                source, name = fs.FileSystem.from_uri(uri)
-                place = f"{root}/{VIDEO_PATH.format(episode_chunk=number // chunk, video_key=VIDEO_KEY, episode_index=number)}"
-                part = f"{place}.{uuid.uuid4().hex}"
-                store.create_dir(place.rsplit("/", 1)[0])
-                with source.open_input_stream(name) as a, store.open_output_stream(part) as b:
-                    shutil.copyfileobj(a, b, 1 << 20)
-                store.move(part, place)
-                sizes.append(store.get_file_info(place).size)
-            yield pd.DataFrame({"episode_index": batch["episode_index"], "bytes": sizes})
-
-    return numbered.where(F.col(clip).isNotNull()).select("episode_index", F.col(clip).alias("clip")).mapInPandas(copy, "episode_index long, bytes long")
+    """Copies each recording's clip (a column with its URI) to its episode's place, in steps; numbered: episode_index and clip. Gives episode_index and bytes; a null clip gives no row.
+
+    All clips become visible at once, or none if a copy fails; clips that were there go.
+    """
+    spark = numbered.sparkSession
+    spark.dataSource.register(ClipCopySink)
+    rows = numbered.where(F.col(clip).isNotNull()).select("episode_index", F.col(clip).alias("clip"))
+    rows.write.format("clip_copies").mode("overwrite").options(place=VIDEO_PATH.replace("{video_key}", VIDEO_KEY), chunk=chunk).save(path)
+    return spark.read.schema("episode_index long, bytes long").json(f"{path}/meta/videos.jsonl")
 
 
 def write_episodes(frames: DataFrame, path: str, task: str, fps: float | None = None, height: int = 1920, width: int = 1080, chunk: int = 1000) -> dict:
     """An episode dataset under path (a URI or an absolute path): a Parquet file an episode in folders of `chunk`, and meta files of features, lengths, tasks and statistics.
 
-    fps, where not given, is that of the first episode with a span of time, or 10. Gives the description with its statistics. Data and meta files that were there go.
+    fps, where not given, is that of the first episode with a span of time, or 10. Gives the description with its statistics. Data and meta files that were there go, once all episodes are written.
     """
     spark = frames.sparkSession
     store, root = fs.FileSystem.from_uri(path)
-    for part in ("data", "meta", "_parts"):
-        if store.get_file_info(f"{root}/{part}").type != fs.FileType.NotFound:
-            store.delete_dir(f"{root}/{part}")
-    store.create_dir(f"{root}/_parts")
-    _episode_files(frames, path, chunk).write.parquet(f"{path}/_parts/lengths")
-    lengths = spark.read.parquet(f"{path}/_parts/lengths")
+    spark.dataSource.register(EpisodeSink)
+    rows = frames.select(*(F.col(f"`{c}`").alias(c.replace(".", "_")) for c in REQUIRED))  # Arrow functions take no names with dots
+    dealt = rows.repartition("episode_index").sortWithinPartitions("episode_index", "frame_index")
+    dealt.write.format("episodes").mode("overwrite").options(place=DATA_PATH, chunk=chunk, task=task, names=json.dumps(REQUIRED)).save(path)
+    lengths = spark.read.schema("episode_index long, length long").json(f"{path}/meta/episodes.jsonl")
     totals = lengths.agg(F.count("*").alias("episodes"), F.coalesce(F.sum("length"), F.lit(0)).alias("frames")).first()
     if fps is None:
         spans = frames.groupBy("episode_index").agg((F.max("timestamp") - F.min("timestamp")).cast("double").alias("span"), F.count("*").alias("n")).where("span > 0")
@@ -168,12 +124,9 @@ def write_episodes(frames: DataFrame, path: str, task: str, fps: float | None =
         "codebase_version": "v2.0", "robot_type": "human_egocentric_chest_cam", "total_episodes": totals.episodes, "total_frames": totals.frames, "total_tasks": 1, "total_videos": totals.episodes,
         "total_chunks": -(-totals.episodes // chunk), "chunks_size": chunk, "fps": fps, "splits": {"train": f"0:{totals.episodes}"}, "data_path": DATA_PATH, "video_path": VIDEO_PATH, "features": features,
     }
-    each = lengths.orderBy("episode_index").toLocalIterator()  # one file by the layout; read a partition at a time
-    _put(store, f"{root}/meta/episodes.jsonl", (json.dumps({"episode_index": r.episode_index, "tasks": [task], "length": r.length}) + "\n" for r in each))
     _put(store, f"{root}/meta/tasks.jsonl", [json.dumps({"task_index": 0, "task": task}) + "\n"])
     _put(store, f"{root}/meta/stats.json", [json.dumps(stats, indent=2)])
     _put(store, f"{root}/meta/info.json", [json.dumps(info, indent=2)])
-    store.delete_dir(f"{root}/_parts")
     return info | {"stats": stats}
 
 
