@@ -39,7 +39,7 @@ from gazeloom.llm.tokens import byte_alphabet, vocabulary_path
 
 #: Bytes of text in a block, and of segments that are aligned at once.
 BLOCK, AT_ONCE = 8 << 20, 1 << 20
-#: Segments that a worker keeps between blocks, and the characters of the longest of them.
+#: Segments that a worker keeps between blocks (the half that came most often, once there are more), and the characters of the longest of them.
 SEGMENTS, LONG = 400_000, 64
 #: Pairs in a row of a block's list.
 LISTED = 20_000
@@ -114,6 +114,24 @@ class Aligner:
         self.facts = [array("q") for _ in range(7)]
         self.texts: list[str] = []
         self.links = array("I")
+        self.used = np.zeros(0, np.int64)
+
+    def thin(self) -> None:
+        """Keep the half of the segments that came most often of late, and of the pairs all."""
+        facts = [np.frombuffer(x, np.int64) for x in self.facts]
+        kept = np.argsort(-self.used, kind="stable")[: SEGMENTS // 2]
+        kept = np.sort(kept[self.used[kept] > 0])
+        new = np.full(len(self.texts), -1)
+        new[kept] = np.arange(len(kept))
+        lengths, first = facts[5][kept], facts[6][kept]
+        after = np.cumsum(lengths)
+        total = int(after[-1]) if len(after) else 0
+        links = np.frombuffer(self.links, np.uint32)[np.repeat(first - after + lengths, lengths) + np.arange(total)] if total else np.zeros(0, np.uint32)
+        self.facts = [array("q", x.tobytes()) for x in (*(f[kept] for f in facts[:6]), after - lengths)]
+        self.links = array("I", links.tobytes())
+        self.texts = [self.texts[k] for k in kept.tolist()]
+        self.numbers = {s: k for s, k in zip(self.numbers, new[np.fromiter(self.numbers.values(), np.int64, len(self.numbers))].tolist()) if k >= 0}
+        self.used = self.used[kept] // 2
 
     def add(self, segments: list[str]) -> None:
         """Align new segments, AT_ONCE bytes at a time."""
@@ -169,13 +187,16 @@ class Aligner:
     def block(self, texts: list[bytes | None], keep_groups: bool) -> tuple[dict[str, list], list[bytes], np.ndarray, np.ndarray]:
         """Of each text its counts and digest, and its links as numbers of the block's pairs; the block's pairs (packed) and their counts."""
         if len(self.texts) > SEGMENTS or len(self.links) > 16 * SEGMENTS:
-            self.clear()
+            self.thin()
         split = [SEGMENT.findall(f" {t.decode()}") if t else [] for t in texts]
         self.add(list({s for x in split for s in x}.difference(self.numbers)))
         find = self.numbers.__getitem__
         counts = np.fromiter(map(len, split), np.int64, len(split))
         which = np.fromiter((k for x in split for k in map(find, x)), np.int64, int(counts.sum()))
         bounds = np.append(0, np.cumsum(counts))
+        used = np.bincount(which, minlength=len(self.texts))
+        used[: len(self.used)] += self.used
+        self.used = used
         facts = [np.frombuffer(x, np.int64)[which] if len(x) else which for x in self.facts]
 
         def sums(x: np.ndarray) -> np.ndarray:
@@ -203,7 +224,8 @@ class Aligner:
         links = [taken[a:b].astype(kind).tobytes() for a, b in zip(cut, cut[1:])]
         packed = np.fromiter(self.pairs, np.int64, len(self.pairs))[present]
         for s in [s for s in self.numbers if len(s) > LONG]:
-            self.texts[self.numbers.pop(s)] = ""
+            k = self.numbers.pop(s)
+            self.texts[k], self.used[k] = "", 0
         result = {"n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_overlaps": n_overlaps, "n_links": n_links, "groups_sha256": digests, "groups": groups}
         return result, links, packed, times[present]
 
