@@ -3,11 +3,75 @@
 from __future__ import annotations
 
 import hashlib
+import json
+import math
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, Not
+
+from gazeloom.operators.sequence import carry
+
+
+class FrameFilters:
+    """What filters on a frame scan leave to be made: recordings, a range of frame numbers, and every n-th frame.
+
+    Filters that are taken here are exact, so Spark needn't look at them again; others are given back.
+    """
+
+    def __init__(self, every: int = 1):
+        self.every, self.sampled, self.videos = max(1, every), None, None
+        self.first, self.last = 0, None
+
+    def push(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            if not self._take(f):
+                yield f
+
+    def _take(self, f: Filter) -> bool:
+        if isinstance(f, Not) and isinstance(f.child, EqualTo) and f.child.attribute == ("sampled",) and isinstance(f.child.value, bool):
+            f = EqualTo(("sampled",), not f.child.value)
+        column, value = getattr(f, "attribute", None), getattr(f, "value", None)
+        if column == ("video_id",) and isinstance(f, (EqualTo, In)):
+            these = {value} if isinstance(f, EqualTo) else set(f.value)
+            self.videos = these if self.videos is None else self.videos & these
+        elif column == ("sampled",) and isinstance(f, EqualTo) and isinstance(value, bool):
+            if self.sampled is not None and self.sampled != value:
+                self.last = -1  # nothing is both
+            self.sampled = value
+        elif column == ("frame_number",) and isinstance(value, int):
+            if isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+                self.first = max(self.first, value + isinstance(f, GreaterThan))
+            elif isinstance(f, (LessThan, LessThanOrEqual)):
+                self._until(value - isinstance(f, LessThan))
+            elif isinstance(f, EqualTo):
+                self.first = max(self.first, value)
+                self._until(value)
+            else:
+                return False
+        elif isinstance(f, IsNotNull) and column in (("video_id",), ("sampled",), ("frame_number",)):
+            pass  # they never are
+        else:
+            return False
+        return True
+
+    def _until(self, last: int) -> None:
+        self.last = last if self.last is None else min(self.last, last)
+
+    def has(self, video: str) -> bool:
+        return self.videos is None or video in self.videos
+
+    def frames(self, n: int, stride: int = 1) -> Iterator[int]:
+        """Numbers below n to make, of those that the stride shows."""
+        end = n if self.last is None else min(n, self.last + 1)
+        step = math.lcm(stride, self.every) if self.sampled else stride
+        for k in range(-(-self.first // step) * step, end, step):
+            if self.sampled is not False or k % self.every:
+                yield k
 
 
 class _Clip(InputPartition):
@@ -15,41 +79,123 @@ class _Clip(InputPartition):
         self.number = number
 
 
+def told(folder: str | None, clip: str, frames: int, read: int = 0) -> None:
+    """Leaves a line of what a scan made, for those who ask (option tally: a folder)."""
+    if folder:
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root)
+        with store.open_output_stream(f"{root}/{uuid.uuid4().hex}") as f:
+            f.write(json.dumps({"video_id": clip, "frames": frames, "bytes": read}).encode())
+
+
+SCHEMA = "video_id string, frame_number int, timestamp_ms double, sampled boolean, image binary"
+
+
 class _ClipReader(DataSourceReader):
     def __init__(self, options):
         self.clips, self.fps = int(options.get("clips", 1)), float(options.get("fps", 30))
         self.seconds, self.stride = float(options.get("seconds", 2)), max(1, int(options.get("stride", 1)))
-        self.size = int(options.get("size", 16))
+        self.size, self.tally = int(options.get("size", 16)), options.get("tally")
+        self.wanted = FrameFilters(int(options.get("every", 1)))
+
+    def pushFilters(self, filters):
+        return self.wanted.push(filters)
 
     def partitions(self):
-        return [_Clip(k) for k in range(self.clips)]
+        return [_Clip(k) for k in range(self.clips) if self.wanted.has(f"clip{k}")]
 
     def read(self, partition):
-        # frames that the stride skips are never made, as a decoder would skip them
-        for n in range(0, int(self.fps * self.seconds), self.stride):
+        if partition is None:  # no clip is wanted
+            return
+        # frames that no one asks for are never made, as a decoder would skip them
+        name, made = f"clip{partition.number}", 0
+        for n in self.wanted.frames(int(self.fps * self.seconds), self.stride):
             image = hashlib.shake_128(f"{partition.number}:{n}".encode()).digest(self.size * self.size)
-            yield (f"clip{partition.number}", n, round(n / self.fps * 1000, 2), image)
+            made += 1
+            yield (name, n, round(n / self.fps * 1000, 2), n % self.wanted.every == 0, image)
+        told(self.tally, name, made)
 
 
 class ClipSource(DataSource):
-    """format("clips"): options clips, fps, seconds, stride, size. One partition a clip."""
+    """format("clips"): options clips, fps, seconds, stride, every, size. One partition a clip. `sampled` holds for each `every`-th frame."""
 
     @classmethod
     def name(cls):
         return "clips"
 
     def schema(self):
-        return "video_id string, frame_number int, timestamp_ms double, image binary"
+        return SCHEMA
 
     def reader(self, schema):
         return _ClipReader(self.options)
 
 
 def clips(spark: SparkSession, **options) -> DataFrame:
+    """Synthetic clips; filters on video_id, sampled and frame_number reach the source."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(ClipSource)
     return spark.read.format("clips").options(**{k: str(v) for k, v in options.items()}).load()
 
 
+class _Stored(InputPartition):
+    def __init__(self, video: str, uri: str):
+        self.video, self.uri = video, uri
+
+
+class _StoredReader(DataSourceReader):
+    def __init__(self, options):
+        self.path, self.tally = options["path"], options.get("tally")
+        self.wanted = FrameFilters(int(options.get("every", 1)))
+
+    def pushFilters(self, filters):
+        return self.wanted.push(filters)
+
+    def partitions(self):
+        store, root = fs.FileSystem.from_uri(self.path)
+        found = store.get_file_info(fs.FileSelector(root)) if store.get_file_info(root).type == fs.FileType.Directory else [store.get_file_info(root)]
+        prefix = self.path[: -len(root)] if self.path.endswith(root) else ""
+        named = [(f.base_name.rsplit(".", 1)[0], f"{prefix}{f.path}") for f in found if f.type == fs.FileType.File and f.base_name.lower().endswith((".mp4", ".mov"))]
+        return [_Stored(v, u) for v, u in sorted(named) if self.wanted.has(v)]
+
+    def read(self, partition):
+        from gazeloom.sources.probe import Ranges
+        from gazeloom.sources.samples import index
+
+        if partition is None:  # no clip is wanted
+            return
+        r = Ranges(partition.uri)
+        found, made = index(r), 0
+        for n in self.wanted.frames(len(found.sizes)):
+            made += 1
+            yield (partition.video, n, found.milliseconds(n), n % self.wanted.every == 0, r.at(int(found.offsets[n]), int(found.sizes[n])))
+        told(self.tally, partition.video, made, r.read)
+        r.close()
+
+
+class StoredClips(DataSource):
+    """format("clip_frames"): options path (a clip, or a folder of clips), every. One partition a clip; the images are the container's samples, as encoded.
+
+    A sample is read by its byte range, so frames that no one asks for are never read.
+    """
+
+    @classmethod
+    def name(cls):
+        return "clip_frames"
+
+    def schema(self):
+        return SCHEMA
+
+    def reader(self, schema):
+        return _StoredReader(self.options)
+
+
+def stored_frames(spark: SparkSession, path: str, every: int = 1, **options) -> DataFrame:
+    """Frames of stored clips, by the clip's name; filters on video_id, sampled and frame_number reach the source. Codecs that need other frames need all of them."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(StoredClips)
+    return spark.read.format("clip_frames").options(path=path, every=str(every), **{k: str(v) for k, v in options.items()}).load()
+
+
 DETECTIONS = "array<struct<x0:double,y0:double,x1:double,y1:double,score:double,source:string,strong:boolean>>"
 
 
@@ -67,6 +213,19 @@ def detect(frames: DataFrame, make: Callable[[], Callable[[bytes], list[tuple]]]
     return frames.mapInPandas(run, f"{fields}, {column} {DETECTIONS}")
 
 
+def detect_decimated(scan: Callable[[], DataFrame], make: Callable[[], Callable[[bytes], list[tuple]]], column: str = "detections", carried: bool = True) -> DataFrame:
+    """Every frame of a scan (without its image), with what a detector finds in the `sampled` ones.
+
+    scan: gives the frames; it is asked twice, once for the sampled frames with their images, once for the numbers of the others, so only the sampled
+    ones are looked at. carried: the others have the detections of the last sampled frame, or null before the first; otherwise null.
+    """
+    keys = ["video_id", "frame_number", "timestamp_ms", "sampled"]
+    seen = detect(scan().where("sampled"), make, column).select(*keys, column)
+    rest = scan().where("not sampled").select(*keys, F.lit(None).cast(DETECTIONS).alias(column))
+    frames = seen.unionByName(rest)
+    return carry(frames, "video_id", ["frame_number"], column) if carried else frames
+
+
 def label(frames: DataFrame, make: Callable[[], Callable[[bytes], tuple[str, float, str]]]) -> DataFrame:
     """Adds a labeller's task, confidence and description of each frame."""
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in frames.schema)
