@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -261,28 +262,54 @@ def accumulate_pose(df: DataFrame, key: str, time: str, rotation: str, translati
 
 
 def similarity_aligned(p: np.ndarray, g: np.ndarray) -> np.ndarray:
-    """p after the scale, rotation and shift that bring it nearest to g."""
-    mp, mg = p.mean(axis=0), g.mean(axis=0)
+    """p after the scale, rotation and shift that bring it nearest to g; stacks of points (..., joints, 3) are aligned each by itself, in one decomposition."""
+    mp, mg = p.mean(axis=-2, keepdims=True), g.mean(axis=-2, keepdims=True)
     a, b = p - mp, g - mg
-    u, s, vt = np.linalg.svd(a.T @ b)
-    sign = np.ones(3)
-    if np.linalg.det(u @ vt) < 0:
-        sign[-1] = -1
-    rotation = (u * sign) @ vt
-    scale = (s * sign).sum() / max((a * a).sum(), 1e-12)
-    return scale * a @ rotation + mg
+    u, s, vt = np.linalg.svd(np.swapaxes(a, -1, -2) @ b)
+    sign = np.ones(s.shape)
+    sign[..., -1] = np.where(np.linalg.det(u @ vt) < 0, -1, 1)
+    rotation = (u * sign[..., None, :]) @ vt
+    scale = (s * sign).sum(axis=-1) / np.maximum((a * a).sum(axis=(-2, -1)), 1e-12)
+    return scale[..., None, None] * a @ rotation + mg
+
+
+def stacked_points(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, sizes) of a column of points (lists of lists of three): the numbers of all rows, and how many points a row has; -1 where it isn't a list of such points."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    sizes = np.asarray(column.value_lengths().fill_null(-1))
+    inner = column.flatten()  # without those of null rows
+    widths = np.asarray(inner.value_lengths().fill_null(0))
+    owner = np.repeat(np.arange(len(sizes)), np.maximum(sizes, 0))
+    odd = np.bincount(owner[widths != 3], minlength=len(sizes)) > 0
+    values = inner.flatten().to_numpy(zero_copy_only=False).astype(float)
+    good = ~odd[owner] if len(owner) else np.zeros(0, bool)
+    return values[np.repeat(good, widths)], np.where(odd, -1, sizes)
 
 
 def aligned_errors(df: DataFrame, predicted: str, truth: str) -> DataFrame:
-    """Adds pa_errors: each joint's distance after similarity alignment. Arrow batches of samples."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    """Adds pa_errors: each joint's distance after similarity alignment; all samples of an Arrow batch with as many joints take one decomposition.
 
-    def run(batches):
-        for b in batches:
-            b["pa_errors"] = [np.linalg.norm(similarity_aligned(np.array([list(v) for v in p], float), np.array([list(v) for v in g], float)) - np.array([list(v) for v in g], float), axis=1).tolist() for p, g in zip(b[predicted], b[truth])]
-            yield b
+    Null where a side is null or empty, has a null or infinite coordinate or another number of joints.
+    """
+    names = [f.name for f in df.schema if f.name.lower() != "pa_errors"]
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in names)
 
-    return df.mapInPandas(run, f"{fields}, pa_errors array<double>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (p, n), (q, m) = (stacked_points(batch.column(c)) for c in (predicted, truth))
+            at, bt = (np.cumsum(np.maximum(x, 0)) - np.maximum(x, 0) for x in (n, m))
+            found: list[list[float] | None] = [None] * len(batch)
+            for joints in np.unique(n[(n == m) & (n > 0)]).tolist():
+                rows = np.flatnonzero((n == joints) & (m == joints))
+                take = np.arange(3 * joints)
+                a, b = (x[3 * s[rows, None] + take].reshape(-1, joints, 3) for x, s in ((p, at), (q, bt)))
+                real = np.isfinite(a).all(axis=(1, 2)) & np.isfinite(b).all(axis=(1, 2))
+                errors = np.linalg.norm(similarity_aligned(a[real], b[real]) - b[real], axis=2)
+                for k, e in zip(rows[real].tolist(), errors.tolist()):
+                    found[k] = e
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(found, pa.list_(pa.float64()))], names=[*names, "pa_errors"])
+
+    return df.select(*(F.col(f"`{c}`") for c in names)).mapInArrow(run, f"{fields}, pa_errors array<double>")
 
 
 def text_boxes(scores: np.ndarray, geometry: np.ndarray, least: float, cell: float = 4.0) -> tuple[np.ndarray, np.ndarray]:

@@ -7,6 +7,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gazeloom.functions.geometry import root_aligned_errors
+from gazeloom.operators.folds import aligned_errors
+
 
 def measured_fraction(frames: DataFrame, key: str, sides: Sequence[Column]) -> DataFrame:
     """Share of a recording's wrists (a flag for each side) that were measured, to three places."""
@@ -58,6 +61,21 @@ def best_match(predicted: DataFrame, truth: DataFrame, image: str, error: Callab
     return pairs.groupBy(image, "prediction_id").agg(best.alias("m")).select(image, "prediction_id", "m.truth_id", "m.error")
 
 
+def best_aligned_match(predicted: DataFrame, truth: DataFrame, image: str, points: str = "points", root: int = 0) -> DataFrame:
+    """Each prediction (image, prediction_id, points) with the truth of its image (truth_id) that is nearest after similarity alignment.
+
+    Gives truth_id, pa_error and root_error (mean distances after the alignment, and after shifting joint `root` onto the other's), pa_errors and root_errors
+    (by joint). An image holds a few hands; predictions of images without a truth that can be aligned are left out. Equal errors: the least truth_id.
+    """
+    mean = lambda e: F.aggregate(e, F.lit(0.0), lambda s, x: s + x) / F.size(e)
+    pairs = predicted.select(image, "prediction_id", points).join(truth.select(image, "truth_id", F.col(points).alias("__truth")), image)
+    errors = aligned_errors(pairs, points, "__truth").where("pa_errors is not null")
+    scored = errors.withColumn("pa_error", mean("pa_errors")).withColumn("root_errors", root_aligned_errors(F.col(points), F.col("__truth"), root))
+    kept = ("truth_id", "pa_error", "pa_errors", "root_errors")
+    best = scored.groupBy(image, "prediction_id").agg(F.min_by(F.struct(*kept), F.struct("pa_error", "truth_id")).alias("m")).select(image, "prediction_id", "m.*")
+    return best.withColumn("root_error", mean("root_errors"))
+
+
 def without_self_tests(runs: DataFrame, dataset: str, excluded: Sequence[str] = ("synthetic-selftest",)) -> DataFrame:
     """Runs on real data; a null dataset is no self-test."""
     return runs.where(F.coalesce(~F.col(dataset).isin(*excluded), F.lit(True)))
