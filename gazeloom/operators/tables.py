@@ -32,13 +32,13 @@ def backfill_duration(recordings: DataFrame, probes: DataFrame) -> DataFrame:
 
 
 def run_stages(spark: SparkSession, stages: list[tuple[str, object]], attempts: int = 3, wait: float = 0.0) -> dict[str, str]:
-    """Runs stages in order; one that fails `attempts` times is recorded and the others go on. A stage's jobs carry its tag, by which `cancel` ends them.
+    """Runs stages in order; one that fails `attempts` times is recorded and the others go on. A stage's jobs carry its name as a tag (which has no comma), by which `cancel` ends them.
 
     wait: seconds before the second attempt; each further one waits twice as long.
     """
     outcome = {}
     for name, stage in stages:
-        spark.addTag(name)
+        spark.sparkContext.addJobTag(name)  # a session's own tags are seen by the thread that sets them alone
         for attempt in range(1, attempts + 1):
             try:
                 stage()
@@ -48,10 +48,10 @@ def run_stages(spark: SparkSession, stages: list[tuple[str, object]], attempts:
                 outcome[name] = f"failed after {attempt}: {type(e).__name__}"
                 if wait and attempt < attempts:
                     time.sleep(wait * 2 ** (attempt - 1))
-        spark.removeTag(name)
+        spark.sparkContext.removeJobTag(name)
     return outcome
 
 
 def cancel(spark: SparkSession, name: str) -> None:
-    """Ends the running jobs of a stage."""
-    spark.interruptTag(name)
+    """Ends the running jobs of a stage, from any thread; the stage fails and, if it has attempts left, begins anew."""
+    spark.sparkContext.cancelJobsWithTag(name)
