@@ -38,6 +38,7 @@ def run_stages(spark: SparkSession, stages: list[tuple[str, object]], attempts:
     """
     outcome = {}
     for name, stage in stages:
+        spark.sparkContext.setInterruptOnCancel(True)  # a task that waits gives its core back
         spark.sparkContext.addJobTag(name)  # a session's own tags are seen by the thread that sets them alone
         for attempt in range(1, attempts + 1):
             try:
@@ -49,6 +50,7 @@ def run_stages(spark: SparkSession, stages: list[tuple[str, object]], attempts:
                 if wait and attempt < attempts:
                     time.sleep(wait * 2 ** (attempt - 1))
         spark.sparkContext.removeJobTag(name)
+        spark.sparkContext.setInterruptOnCancel(False)
     return outcome
 
 

@@ -63,7 +63,9 @@ def test_a_cancelled_stage_lets_the_next_run(spark):
     ran = []
 
     def later():
-        time.sleep(4)
+        while not spark.sparkContext.statusTracker().getActiveStageIds():
+            time.sleep(0.1)
+        time.sleep(0.5)
         tables.cancel(spark, "long")
 
     threading.Thread(target=later, daemon=True).start()
