@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from gazeloom.config import Thresholds
 from gazeloom.functions import text
-from gazeloom.operators import body, folds, rollups, sequence, tables
-from gazeloom.sources import export
+from gazeloom.operators import body, folds, metrics, rollups, sequence, tables
+from gazeloom.sources import bundles, export
+from gazeloom.sources.probe import probe
 from gazeloom.sources.tables import media, media_range, profiles, storage_path
 
 
@@ -69,13 +70,21 @@ class Engine:
         return self._one("events", video_id).orderBy("start_time")
 
     def run_segments(self, labels: DataFrame, closed: bool = True) -> DataFrame:
-        """labels: video_id, ts, task, confidence, description. Islands of equal tasks, or of alike descriptions; short ones merged."""
-        interval = 1 / self.thresholds.segment_fps
+        """labels: video_id, ts, task, confidence, description. Islands of equal tasks, or of alike descriptions that aren't blank; short ones merged.
+
+        The last segment ends by the recording's duration, where `videos` or a column duration_seconds of labels has one that is over 0.
+        """
+        interval, whole = 1 / self.thresholds.segment_fps, "duration_seconds"
+        if whole not in labels.columns:
+            videos = self._table("videos")
+            known = None if videos is None or whole not in videos.columns else videos.select(F.col("id").alias("video_id"), F.col(whole).cast("double").alias(whole))
+            labels = labels.withColumn(whole, F.lit(None).cast("double")) if known is None else labels.join(known, "video_id", "left")
+        labels = labels.withColumn(whole, F.when(F.col(whole) > 0, F.col(whole)))
         if closed:
-            rows = sequence.islands(labels, "video_id", "ts", "task", interval=interval, confidence="confidence", description="description")
+            rows = sequence.islands(labels, "video_id", "ts", "task", interval=interval, confidence="confidence", description="description", duration=F.col(whole))
             rows = rows.select("video_id", "start", "end", F.col("task").alias("label"), "confidence", "description")
         else:
-            rows = folds.open_segments(labels.where(F.trim("description") != ""), "video_id", "ts", "task", "confidence", "description", interval)
+            rows = folds.open_segments(labels.where(F.col("description").rlike(r"\S")), "video_id", "ts", "task", "confidence", "description", interval, whole)
         return folds.merge_short(rows, "video_id", self.thresholds.min_segment_seconds)
 
     def run_events(self, segments: DataFrame) -> DataFrame:
@@ -113,18 +122,119 @@ class Engine:
         return v.join(e, "video_id", "left").groupBy("site").agg(F.count("*").alias("videos"), F.sum("service_event_count").alias("service_events"), F.sum("downtime_seconds").alias("downtime_seconds"))
 
     def build_context(self, video_id: str | None = None) -> DataFrame:
-        rows = self.segments(video_id).withColumn("said", F.coalesce(F.nullif(F.trim("description"), F.lit("")), F.col("task_label")))
-        return rollups.context_lines(rows, "video_id", "start_time", "end_time", "said", self.thresholds.chat_max_segments)
+        """video_id, context: header, metrics and timeline of each video that has segments."""
+        segments, videos, events, hands = self.segments(video_id), self._table("videos"), self._table("events"), self._table("hand_pose")
+        ids = segments.select("video_id").distinct()
+        if videos is None:
+            videos = ids.select(F.col("video_id").alias("id"))
+        for name, kind in (("original_filename", "string"), ("property_tag", "string"), ("duration_seconds", "double")):
+            if name not in videos.columns:
+                videos = videos.withColumn(name, F.lit(None).cast(kind))
+        summaries = ids
+        if events is not None:
+            summaries = summaries.join(rollups.recording_summary(events, "video_id", "type", "duration_seconds"), "video_id", "left")
+        sides = [c for c in ("left_hand_landmarks", "right_hand_landmarks") if hands is not None and c in hands.columns]
+        if sides:
+            active = rollups.active_seconds(hands, "video_id", "timestamp_ms", sides).select("video_id", F.round("active_seconds", 2).alias("active_hand_seconds"))
+            summaries = summaries.join(active, "video_id", "left")
+        for name in ("active_hand_seconds", "service_event_count", "downtime_seconds", "contamination_event_count"):
+            if name not in summaries.columns:
+                summaries = summaries.withColumn(name, F.lit(None).cast("double"))
+        return rollups.video_contexts(videos, summaries, segments, self.thresholds.chat_max_segments).withColumnRenamed("id", "video_id")
 
     def answer(self, question: str, ask: Callable[[str, str], str], video_id: str | None = None, most: int = 50) -> dict:
-        """Asks a provided model about the timelines of one video or of all, `most` at a time (a prompt's bound); several answers are the context of a last one."""
-        blocks = [r.context for r in self.build_context(video_id).orderBy("video_id").collect()]
-        said, step = blocks or ["(no processed footage with commentary yet)"], most
+        """Asks a provided model about the timelines of one video or of all, `most` at a time (a prompt's bound); several answers are the context of a last one.
+
+        Timelines come to the driver a partition at a time and go to the model by blocks; of the answers of a level at most `most` wait.
+        """
+        levels: list[list[str]] = []
+        step, asked = max(2, most), 0
+
+        def add(said: str, level: int) -> None:
+            if level == len(levels):
+                levels.append([])
+            levels[level].append(said)
+            if len(levels[level]) > (step if level else most):
+                block, levels[level] = levels[level][:-1], levels[level][-1:]
+                add(ask("\n\n".join(block), question), level + 1)
+
+        for r in self.build_context(video_id).orderBy("video_id").toLocalIterator():
+            add(r.context, 0)
+            asked += 1
+        if not asked:
+            add("(no processed footage with commentary yet)", 0)
+        level = 0
         while True:
-            said = [ask("\n\n".join(said[k : k + step]), question) for k in range(0, len(said), step)]
-            if len(said) == 1:
-                return {"answer": said[0], "videos": len(blocks)}
-            step = max(2, most)
+            said = ask("\n\n".join(levels[level]), question)
+            if level == len(levels) - 1:
+                return {"answer": said, "videos": asked}
+            level += 1
+            levels[level].append(said)
+            if len(levels[level]) > step:  # an answer came on top of a full level
+                block, levels[level] = levels[level][:step], levels[level][step:]
+                add(ask("\n\n".join(block), question), level + 1)
+
+    def _table(self, name: str) -> DataFrame | None:
+        """A table, or None where there is none."""
+        try:
+            return self._read(name)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+
+    def probe(self) -> DataFrame:
+        """Facts of the uploads of `videos` (raw_key), by id."""
+        return probe(self._read("videos").select("id", F.col("raw_key").alias("path")).where("path is not null"))
+
+    def backfilled(self) -> DataFrame:
+        """`videos` with durations from the containers where they have none, for the caller to write."""
+        return tables.backfill_duration(self._read("videos"), self.probe())
+
+    def retire_uploads(self, retain: bool = False) -> DataFrame:
+        """Deletes the uploads of videos that are through: id, raw_key, outcome, error. A file that is gone already is `gone`; one that can't be deleted is `kept`. retain: deletes nothing."""
+        found = metrics.raw_to_delete(self._read("videos"))
+        return tables.delete_files(found.where(F.lit(not retain)), "raw_key")
+
+    def card(self, runs: DataFrame | None = None, title: str = "Dataset") -> str:
+        """The dataset's card: totals of the recordings with frames, and of each dataset's evaluations the latest, self-tests left out."""
+        videos, frames = self._read("videos"), self._table("hand_pose")
+        counted = videos.where("false").select(F.col("id").alias("video_id"), F.lit(0).alias("frame_count")) if frames is None else frames.groupBy("video_id").agg(F.count("*").alias("frame_count"))
+        totals = metrics.corpus_totals(videos.withColumnRenamed("id", "video_id"), counted, "video_id", "duration_seconds").first()
+        rows = []
+        if runs is not None:
+            last = sequence.latest(metrics.without_self_tests(runs, "dataset"), "dataset", [F.desc("ts")]).orderBy("dataset")
+            rows = [r.asDict() for r in last.select("dataset", F.coalesce("n", "n_samples").alias("n"), "mpjpe_mm", "pa_mpjpe_mm").collect()]  # one a dataset
+        return export.card({"episodes": totals.episodes, "frames": totals.frames, "seconds": totals.hours * 3600}, rows, title)
+
+    def export_bundles(self, path: str, only: DataFrame | None = None) -> DataFrame:
+        """A zip under path/bundles for each video (of `only`, a column video_id, if given): as export_bundle, but made in tasks. Gives video_id and members."""
+        ids = self._read("videos").select(F.col("id").cast("string").alias("video_id"))
+        ids = ids if only is None else ids.join(only.select(F.col("video_id").cast("string")).distinct(), "video_id", "left_semi")
+        own = {n: t if t is None else t.join(ids, "video_id", "left_semi") for n, t in ((n, self._table(n)) for n in ("hand_pose", "body_pose", "segments", "events"))}
+        hands, bodies, segments, events = own.values()
+        count = lambda df, name: None if df is None else df.groupBy("video_id").agg(F.count("*").alias(name))
+        summaries = ids.withColumn("event_count", F.lit(0).cast("long")) if events is None else ids.join(rollups.recording_summary(events, "video_id", "type", "duration_seconds"), "video_id", "left").na.fill(0)
+        videos = self._read("videos").join(ids.select(F.col("video_id").alias("id")), "id", "left_semi")
+        made = export.manifests(videos, summaries, self.thresholds, hands=count(hands, "frames"), body=count(bodies, "frame_count"), segments=count(segments, "count"))
+        members = bundles.fixed_members(ids, "events.json", "[]")
+        if events is not None:
+            told = bundles.json_members(events, "events.json", "start_time")
+            members = members.join(told.select("video_id"), "video_id", "left_anti").unionByName(told)
+        members = members.unionByName(made.select(F.col("id").cast("string").alias("video_id"), F.lit(bundles.PLACE["manifest.json"]).alias("place"), F.lit("manifest.json").alias("name"), F.col("manifest").cast("binary").alias("body"), F.lit(None).cast("string").alias("source")))
+        if hands is not None:
+            members = members.unionByName(bundles.parquet_members(hands, "hand_pose.parquet", ["timestamp_ms"]))
+        if segments is not None:
+            members = members.unionByName(bundles.json_members(segments, "segments.json", "start_time"))
+        if bodies is not None:
+            frames = bodies if "frame_number" in bodies.columns else bodies.withColumn("frame_number", F.row_number().over(Window.partitionBy("video_id").orderBy("timestamp_ms")) - 1)
+            members = members.unionByName(bundles.parquet_members(export.long_joints(frames, "video_id"), "pose_joints.parquet", ["frame_idx", "joint_id"])).unionByName(bundles.documents_of_bodies(bodies.select("video_id").distinct()))
+        folder = storage_path(self.root, "anonymized")
+        store, place = fs.FileSystem.from_uri(folder)
+        if store.get_file_info(place).type == fs.FileType.Directory:
+            clips = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.mp4").load(folder).select("path", F.regexp_extract("path", r"([^/]+)\.mp4$", 1).alias("video_id"))
+            members = members.unionByName(bundles.clip_members(clips.join(ids, "video_id", "left_semi")))
+        return bundles.write_bundles(members, path)
 
     def _stored(self, name: str, video_id: str) -> DataFrame | None:
         """A video's rows of a table, or None where there is no such table or row."""

@@ -54,7 +54,7 @@ def islands(df: DataFrame, key: str, time: str, label: str, order: Sequence[str]
     if confidence:
         aggs.append(F.round(F.avg(confidence), 3).alias("confidence"))
     if description:
-        aggs.append(F.min_by(description, F.when(F.trim(description) != "", F.struct(*order))).alias("description"))
+        aggs.append(F.min_by(description, F.when(F.col(description).rlike(r"\S"), F.struct(*order))).alias("description"))
     if duration is not None:
         aggs.append(F.max(duration).alias("__duration"))
     runs = marked.groupBy(key, "__run", label).agg(*aggs)

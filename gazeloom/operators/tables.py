@@ -57,3 +57,29 @@ def run_stages(spark: SparkSession, stages: list[tuple[str, object]], attempts:
 def cancel(spark: SparkSession, name: str) -> None:
     """Ends the running jobs of a stage, from any thread; the stage fails and, if it has attempts left, begins anew."""
     spark.sparkContext.cancelJobsWithTag(name)
+
+
+def delete_files(files: DataFrame, path: str) -> DataFrame:
+    """files with `outcome`: deleted, gone (there was none) or kept (with `error`). Tasks delete; a task that runs again finds the file gone."""
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema)
+
+    def run(batches):
+        from pyarrow import fs
+
+        for b in batches:
+            outcome, errors = [], []
+            for uri in b[path]:
+                said, error = "deleted", None
+                try:
+                    store, place = fs.FileSystem.from_uri(uri)
+                    if store.get_file_info(place).type == fs.FileType.NotFound:
+                        said = "gone"
+                    else:
+                        store.delete_file(place)
+                except (OSError, ValueError, TypeError) as e:
+                    said, error = "kept", str(e)
+                outcome.append(said), errors.append(error)
+            yield b.assign(outcome=outcome, error=errors)
+
+    # read from a written listing or cache it: every reading deletes
+    return files.mapInPandas(run, f"{fields}, outcome string, error string")
