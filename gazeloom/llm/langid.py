@@ -7,14 +7,15 @@ times the language's prior. Piece probabilities are learned by expectation-maxim
 forward-backward counts on words of labelled texts.
 
 Fitting uses, per language, documents whose hash of doc_id is below a bound that makes about
-`per_language` of them, and of those the `most_words` commonest words (ties by a hash) of up to
-`longest_word` letters; this bounds what the driver holds. Prediction reads every whole text and
-sums over all segmentations of every whole run of letters, in lower case, however long it is: the
-sums of the last positions are all that the next one needs, and they are rescaled before they vanish.
+`per_language` of them, and all words of their whole texts, however rare or long. Words are counted and
+grouped by Spark; in each round tasks sum the expected uses of pieces over their words, and the driver
+holds the sums: pieces by languages. Prediction reads every whole text and sums over all segmentations
+of every whole run of letters, in lower case, however long it is: the sums of the last positions are all
+that the next one needs, and they are rescaled before they vanish.
 
 Nulls: a null text, or one without a letter, is `und` with score 0; null langs are not learned from;
 null doc_ids are hashed as nothing and are neither learned from nor held out. With no labelled text
-everything is `und`. Repeated rows get equal answers; empty tables give empty results. Columns of
+everything is `und`. Of languages that are equally probable the first by name is given. Repeated rows get equal answers; empty tables give empty results. Columns of
 docs named held_out, lang_pred or score give way to those of the result; others are kept.
 """
 
@@ -22,21 +23,23 @@ from __future__ import annotations
 
 from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazeloom.llm.shared import ship, small_batches
+from gazeloom.llm.shared import Scratch, ship, small_batches
 
 LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 #: Longer words are scored anew each time, so a worker's cache holds short strings.
 CACHED = 64
 #: Positions whose edges are listed at once, and the letters of a block of words.
 POSITIONS, LETTERS_AT_ONCE = 4096, 200_000
+#: Words of more letters are fitted one by one, in logarithms.
+LONG = 64
 FAINT, FAINTER = 1e-120, 1e120
 UNKNOWN = "und"
 
@@ -181,28 +184,91 @@ def index_of(path: str) -> tuple[dict[str, int], int]:
     return {p: k + 1 for k, p in enumerate(known)}, max(map(len, known))
 
 
+def expected_alone(word: str, index: dict[str, int], longest: int, p: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Expected uses [piece, language] in one word of any length, weighted by language; sums are logarithms."""
+    n, logp = len(word), np.log(p)
+    edges = []
+    for t in range(1, n + 1):
+        found = [(t - 1, index.get(word[t - 1], 0)), *((s, k) for s in range(max(0, t - longest), t - 1) if (k := index.get(word[s:t])) is not None)]
+        edges.append(tuple(np.array(x, np.int64) for x in zip(*found)))
+    alpha = np.full((n + 1, p.shape[1]), -np.inf)
+    beta = alpha.copy()
+    alpha[0], beta[n] = 0, 0
+    for t, (starts, pieces_) in enumerate(edges, 1):
+        alpha[t] = np.logaddexp.reduce(alpha[starts] + logp[pieces_], axis=0)
+    uses = np.zeros_like(p)
+    for t in range(n, 0, -1):
+        starts, pieces_ = edges[t - 1]
+        gain = beta[t] + logp[pieces_]
+        beta[starts] = np.logaddexp(beta[starts], gain)  # starts are different places
+        np.add.at(uses, pieces_, np.exp(alpha[starts] + gain - alpha[n]) * weight)
+    return uses
+
+
+def expected_uses(words: list[str], weight: np.ndarray, index: dict[str, int], longest: int, p: np.ndarray) -> np.ndarray:
+    """Expected uses [piece, language] of each piece in words of any length, weighted by [word, language]."""
+    uses, short = np.zeros_like(p), sorted((k for k, w in enumerate(words) if len(w) <= LONG), key=lambda k: len(words[k]))
+    at = 0
+    for block in blocks_of([words[k] for k in short]):  # of words of like length, as a lattice is as wide as its longest
+        uses += Lattices(block, index, longest).expected(p, weight[short[at : at + len(block)]])
+        at += len(block)
+    for k, w in enumerate(words):
+        if len(w) > LONG:
+            uses += expected_alone(w, index, longest, p, weight[k])
+    return uses
+
+
+def fitted(path: str, priors: dict[str, float], step: Callable[[np.ndarray], np.ndarray], rounds: int) -> Model:
+    """Expectation-maximisation from equal probabilities; step: from probabilities to expected uses. Languages are in order of their names."""
+    index, _ = index_of(path)
+    p = np.full((len(index) + 1, len(priors)), 1.0 / (len(index) + 1))
+    for _ in range(rounds):
+        uses = step(p) + 0.01
+        p = uses / uses.sum(axis=0)
+    prior = np.array([priors[x] for x in sorted(priors)], float)
+    return Model(path, sorted(priors), p, prior / prior.sum())
+
+
 def fit(counts: dict[str, Counter], path: str, priors: dict[str, float], rounds: int = 4) -> Model:
-    """counts: words of each language."""
-    languages = sorted(counts)
+    """counts: words of each language, as many as one process holds."""
     index, longest = index_of(path)
     words = sorted(set().union(*counts.values()))
-    weight = np.array([[counts[x][w] for x in languages] for w in words], float).reshape(len(words), len(languages))
-    p = np.full((len(index) + 1, len(languages)), 1.0 / (len(index) + 1))
-    row = {w: k for k, w in enumerate(words)}
-    # of words of like length, as a lattice is as wide as its longest
-    blocks = [(Lattices(b, index, longest), weight[[row[w] for w in b]]) for b in blocks_of(sorted(words, key=len))]
-    for _ in range(rounds):
-        uses = sum((x.expected(p, w) for x, w in blocks), np.zeros_like(p)) + 0.01
-        p = uses / uses.sum(axis=0)
-    prior = np.array([priors[x] for x in languages])
-    return Model(path, languages, p, prior / prior.sum())
+    weight = np.array([[counts[x][w] for x in sorted(counts)] for w in words], float).reshape(len(words), len(counts))
+    return fitted(path, priors, lambda p: expected_uses(words, weight, index, longest, p), rounds)
+
+
+def fit_words(spark: SparkSession, words: DataFrame, path: str, priors: dict[str, float], rounds: int = 4) -> Model:
+    """words: word, counts (map from language to number), a row a word, read once a round. What a round brings to the driver is bounded by pieces times languages."""
+    languages = sorted(priors)
+
+    def step(p: np.ndarray) -> np.ndarray:
+        shared = spark.sparkContext.broadcast(p)  # pieces by languages: fixed by the vocabulary
+
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index, longest = index_of(path)
+            p = shared.value
+            uses = np.zeros_like(p)
+            for batch in batches:
+                weight = np.array([[c.get(x, 0) for x in languages] for c in map(dict, batch.column("counts").to_pylist())], float).reshape(len(batch), len(languages))
+                uses += expected_uses(batch.column("word").to_pylist(), weight, index, longest, p)
+            at = np.flatnonzero(uses)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(uses.ravel()[at])], names=["at", "uses"])
+
+        found = words.mapInArrow(sums, "at long, uses double").groupBy("at").agg(F.sum("uses").alias("uses")).toArrow()
+        shared.unpersist()
+        out = np.zeros(p.size)
+        out[found.column("at").to_numpy()] = found.column("uses").to_numpy()
+        return out.reshape(p.shape)
+
+    return fitted(path, priors, step, rounds)
 
 
-def train(spark: SparkSession, labelled: DataFrame, path: str, per_language: int = 1500, most_words: int = 20_000, longest_word: int = 256) -> Model | None:
+def train(spark: SparkSession, labelled: DataFrame, path: str, per_language: int = 1500, scratch: Scratch | None = None) -> Model | None:
     """labelled: doc_id, text, lang, all of which may be learned from."""
     shares = {r.lang: r.n for r in labelled.where("lang is not null").groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not shares:
         return None
+    scratch = scratch or Scratch(spark, "languages")
     # a hash of doc_id in [0, 1) under the language's share of rows
     part = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000)) / 1_000_000.0
     bound = F.create_map(*[x for k, n in shares.items() for x in (F.lit(k), F.lit(min(1.0, per_language / n)))])
@@ -218,12 +284,11 @@ def train(spark: SparkSession, labelled: DataFrame, path: str, per_language: int
             lang, w, n = zip(*rows[i : i + 100_000])
             yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(w), pa.array(n, pa.int64())], names=["lang", "word", "n"])
 
-    words = chosen.mapInArrow(count, "lang string, word string, n long").where(F.char_length("word") <= longest_word).groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    ranked = words.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), F.xxhash64("word")))).where(F.col("k") <= most_words)
-    counts: dict[str, Counter] = {}
-    for r in ranked.collect():  # at most most_words a language
-        counts.setdefault(r.lang, Counter())[r.word] = r.n
-    return fit(counts, path, {k: shares[k] for k in counts}) if counts else None
+    each = chosen.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    words = each.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("counts"))  # an entry a language
+    words = scratch.save(words.repartition(spark.sparkContext.defaultParallelism, "word"), "words")
+    known = [r.lang for r in words.select(F.explode(F.map_keys("counts")).alias("lang")).distinct().collect()]
+    return fit_words(spark, words, path, {k: shares[k] for k in known}) if known else None
 
 
 _ready: dict[str, tuple] = {}
@@ -276,7 +341,7 @@ def predict(spark: SparkSession, docs: DataFrame, model: Model | None, cache: in
     return docs.mapInArrow(run, f"{fields}, lang_pred string, score double")
 
 
-def identify(spark: SparkSession, docs: DataFrame, path: str | None = None, per_language: int = 1500, most_words: int = 20_000) -> DataFrame:
+def identify(spark: SparkSession, docs: DataFrame, path: str | None = None, per_language: int = 1500) -> DataFrame:
     """docs with held_out, lang_pred and score. Learns from labelled documents whose crc32(doc_id) mod 3 is not 1."""
     ship(spark)
     small_batches(spark)
@@ -285,6 +350,6 @@ def identify(spark: SparkSession, docs: DataFrame, path: str | None = None, per_
 
         path = public_tokenizers.path("piece_bpe_32k.model")
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
-    model = train(spark, docs.where(fold != 1).select("doc_id", "text", "lang"), path, per_language, most_words)
+    model = train(spark, docs.where(fold != 1).select("doc_id", "text", "lang"), path, per_language)
     held = docs.withColumn("held_out", F.coalesce(fold == 1, F.lit(False)))
     return predict(spark, held, model)
