@@ -473,10 +473,24 @@ def pinhole(spark, d):
 _BONES = ", ".join(f"('{a}', '{b}')" for a, b in EDGES)
 
 
-@query(f"with recursive e(parent, child) as (values {_BONES}), t as (select 'pelvis' as joint, 0 as depth union all select e.child, t.depth + 1 from e join t on e.parent = t.joint) select joint, depth from t")
+_NAMED = ", ".join(f"'{j}'" for j in JOINTS)
+
+
+@query(f"""with recursive e(parent, child) as (values {_BONES}), j as (select vec_id, [{_NAMED}][i] as joint, embedding[3 * i - 2]::double as x, embedding[3 * i - 1]::double as y, embedding[3 * i]::double as z from embeddings, (select unnest(generate_series(1, 17)) as i) where embedding is not null),
+ t as (select vec_id, joint, 0 as depth, 0::double as length, x, y, z from j where joint = 'pelvis'
+  union all select j.vec_id, j.joint, t.depth + 1, t.length + sqrt((j.x - t.x) ** 2 + (j.y - t.y) ** 2 + (j.z - t.z) ** 2), j.x, j.y, j.z from t join e on e.parent = t.joint join j on j.joint = e.child and j.vec_id = t.vec_id)
+ select vec_id, joint, depth, round(length, 6) as length from t""")
 def tree_depth(spark, d):
-    values = ", ".join(f"('{a}', '{b}')" for a, b in EDGES)
-    return spark.sql(f"with recursive e(parent, child) as (values {values}), t as (select 'pelvis' as joint, 0 as depth union all select e.child, t.depth + 1 from e join t on e.parent = t.joint) select joint, depth from t")
+    """Each joint's steps from the pelvis and the length of its bones up to there."""
+    e = table(spark, d, "embeddings").where("embedding is not null")
+    at = {j: F.array(*(F.element_at("embedding", 3 * k + c).cast("double") for c in (1, 2, 3))) for k, j in enumerate(JOINTS)}
+    gap = lambda a, b: F.sqrt(sum(((at[a][k] - at[b][k]) * (at[a][k] - at[b][k]) for k in range(3)), F.lit(0.0)))
+    paths: dict[str, list[tuple[str, str]]] = {"pelvis": []}
+    for parent, child in EDGES:  # parents come first
+        paths[child] = [*paths[parent], (parent, child)]
+    bones = e.select("vec_id", *(gap(p, c).alias(c) for p, c in EDGES))
+    rows = F.array(*(F.struct(F.lit(j).alias("joint"), F.lit(len(path)).alias("depth"), F.round(sum((F.col(c) for _, c in path), F.lit(0.0)), 6).alias("length")) for j, path in paths.items()))
+    return bones.select("vec_id", F.inline(rows))
 
 
 _NAMES = ", ".join(f"'{j}'" for j in JOINTS)
