@@ -54,11 +54,14 @@ def event_type(label: Column, seconds: Column, downtime: float = T.idle_downtime
 
 def match_taxonomy(value: Column) -> Column:
     """Free text to a canonical label: exact, then containment either way in order, then keywords; blank is null."""
-    v = F.lower(F.trim(value))
-    exact = [F.when(v == t, t) for t in TAXONOMY]
-    loose = [F.when(F.contains(v, F.lit(t)) | F.contains(F.lit(t), v), t) for t in TAXONOMY]
-    words = [F.when(F.contains(v, F.lit(k)), t) for k, t in TAXONOMY_KEYWORDS]
-    return F.when(v != "", F.coalesce(*exact, *loose, *words))
+    def match(v: Column) -> Column:
+        exact = [F.when(v == t, t) for t in TAXONOMY]
+        loose = [F.when(F.contains(v, F.lit(t)) | F.contains(F.lit(t), v), t) for t in TAXONOMY]
+        words = [F.when(F.contains(v, F.lit(k)), t) for k, t in TAXONOMY_KEYWORDS]
+        return F.when(v != "", F.coalesce(*exact, *loose, *words))
+
+    # the text in lower case is made once, not for each of the comparisons
+    return F.transform(F.array(F.lower(F.trim(value))), match)[0]
 
 
 def parse_label(reply: Column) -> Column:
