@@ -1,6 +1,6 @@
 """The figure that an interface draws: joints that follow head and hands, and hands at their wrists; Column expressions only.
 
-Metres, x to the right, y up, z ahead, feet near y = 0. Vectors are arrays.
+Metres, x to the right, y up, z ahead, feet near y = 0.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gazeloom.operators.body import at, put, unit
+
 #: Joints of a standing figure in shares of its height.
 STANDING = {
     "head_top": (0.0, 1.0, 0.0), "neck": (0.0, 0.85, 0.0), "chest": (0.0, 0.72, 0.02), "pelvis": (0.0, 0.55, 0.0),
@@ -59,43 +61,38 @@ def _wrist_target(point: Column, height: Column, shoulder: Sequence[Column], sid
 def _with_arm(rows: DataFrame, s: str, height: str) -> DataFrame:
     """Adds a side's wrist, drawn to within reach, and its elbow, by the law of cosines; a projection a step."""
     upper, lower = F.col(height) * UPPER_ARM, F.col(height) * LOWER_ARM
-    at = F.col(f"{s}_shoulder")
-    norm = lambda v: F.sqrt(v[0] * v[0] + v[1] * v[1] + v[2] * v[2])
-    unit = lambda v, n: F.array(*(v[k] / F.when(n == 0, 1.0).otherwise(n) for k in range(3)))
-    plus = lambda a, b, t: F.array(*(a[k] + b[k] * t for k in range(3)))
-    rows = rows.withColumn("__d", plus(F.col("__target"), at, F.lit(-1.0))).withColumn("__n", norm(F.col("__d")))
-    rows = rows.withColumn("__n1", unit(F.col("__d"), F.col("__n"))).withColumn("__n", F.greatest(F.abs(upper - lower) + SLACK, F.least(F.col("__n"), upper + lower - SLACK)))
-    rows = rows.withColumn(f"{s}_wrist", plus(at, F.col("__n1"), F.col("__n"))).withColumn("__a", (upper * upper + F.col("__n") * F.col("__n") - lower * lower) / (F.col("__n") * 2))
-    along = sum((F.col("__n1")[k] * c for k, c in enumerate(ELBOW_SIDE)), F.lit(0.0))
-    rows = rows.withColumn("__s", F.array(*(F.lit(c) - F.col("__n1")[k] * along for k, c in enumerate(ELBOW_SIDE)))).withColumn("__s", unit(F.col("__s"), norm(F.col("__s"))))
-    rows = rows.withColumn("__h", F.sqrt(F.greatest(F.lit(0.0), upper * upper - F.col("__a") * F.col("__a"))))
-    return rows.withColumn(f"{s}_elbow", plus(plus(at, F.col("__n1"), F.col("__a")), F.col("__s"), F.col("__h"))).drop("__target", "__d", "__n", "__n1", "__a", "__s", "__h")
+    rows = put(rows, "__axis", [t - x for t, x in zip((F.col("__target")[k] for k in range(3)), at(f"{s}_shoulder"))])
+    span = F.sqrt(sum((x * x for x in at("__axis")), F.lit(0.0)))
+    rows = rows.withColumn("__reach", F.greatest(F.abs(upper - lower) + SLACK, F.least(span, upper + lower - SLACK)))
+    rows = unit(rows, "__axis").withColumn("__ahead", (upper * upper + F.col("__reach") * F.col("__reach") - lower * lower) / (F.col("__reach") * 2))
+    rows = put(rows, f"{s}_wrist", [x + y * F.col("__reach") for x, y in zip(at(f"{s}_shoulder"), at("__axis"))])
+    rows = rows.withColumn("__along", sum((x * c for x, c in zip(at("__axis"), ELBOW_SIDE)), F.lit(0.0)))
+    rows = unit(put(rows, "__aside", [F.lit(c) - x * F.col("__along") for x, c in zip(at("__axis"), ELBOW_SIDE)]), "__aside")
+    rows = rows.withColumn("__bend", F.sqrt(F.greatest(F.lit(0.0), upper * upper - F.col("__ahead") * F.col("__ahead"))))
+    return put(rows, f"{s}_elbow", [x + y * F.col("__ahead") + z * F.col("__bend") for x, y, z in zip(at(f"{s}_shoulder"), at("__axis"), at("__aside"))])
 
 
 def figure(frames: DataFrame, height: Column | float, quaternion: str = "quaternion", left: str = "left_hand_landmarks", right: str = "right_hand_landmarks") -> DataFrame:
     """Adds `figure`, a map from joint to [x, y, z], to frames with a head's orientation and hands' points (any of them null).
 
-    Without an orientation the trunk stands; a hand without points hangs. height in metres.
+    Without an orientation the trunk stands; a hand without points hangs. height in metres. A column of frames named figure gives way.
     """
-    names = frames.columns
-    rows = frames.withColumn("__height", (height if isinstance(height, Column) else F.lit(float(height))).cast("double")).withColumn("__e", F.when(F.col(quaternion).isNotNull(), head_angles(F.col(quaternion))))
+    names = [c for c in frames.columns if c.lower() != "figure"]
+    # the frame's own columns wait in one, so that none can have the name of a step
+    rows = frames.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("__frame"), (height if isinstance(height, Column) else F.lit(float(height))).cast("double").alias("__height"), F.when(F.col(quaternion).isNotNull(), head_angles(F.col(quaternion))).alias("__e"), *(F.when(F.size(hand) > 0, F.col(hand)[0]).alias(f"__{s}") for s, hand in (("l", left), ("r", right))))
     angle = lambda k, share: F.coalesce(F.col("__e")[k], F.lit(0.0)) * share
     turns = {"yaw": ("yaw", TURN), "pitch": ("pitch", LEAN), "look": ("yaw", LOOK), "nod": ("pitch", NOD)}
-    for name, (k, share) in turns.items():
-        rows = rows.withColumn(f"__{name}", F.array(F.cos(angle(k, share)), F.sin(angle(k, share))))
-    swing = lambda name: (F.col(f"__{name}")[0], F.col(f"__{name}")[1])
+    rows = rows.withColumns({f"__{name}_{f.__name__}": f(angle(k, share)) for name, (k, share) in turns.items() for f in (F.cos, F.sin)})
+    swing = lambda name: (F.col(f"__{name}_cos"), F.col(f"__{name}_sin"))
     place = lambda j: [F.col("__height") * c for c in STANDING[j]]
     for j in STANDING:
-        at = _swung(place(j), place("pelvis"), swing("yaw"), swing("pitch")) if j in FOLLOW else place(j)
-        rows = rows.withColumn(j, F.array(*at))
-    parts = lambda j: [F.col(j)[k] for k in range(3)]
-    rows = rows.withColumn("head_top", F.array(*_swung(parts("head_top"), parts("neck"), swing("look"), swing("nod"))))
-    rows = rows.withColumn("head", F.array(*((F.col("neck")[k] + F.col("head_top")[k]) / 2 for k in range(3))))
-    for s, hand, side in (("l", left, -1), ("r", right, 1)):
-        wrist = F.when(F.size(hand) > 0, F.col(hand)[0])
-        rows = _with_arm(rows.withColumn("__target", _wrist_target(wrist, F.col("__height"), parts(f"{s}_shoulder"), side)), s, "__height")
-    joints = F.map_from_arrays(F.array(*map(F.lit, FIGURE)), F.array(*map(F.col, FIGURE)))
-    return rows.select(*names, joints.alias("figure"))
+        rows = put(rows, j, _swung(place(j), place("pelvis"), swing("yaw"), swing("pitch")) if j in FOLLOW else place(j))
+    rows = put(rows, "__top", _swung(at("head_top"), at("neck"), swing("look"), swing("nod")))
+    rows = put(rows, "head", [(x + y) / 2 for x, y in zip(at("neck"), at("__top"))])
+    for s, side in (("l", -1), ("r", 1)):
+        rows = _with_arm(rows.withColumn("__target", _wrist_target(F.col(f"__{s}"), F.col("__height"), at(f"{s}_shoulder"), side)), s, "__height")
+    joints = F.map_from_arrays(F.array(*map(F.lit, FIGURE)), F.array(*(F.array(*at(j)) for j in FIGURE)))
+    return rows.select("__frame.*", joints.alias("figure"))
 
 
 def hand_at_wrist(wrist: Column, points: Column, scale: float = HAND_SCALE) -> Column:
@@ -111,11 +108,11 @@ def _line(a: Column, b: Column) -> Column:
 
 def hand_lines(wrist: Column, points: Column) -> Column:
     """array of struct(a, b): the lines of a hand at a wrist; without its points, those of a resting one."""
-    at = hand_at_wrist(wrist, points)
-    bones = F.transform(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in HAND_BONES)), lambda e: _line(at[e["a"]], at[e["b"]]))
+    here = hand_at_wrist(wrist, points)
+    bones = F.transform(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in HAND_BONES)), lambda e: _line(here[e["a"]], here[e["b"]]))
     beside = lambda dx, down, ahead: F.array(wrist[0] + dx, wrist[1] - down, wrist[2] + ahead)
     resting = [_line(beside(dx, *KNUCKLE), beside(dx * TIP[2], *TIP[:2])) for dx in FAN]
-    return F.when(at.isNotNull(), bones).otherwise(F.array(*resting, _line(wrist, beside(0.0, *PALM))))
+    return F.when(here.isNotNull(), bones).otherwise(F.array(*resting, _line(wrist, beside(0.0, *PALM))))
 
 
 def bone_frame(a: Column, b: Column) -> Column:
