@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazeloom.llm.shared import Scratch, ship, small_batches
+from gazeloom.llm.shared import Scratch, alone, kept, ship, small_batches
 from gazeloom.llm.tokens import byte_alphabet, vocabulary_path
 
 #: Bytes of text in a block, and of segments that are aligned at once.
@@ -230,11 +230,12 @@ class Aligner:
         return result, links, packed, times[present]
 
 
-_ready: dict[tuple[str, str], Aligner] = {}
+_ready: dict[tuple[str, str], Aligner] = kept("alignment", {})
 
 
 def aligner(a_path: str, b_path: str) -> Aligner:
     """The worker's aligner; it lives as long as the worker."""
+    alone("alignment")
     if (a_path, b_path) not in _ready:
         _ready[a_path, b_path] = Aligner(a_path, b_path)
     return _ready[a_path, b_path]

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gazeloom.llm.shared import Scratch, components, ship, small_batches
+from gazeloom.llm.shared import Scratch, alone, components, kept, ship, small_batches
 
 #: A family is one block up to so many sets and elements.
 BLOCK, ELEMENTS = 4000, 4_000_000
@@ -60,7 +60,7 @@ class _Hashes(dict):
         return h
 
 
-_hashes = _Hashes()
+_hashes = kept("jaccard", _Hashes())
 
 
 def grams(text: bytes | None, n: int) -> np.ndarray:
@@ -263,6 +263,7 @@ def similar(spark: SparkSession, docs: DataFrame, n: int = 5, num: int = 80, den
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).withColumn("key", F.coalesce(F.col("doc_id").cast("long"), F.col("text_hash")))
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("jaccard")
         for batch in batches:
             sizes, sigs = [], []
             for text in batch.column("text").cast(pa.binary()).to_pylist():
@@ -272,6 +273,7 @@ def similar(spark: SparkSession, docs: DataFrame, n: int = 5, num: int = 80, den
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), batch.column("key"), pa.array(sizes, pa.int64()), pa.array(sigs, pa.int64())], names=["doc_id", "text_hash", "key", "n", "sig"])
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("jaccard")
         seen: set[int] = set()  # a task sends equal sets once
         for batch in batches:
             keys, sigs, spares = [], [], []
@@ -356,6 +358,7 @@ def similar(spark: SparkSession, docs: DataFrame, n: int = 5, num: int = 80, den
     sized = wanted.join(wanted.groupBy("root").agg(parts.alias("blocks")), "root").withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
 
     def collected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("jaccard")
         seen: set[int] = set()  # of rows that share a key and a text, a task sends one
         for batch in batches:
             raw, keep = [], []

@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazeloom.llm.shared import Scratch, ship, small_batches
+from gazeloom.llm.shared import Scratch, alone, ship, small_batches
 
 LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 #: Longer words are scored anew each time, so a worker's cache holds short strings.
@@ -303,6 +303,7 @@ def predict(spark: SparkSession, docs: DataFrame, model: Model | None, cache: in
     docs = docs.select(*names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("languages")
         m = shared.value
         key = f"{m.path} {m.p.sum(axis=0).tobytes()!r} {m.p[::97].tobytes()!r}"
         if key not in _ready:  # kept for the worker's next tasks

@@ -84,6 +84,23 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+#: What a worker keeps for its next tasks, by operator.
+_kept: dict[str, dict] = {}
+
+
+def kept(operator: str, cache: dict) -> dict:
+    """Names an operator's cache, so that the worker can let go of it."""
+    _kept[operator] = cache
+    return cache
+
+
+def alone(operator: str) -> None:
+    """At a task's start: a worker that comes from another operator's tasks drops what that one kept, so caches of several never add up."""
+    for name, cache in _kept.items():
+        if name != operator:
+            cache.clear()
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Bound the bytes of an Arrow batch, and its rows to `rows` or what the session has less, so that a batch of long texts fits a Python worker.
 

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gazeloom.llm.jaccard_trie import mixed, runs
-from gazeloom.llm.shared import Scratch, heavy_join, internal, ship, small_batches
+from gazeloom.llm.shared import Scratch, alone, heavy_join, internal, ship, small_batches
 from gazeloom.llm.token_codes import folder
 
 GRAM, SLICE = 32, 1 << 18
@@ -179,6 +179,7 @@ def collection_spans(contexts: list[bytes], lefts: np.ndarray, weights: np.ndarr
 
 def _occurrences(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("suffixes")
         for batch in batches:
             out, counts = [], []
             for text in batch.column("text").cast(pa.binary()).to_pylist():

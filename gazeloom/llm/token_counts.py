@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazeloom.llm.shared import ship, small_batches
+from gazeloom.llm.shared import alone, kept, ship, small_batches
 from gazeloom.llm.tokens import vocabulary_path
 
 WIDTH = 256
@@ -336,11 +336,12 @@ class Transducer:
         return out
 
 
-_ready: dict[str, Transducer] = {}
+_ready: dict[str, Transducer] = kept("token counts", {})
 
 
 def transducer(path: str) -> Transducer:
     """The worker's transducer of a model; it lives as long as the worker."""
+    alone("token counts")
     if path not in _ready:
         _ready[path] = Transducer(path)
     return _ready[path]

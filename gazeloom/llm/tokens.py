@@ -14,6 +14,8 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer
 
+from gazeloom.llm.shared import alone, kept
+
 #: Below U+0300 every character is its own NFC form.
 FIRST_COMBINING = "̀"
 
@@ -102,11 +104,12 @@ class Encoder:
         return ids, bounds
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[str, Encoder] = kept("tokens", {})
 
 
 def encoder(path: str) -> Encoder:
     """The worker's encoder for a file; it lives as long as the worker."""
+    alone("tokens")
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
