@@ -11,7 +11,10 @@ is cut there; sources that the schedule leaves short get the missing slots at it
 Nulls: a null text has no words; null sources are one source; null doc_ids are shuffled by
 the hash of an empty id. Documents without words are returned with taken 0. Repeated rows are
 told apart by a row number, so each takes its own share. Empty tables give empty results.
-Extra columns are left out of the digest.
+A text of any length is counted whole, and lies in as many blocks as it has words for. Extra
+columns come along if they are named in `keep`, whatever they are called; those that have a name
+of the result give way. The windows over sources hold a row for each source on one task: for
+some millions of sources (domains, say) that is a few hundred megabytes.
 """
 
 from __future__ import annotations
@@ -49,7 +52,10 @@ def mix(spark: SparkSession, docs: DataFrame, weights=(5, 2, 1), epochs: float =
     block: words of a block; by default a two-millionth of all words, between 64 and 8192.
     """
     scratch = Scratch(spark, "mix")
-    sized = docs.select("doc_id", "source", *keep, n_words(F.col("text")).alias("size"), F.monotonically_increasing_id().alias("__row"))
+    # under neutral names inside, so that none is taken for a column of a step
+    named_as = {f"__keep{k}": c for k, c in enumerate(c for c in keep if c.lower() not in ("doc_id", "size", "source_size", "target", "taken"))}
+    keep = tuple(named_as)
+    sized = docs.select("doc_id", "source", *(F.col(f"`{c}`").alias(k) for k, c in named_as.items()), n_words(F.col("text")).alias("size"), F.monotonically_increasing_id().alias("__row"))
     sized = scratch.save(sized, "sized")
     per = targets(sized, weights, epochs, repeats)
     total = sized.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
@@ -93,4 +99,4 @@ def mix(spark: SparkSession, docs: DataFrame, weights=(5, 2, 1), epochs: float =
     result = taken.groupBy("__row", *own).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("taken"))
     if keep:  # wide columns join at the end and are never exploded
         result = result.join(sized.select("__row", *keep), "__row")
-    return result.select(*own, *keep, "taken"), turns
+    return result.select(*own, *(F.col(k).alias(c) for k, c in named_as.items()), "taken"), turns

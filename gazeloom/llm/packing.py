@@ -12,7 +12,8 @@ The plan has at most FINE + length / GRAIN types and the driver sees only the hi
 grow with the corpus; ranks are found in hash buckets, so no type meets in one task.
 
 Nulls: a null text is the end id alone; null doc_ids and repeated rows are packed like any other.
-An empty table gives an empty result.
+An empty table gives an empty result. A text of any length is encoded whole and cut into as many
+sequences as it fills. Columns other than doc_id and text are left out.
 """
 
 from __future__ import annotations

@@ -16,6 +16,7 @@ again leaves whole files only; the manifest, written by Spark, lists those that
 
 Nulls: a null text has the end id alone; null doc_ids come first and are kept. Repeated doc_ids
 are kept, in the order of a hash of their texts, and may go to several files. An empty table gives no files and an empty result.
+A text of any length is encoded whole. Columns other than doc_id and text are left out.
 """
 
 from __future__ import annotations

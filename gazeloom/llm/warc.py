@@ -15,6 +15,7 @@ its page_id and payload; of all other records, also from their place in the arch
 Nulls: a null html is an empty payload, a null url an empty target; null page_ids are archived,
 lose to any other page_id, and if a group has no other, its records are all responses. Rows equal in
 page_id and payload: one is the response, the others revisit it. Empty tables give no archive.
+A payload of any length is a record of its own and is held by one task. Columns other than page_id, url and html are left out.
 """
 
 from __future__ import annotations
