@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import json
 import math
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, Not
 
+from gazeloom.config import Thresholds
+from gazeloom.operators.folds import suppressed, text_boxes
 from gazeloom.operators.sequence import carry
 
 
@@ -239,6 +243,80 @@ def label(frames: DataFrame, make: Callable[[], Callable[[bytes], tuple[str, flo
     return frames.mapInPandas(run, f"{fields}, task string, confidence double, description string")
 
 
+@contextlib.contextmanager
+def opened(made: object) -> Iterator[object]:
+    """A provider, entered and left if it is a context manager."""
+    if hasattr(made, "__enter__"):
+        with made as inside:
+            yield inside
+    else:
+        yield made
+
+
+HANDS = "left_hand_landmarks array<array<double>>, right_hand_landmarks array<array<double>>, left_confidence double, right_confidence double"
+
+
+def find_hands(frames: DataFrame, make: Callable[[], object], swap: bool = False) -> DataFrame:
+    """Adds both hands' points and confidences of each frame (null for a hand that isn't seen).
+
+    make builds a provider once a partition: a context manager or not, whose detect(image) gives rows (side, confidence, points), where a side is
+    "Left" or "Right" in any case. Of several hands on a side the last counts. swap: sides are of a mirrored image. A null image has no hands.
+    """
+    names = [f.split()[0] for f in HANDS.split(", ")]
+    own = [c for c in frames.columns if c.lower() not in names]
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frames.schema if f.name in own)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with opened(make()) as provider:
+            for b in batches:
+                rows = []
+                for image in b["image"]:
+                    seen: dict[str, tuple] = {}
+                    for side, confidence, points in provider.detect(image) if image is not None else ():
+                        left = (side.lower() == "left") != swap
+                        seen["left" if left else "right"] = ([list(map(float, p)) for p in points], float(confidence))
+                    (lp, lc), (rp, rc) = (seen.get(s, (None, None)) for s in ("left", "right"))
+                    rows.append((lp, rp, lc, rc))
+                found = pd.DataFrame(rows, columns=names).astype({"left_confidence": "float64", "right_confidence": "float64"})
+                yield pd.concat([b.reset_index(drop=True), found], axis=1)
+
+    return frames.select(*own).mapInPandas(run, f"{fields}, {HANDS}")
+
+
+TEXT = "array<struct<x0:double,y0:double,x1:double,y1:double,score:double>>"
+
+
+def find_text(frames: DataFrame, make: Callable[[], object], least: float = 0.5, column: str = "text_boxes", thresholds: Thresholds = Thresholds()) -> DataFrame:
+    """Adds the boxes of text in each frame, best first: a provider's grids decoded, boxes suppressed that overlap a better one, and kept by size.
+
+    make builds a provider once a partition: grids(image) gives scores [rows, columns], geometry [5, rows, columns], and the frame's width and height.
+    Boxes are clipped to the frame; their longer side lies between the thresholds' shares of the shorter side of the frame. A null image has none.
+    """
+    own = [c for c in frames.columns if c.lower() != column.lower()]
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frames.schema if f.name in own)
+    t = thresholds
+
+    def boxes_of(provider: object, image: bytes) -> list[dict]:
+        scores, geometry, width, height = provider.grids(image)
+        boxes, sure = text_boxes(np.asarray(scores, float), np.asarray(geometry, float), least)
+        order = np.argsort(-sure, kind="stable")
+        kept = order[suppressed(boxes[order].tolist(), t.text_nms)]
+        out = []
+        for k in kept.tolist():
+            x0, y0, x1, y1 = np.clip(boxes[k], 0, [width, height, width, height]).tolist()
+            w, h, side = x1 - x0, y1 - y0, min(width, height)
+            if side * t.text_min_fraction <= max(w, h) <= side * t.text_max_fraction and w > 1 and h > 1:
+                out.append({"x0": x0, "y0": y0, "x1": x1, "y1": y1, "score": float(sure[k])})
+        return out
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with opened(make()) as provider:
+            for b in batches:
+                yield b.assign(**{column: [boxes_of(provider, x) if x is not None else [] for x in b["image"]]})
+
+    return frames.select(*own).mapInPandas(run, f"{fields}, {column} {TEXT}")
+
+
 def union_of(*makers: Callable) -> Callable:
     """A detector that returns what all of several find."""
     def make():
