@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazeloom.llm.shared import Scratch, alone, ship, small_batches
+from gazeloom.llm.shared import Scratch, alone, kept, ship, small_batches
 
 LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 #: Longer words are scored anew each time, so a worker's cache holds short strings.
@@ -291,7 +291,52 @@ def train(spark: SparkSession, labelled: DataFrame, path: str, per_language: int
     return fit_words(spark, words, path, {k: shares[k] for k in known}) if known else None
 
 
-_ready: dict[str, tuple] = {}
+class Known:
+    """A model's log sums of the words that a worker has met; once there are more than `most`, the half that came most often stays."""
+
+    def __init__(self, model: Model, most: int):
+        self.index, self.longest = index_of(model.path)
+        self.p, self.most = model.p, most
+        self.number: dict[str, int] = {}
+        self.sums, self.used = np.zeros((0, model.p.shape[1])), np.zeros(0, np.int64)
+
+    def thin(self) -> None:
+        kept = np.sort(np.argsort(-self.used, kind="stable")[: self.most // 2])
+        new = np.full(len(self.used), -1)
+        new[kept] = np.arange(len(kept))
+        self.number = {w: k for w, k in zip(self.number, new[np.fromiter(self.number.values(), np.int64, len(self.number))].tolist()) if k >= 0}
+        self.sums, self.used = self.sums[kept], self.used[kept] // 2
+
+    def of(self, texts: list[list[str]]) -> np.ndarray:
+        """The log sums of all words of texts, one after another."""
+        unseen = sorted(set().union(*texts).difference(self.number)) if texts else []
+        if len(self.used) + len(unseen) > self.most and len(self.used):
+            self.thin()
+            unseen = sorted(set().union(*texts).difference(self.number))
+        at = len(self.used)
+        self.number.update(zip(unseen, range(at, at + len(unseen))))
+        self.sums = np.concatenate([self.sums, *(log_totals(some, self.index, self.longest, self.p) for some in blocks_of(unseen))])
+        which = np.fromiter((k for t in texts for k in map(self.number.__getitem__, t)), np.int64, sum(map(len, texts)))
+        used = np.bincount(which, minlength=len(self.sums))
+        used[:at] += self.used
+        self.used = used
+        for w in unseen:
+            if len(w) > CACHED:  # scored anew each time; its sums go with the next thinning
+                self.used[self.number.pop(w)] = 0
+        return self.sums[which]
+
+
+_ready: dict[str, Known] = kept("languages", {})
+
+
+def known(model: Model, most: int) -> Known:
+    """What the worker knows by a model; it lives as long as the worker. Named here, as what a task's function holds itself is new with each task."""
+    alone("languages")
+    key = f"{model.path} {most} {model.p.sum(axis=0).tobytes()!r} {model.p[::97].tobytes()!r}"
+    if key not in _ready:
+        _ready.clear()
+        _ready[key] = Known(model, most)
+    return _ready[key]
 
 
 def predict(spark: SparkSession, docs: DataFrame, model: Model | None, cache: int = 400_000) -> DataFrame:
@@ -303,34 +348,16 @@ def predict(spark: SparkSession, docs: DataFrame, model: Model | None, cache: in
     docs = docs.select(*names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        alone("languages")
         m = shared.value
-        key = f"{m.path} {m.p.sum(axis=0).tobytes()!r} {m.p[::97].tobytes()!r}"
-        if key not in _ready:  # kept for the worker's next tasks
-            _ready.clear()
-            _ready[key] = (*index_of(m.path), {}, [])
-        index, longest, number, tables = _ready[key]
-        base = np.log(m.prior)
+        words, base = known(m, cache), np.log(m.prior)
         for batch in batches:
             texts = [words_of(t) if t else [] for t in batch.column("text").to_pylist()]
             counts = np.fromiter(map(len, texts), np.int64, len(texts))
-            unseen = sorted(set().union(*texts).difference(number)) if texts else []
-            if (len(tables[0]) if tables else 0) + len(unseen) > cache:
-                number.clear(), tables.clear()
-                unseen = sorted(set().union(*texts))
-            at = len(tables[0]) if tables else 0
-            number.update(zip(unseen, range(at, at + len(unseen))))
-            tables += [log_totals(some, index, longest, m.p) for some in blocks_of(unseen)]
-            if len(tables) > 1:
-                tables[:] = [np.concatenate(tables)]
-            which = np.fromiter((k for t in texts for k in map(number.__getitem__, t)), np.int64, int(counts.sum()))
+            each = words.of(texts)
             sums = np.zeros((len(texts), len(m.languages)))
             some = counts > 0
             if some.any():
-                sums[some] = np.add.reduceat(tables[0][which], (np.cumsum(counts) - counts)[some], axis=0)
-            for w in unseen:
-                if len(w) > CACHED:
-                    del number[w]
+                sums[some] = np.add.reduceat(each, (np.cumsum(counts) - counts)[some], axis=0)
             sums += base
             best = sums.argmax(axis=1)
             odds = np.exp(sums - sums.max(axis=1, keepdims=True))

@@ -82,3 +82,20 @@ def test_query_on_a_table(spark):
     got = op2_language_id(spark, folder).join(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang"), "doc_id")
     held = got.where("held_out and lang is not null and lang_pred <> 'und'")
     assert held.count() > 20 and held.where(F.col("lang") != F.col("lang_pred")).count() <= 0.02 * held.count()
+
+
+def test_known_words_keep_their_sums(monkeypatch):
+    """Sums are the same whether a word is new, kept, dropped and met again, or too long to be kept."""
+    rng = random.Random(2)
+    found = counts()
+    model = langid.fit(found, PATH, {"en": 1.0, "de": 1.0, "th": 1.0}, 1)
+    index, longest = langid.index_of(PATH)
+    words = ["".join(rng.choice("theingsch") for _ in range(rng.randrange(1, 90))) for _ in range(300)]
+    known = langid.Known(model, 60)
+    for _ in range(20):
+        texts = [rng.sample(words, rng.randrange(0, 12)) for _ in range(5)] + [["the"] * 3]
+        flat = [w for t in texts for w in t]
+        assert np.allclose(known.of(texts), langid.log_totals(flat, index, longest, model.p))
+        assert len(known.used) <= 60 + len(set(flat)) and all(len(w) <= langid.CACHED for w in known.number)
+    assert known.of([]).shape == (0, 3) and known.of([[]]).shape == (0, 3)
+    assert langid.known(model, 60) is langid.known(model, 60)
