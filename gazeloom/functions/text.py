@@ -132,11 +132,29 @@ def humanize_bytes(n: Column) -> Column:
     return out.otherwise(F.when(v < 10, F.format_string("%.1f GB", v)).otherwise(F.format_string("%.0f GB", v)))
 
 
-def money(x: Column) -> Column:
-    """Dollars: cents below ten, whole ones below a thousand, then thousands, with a decimal below ten thousand."""
+def _fixed(x: Column, digits: int, even: bool) -> Column:
+    """x with decimals, rounded by its binary value, where format_string rounds the shortest decimal; exact ties away from zero, or to the even digit."""
+    if not even:
+        x = F.when(F.abs(x * 2 ** (digits + 1)) % 2 == 1, x + F.signum(x) / 10 ** (digits + 1)).otherwise(x)
+    # beyond 2^53 no fraction is left
+    exact = F.call_function("format_number", x, F.lit("0." + "0" * digits))
+    return F.when(F.abs(x) < 2.0**53, exact).when(x.isNotNull(), F.format_string(f"%.{digits}f", x))
+
+
+def _whole(x: Column) -> Column:
+    """x of at least one as a whole number, ties up."""
+    return F.when(x < 2.0**63, F.format_string("%d", F.floor(x + 0.5))).when(x.isNotNull(), F.format_string("%.0f", x))
+
+
+def money(x: Column, even: bool = False) -> Column:
+    """Dollars: cents below ten, whole ones below a thousand, then thousands, with a decimal below ten thousand; null is null.
+
+    Decimals are rounded by the binary value, exact ties away from zero as the page's toFixed does or, if `even`, to the even digit as C's printf does.
+    """
     x = x.cast("double")
     k = x / 1000
-    return F.when(x >= 10000, F.format_string("$%.0fk", k)).when(x >= 1000, F.format_string("$%.1fk", k)).when(x < 10, F.format_string("$%.2f", x)).otherwise(F.format_string("$%.0f", x))
+    thousands = F.concat(F.when(x >= 10000, _whole(k)).otherwise(_fixed(k, 1, even)), F.lit("k"))
+    return F.concat(F.lit("$"), F.when(x >= 1000, thousands).when(x < 10, _fixed(x, 2, even)).otherwise(_whole(x)))
 
 
 def clean_scene(answer: Column) -> Column:

@@ -729,7 +729,7 @@ def handedness_swap(spark, d):
 
 @query("""select o_orderkey, case when o_totalprice / 7 >= 10000 then printf('$%dk', floor(o_totalprice / 7 / 1000 + 0.5)::bigint) when o_totalprice / 7 >= 1000 then printf('$%.1fk', o_totalprice / 7 / 1000) when o_totalprice / 7 < 10 then printf('$%.2f', o_totalprice / 7) else printf('$%d', floor(o_totalprice / 7 + 0.5)::bigint) end as shown from orders""")
 def money_format(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", text.money(F.col("o_totalprice") / 7).alias("shown"))
+    return table(spark, d, "orders").select("o_orderkey", text.money(F.col("o_totalprice") / 7, even=True).alias("shown"))
 
 
 @query("select o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') as uploaded_at from orders")

@@ -69,3 +69,26 @@ def test_taxonomy_of_whole_texts(spark, tmp_path):
     found = {r.doc_id: r.task for r in QUERIES["taxonomy_match_whole"](spark, str(tmp_path)).collect()}
     assert found == {k: matched(v) for k, v in enumerate(said)}
     assert found[4] == found[5] == "manipulating lock or latch" and found[6] == "moving container" and found[8] == "opening gate/enclosure"
+
+
+def test_money_rounds_the_binary_value(spark):
+    # 1.15 and 9.995 lie below the half, 1.25 and 0.125 on it; the page's toFixed takes that up, C's printf to the even digit
+    cases = [
+        (1150.0, "$1.1k", "$1.1k"), (9.995, "$9.99", "$9.99"), (1250.0, "$1.3k", "$1.2k"), (1750.0, "$1.8k", "$1.8k"), (0.125, "$0.13", "$0.12"), (-0.125, "$-0.13", "$-0.12"),
+        (9950.0, "$9.9k", "$9.9k"), (9999.0, "$10.0k", "$10.0k"), (10500.0, "$11k", "$11k"), (10.5, "$11", "$11"), (999.5, "$1000", "$1000"), (-20000.0, "$-20000.00", "$-20000.00"), (None, None, None),
+    ]
+    df = spark.createDataFrame([(x,) for x, *_ in cases], "x double").select("x", text.money(F.col("x")).alias("up"), text.money(F.col("x"), even=True).alias("even"))
+    assert [tuple(r) for r in df.collect()] == cases
+
+
+def test_money_format_equals_sql_at_halves(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    from gazeloom.plans.queries import QUERIES, SQL
+
+    # every price whose seventh lies at a half of the last digit shown, its neighbours, and no price
+    prices = [c / 200 * 7 + d for c in range(-400, 2001) for d in (-0.01, 0, 0.01)] + [c * 50.0 * 7 + d for c in range(20, 400) for d in (-0.01, 0, 0.01)] + [None]
+    spark.createDataFrame(list(enumerate(prices)), "o_orderkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view orders as select * from '{tmp_path}/orders.parquet/*.parquet'")
+    found = {r.o_orderkey: r.shown for r in QUERIES["money_format"](spark, str(tmp_path)).collect()}
+    assert found == dict(con.execute(SQL["money_format"]).fetchall()) and len(found) == len(prices)
